@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, linededup, mixing, pii, warc
+from corpusloom.llm import decontam, linededup, mixing, pii, simhash, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.plan_mix(_table(spark, sf_dir, "documents")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
+
+
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 OP1_SQL = """
 with p as (
   select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages
@@ -97,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op8_mixing": op8_mixing,
+        "op9_simhash": op9_simhash,
+        "op10_suffix": op10_suffix,
     }
 
 
