@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, linededup, mixing, pii, simhash, suffix, warc
+from corpusloom.llm import decontam, linededup, mixing, pii, simhash, suffix, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read_records(bundles))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
@@ -56,6 +61,20 @@ select page_id, n::bigint as payload_bytes, d as payload_digest,
 from g
 """
 
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 10
+"""
+
 #: The words of a text and all windows of ten, or of an item's length if it is shorter.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP5_SQL = rf"""
@@ -101,6 +120,7 @@ from d join g using (r)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_topk": op2_topk,
         "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
@@ -113,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": OP1_SQL,
+        "op2_topk": OP2_SQL,
         "op5_decontamination": OP5_SQL,
         "op6_line_dedup": OP6_SQL,
     }
