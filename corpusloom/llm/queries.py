@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, linededup, mixing, pii, simhash, suffix, topk, warc
+from corpusloom.llm import decontam, langid, linededup, mixing, pii, simhash, suffix, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.digest(langid.identify(docs, langid.fit(docs)))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
@@ -37,6 +42,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(index.drop_lines(docs, keep_columns=["doc_id"]))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.digest(toxicity.score(docs, model))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.plan_mix(_table(spark, sf_dir, "documents")))
 
@@ -121,9 +132,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_topk": op2_topk,
+        "op3_language": op3_language,
         "op4_pii": op4_pii,
         "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_suffix": op10_suffix,
