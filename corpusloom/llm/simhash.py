@@ -39,6 +39,8 @@ from corpusloom.llm.shared import broadcast_if_small, materialize, text_bytes
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
+#: Bits of the shortest prefix.
+PREFIX_BITS = 8
 #: Fingerprints under one prefix that are expected at most, where more bits can split them.
 PREFIX_ROWS = 60_000
 #: Variants that a task sorts at once, about.
@@ -187,7 +189,7 @@ def links(distinct: DataFrame, *, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     ``distinct`` (fp: long) has each fingerprint once.
     """
     order, n = _order(distinct)
-    bits = 1
+    bits = PREFIX_BITS
     while bits < 20 and n * (1 + bits + bits * (bits - 1) // 2) >> bits > prefix_rows:
         bits += 1
     back = [63 - order.index(63 - j) for j in range(64)]  # undoes the order of bits
