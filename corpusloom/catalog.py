@@ -6,10 +6,12 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.plans import answer
 from corpusloom.queries import registry
 
-MODULES = ("text",)
+MODULES = ("text", "corpus", "state", "relational")
 
 
 def _load() -> None:
@@ -19,9 +21,18 @@ def _load() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return dict(registry.QUERIES)
+    return registry.QUERIES | {"answers": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(registry.SQL)
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers to the benchmark's questions over the documents, with citations."""
+    t = registry.Tables(spark, folder)
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    questions = t.benchmark.join(vectors, F.col("item_id") == F.col("id"), "left").select(F.col("item_id").alias("query_id"), "text", "vec")
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text", "source")
+    return answer.answers(questions, docs, vectors.join(docs.select("id"), "id", "left_semi"))

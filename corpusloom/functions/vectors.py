@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,16 +36,11 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def hashing_embedder(dim: int = 64):
-    """A vectorised function text -> array<float> that needs no model: signed hashes of
-    the words, added up and brought to length one.  Any embedder with this signature fits."""
+def hashing_embedder(text: Column | str, dim: int = 64) -> Column:
+    """array<float> of a text without a model: signed hashes of its words, added up and
+    brought to length one.  Any function of a text column fits in its place."""
 
-    @F.pandas_udf("array<float>")
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
-
-        import numpy as np
-
         def one(text: str | None) -> np.ndarray:
             v = np.zeros(dim)
             for w in (text or "").lower().split():
@@ -55,4 +52,4 @@ def hashing_embedder(dim: int = 64):
         for some in texts:
             yield some.map(one)
 
-    return embed
+    return F.pandas_udf(embed, "array<float>")(text)
