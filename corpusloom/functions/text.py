@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ def headings(text: Column) -> Column:
 
 def text_units(text: Column) -> Column:
     """Trimmed paragraphs (separated by an empty line) that are not empty."""
-    return F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def html_to_text(html: Column) -> Column:
@@ -58,9 +61,16 @@ def parser_of(path: Column) -> Column:
     return F.try_element_at(known, extension(path))
 
 
+def _from_gbk(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for some in contents:
+        yield some.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8, or else GBK."""
-    return F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8")).otherwise(F.decode(content, "GBK"))
+    """Bytes as text: UTF-8, or else GBK, which Spark's own decoder does not know; only such
+    content goes through Python."""
+    utf8 = F.is_valid_utf8(content.cast("string"))
+    return F.when(utf8, content.cast("string")).otherwise(F.pandas_udf(_from_gbk, "string")(F.when(~utf8, content)))
 
 
 def bound(value: Column, use) -> Column:

@@ -194,11 +194,11 @@ def _(t):
     return out.select("event_id", (F.col("query") == F.left(F.repeat("event_type", F.lit(600)), F.lit(2000))).alias("same"), F.length("query").cast("long").alias("n"), "score")
 
 
-@query("run_samples", f"with {_RUNS} select run_id, count(*) as n, round(avg(value), 4) as mean from r join events e on r.run_id = e.event_type || '@' || strftime(e.ts, '%Y-%m-%d') group by run_id")
+@query("run_samples", f"with {_RUNS} select run_id, count(*) as n, round(sum(value), 2) as total from r join events e on r.run_id = e.event_type || '@' || strftime(e.ts, '%Y-%m-%d') group by run_id")
 def _(t):
     key = F.concat_ws("@", "event_type", F.date_format("ts", "yyyy-MM-dd"))
     rows = _runs(t).select("run_id").join(t.events.select(key.alias("run_id"), "value"), "run_id")
-    return rows.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return rows.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("latest_runs", f"with {_RUNS} select run_id, started_at from r order by started_at desc, run_id limit 10")
