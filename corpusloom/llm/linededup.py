@@ -236,9 +236,8 @@ class LineIndex:
         """
         shards, min_docs = self.shards, self.min_docs
         shard = F.pmod(F.col("hi"), F.lit(shards)).cast("int").alias("shard")
-        gone = F.lit(None).cast("long")
         rows = crossed.select(shard, "lo", "step", F.lit(None).cast("binary").alias("filter"))
-        rows = rows.unionByName(self.filters.select("shard", gone.alias("lo"), F.lit(0).alias("step"), "filter"))
+        rows = rows.unionByName(self.filters.select("shard", F.lit(0).cast("long").alias("lo"), F.lit(0).alias("step"), "filter"))
 
         def change(group: pa.Table) -> pa.Table:
             lo, step = group.column("lo").to_numpy(), group.column("step").to_numpy()

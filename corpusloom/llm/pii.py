@@ -68,22 +68,46 @@ FOR = {
 AGAINST = "version|isbn|issn|order|invoice|serial|build|release"
 
 
+#: Matches whose positions are added up in one go; longer lists are taken in such runs, so
+#: that the work stays linear in their number.
+_RUN = 256
+_SPANS = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def _matches(text: Column, kind: str) -> Column:
-    """array<struct<start, end, match>> of a kind's pattern, leftmost non-overlapping."""
+    """array<struct<start, end, match, before, after>> of a kind's pattern, leftmost
+    non-overlapping; before and after are up to ``CONTEXT`` code points between matches."""
     pattern = PATTERNS[kind]
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.transform(F.slice(pieces, 1, F.size(found)), F.length), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("match")))
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    none = F.array().cast(_SPANS)
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+        begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"))).alias("spans"))
+        before = F.substring(x["gap"], F.greatest(F.length(x["gap"]) - (CONTEXT - 1), F.lit(1)), F.lit(CONTEXT))
+        span = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"), before.alias("before"), F.substring(x["next"], 1, CONTEXT).alias("after"))
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+
+    def run(acc: Column, some: Column) -> Column:
+        own = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+        return _once(own, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["runs"], r["spans"]).alias("runs")))
+
+    def located(both: Column) -> Column:
+        pieces, found = both["pieces"], both["found"]
+        n = F.size(found)
+        rows = F.zip_with(F.zip_with(F.slice(pieces, 1, n), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("match"))), F.slice(pieces, 2, n), lambda x, after: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), after.alias("next")))
+        many = lambda r: F.transform(F.sequence(F.lit(1), F.size(r), F.lit(_RUN)), lambda i: F.slice(r, i, F.lit(_RUN)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("runs"))
+        return F.when(n > 0, F.flatten(F.aggregate(_once(rows, many), start, run, lambda acc: acc["runs"]))).otherwise(none)
 
     trigger = TRIGGERS[kind]
     worth = text.contains(trigger) if len(trigger) == 1 else text.rlike(trigger)
-    return F.when(worth, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(worth, _once(both, located)).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -137,12 +161,11 @@ def _confirmed(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda x: _valid(kind, x["match"]))
 
 
-def _scored(text: Column, kind: str, spans: Column) -> Column:
+def _scored(kind: str, spans: Column) -> Column:
     """The spans with kind and score, from the words within ``CONTEXT`` code points."""
 
     def score(x: Column) -> Column:
-        begin = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        near = F.concat_ws(" ", F.substring(text, begin + 1, x["start"] - begin), F.substring(text, x["end"] + 1, F.lit(CONTEXT)))
+        near = F.concat_ws(" ", x["before"], x["after"])
         up = F.when(near.rlike(rf"(?iu)\b(?:{FOR[kind]})\b"), 0.3).otherwise(0.0)
         down = F.when(near.rlike(rf"(?iu)\b(?:{AGAINST})\b"), 0.3).otherwise(0.0)
         value = F.least(F.greatest(F.lit(PRIOR[kind]) + up - down, F.lit(0.0)), F.lit(1.0))
@@ -159,7 +182,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spans = {}
     for kind in (*BASE_KINDS, *MORE_KINDS):
         found = F.col("m_card" if kind == "short_card" else f"m_{kind}")
-        spans[kind] = _scored(F.col("text"), kind, _confirmed(found, kind))
+        spans[kind] = _scored(kind, _confirmed(found, kind))
     out = out.select("doc_id", *[v.alias(k) for k, v in spans.items()])
     more = F.filter(F.concat(*MORE_KINDS), lambda x: x["score"] >= min_score)
     return out.select("doc_id", F.concat(*BASE_KINDS).alias("base"), more.alias("more"))

@@ -23,7 +23,7 @@ part.  Rows that repeat an id and vector count once; an id with several differen
 stands for each of them.  Null ids are candidates (after all others in ties), not queries.
 Vectors of different lengths are not compared.  Scores are exact as long as they fit 53
 bits and are then computed in doubles; larger ones go through Python integers and are
-clipped to 64 bits.  Empty tables give empty results.  Only the named columns are read.
+clipped to 62 bits.  Empty tables give empty results.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ QUERY_BLOCK = 512
 BIN_BITS = 10
 _EXACT = 1 << 53
 _LONG = (1 << 63) - 1
+#: Largest score that is told apart.
+_MOST = (1 << 62) - 1
 
 
 def quantized(vector: Column, scale: int = SCALE) -> Column:
@@ -86,7 +88,7 @@ def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     if top < _EXACT:
         return (queries @ candidates.T).astype(np.int64)
     whole = [np.array([[int(x) for x in row] for row in m.tolist()], object) for m in (queries, candidates)]
-    return np.clip(whole[0] @ whole[1].T, -_LONG - 1, _LONG).astype(np.int64)
+    return np.clip(whole[0] @ whole[1].T, -_MOST, _MOST).astype(np.int64)
 
 
 def _scored(batch: pa.RecordBatch):
@@ -143,7 +145,7 @@ def _narrowed(queries: DataFrame, histogram: DataFrame, k: int) -> DataFrame:
             for low, width, some in zip(batch.column("lo").to_pylist(), batch.column("width").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 low = np.frombuffer(low, np.int64).copy()
                 for x in some or ():
-                    low[x["row"]] += x["bin"] * width
+                    low[x["row"]] = int(low[x["row"]]) + x["bin"] * width
                 lows.append(low.tobytes())
             out = {c: batch.column(c) for c in ("dim", "qblock", "qids", "qmat")} | {"lo": pa.array(lows, pa.binary()), "width": batch.column("width")}
             yield pa.RecordBatch.from_arrays([*out.values()], [*out])
@@ -184,7 +186,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     candidates = materialize(_blocked(rows, blocks, "block"), "vector-blocks").repartition(min(blocks, 2000), "dim", "block")
     queries = _blocked(rows.where(asked), q_blocks, "qblock").withColumnsRenamed({"ids": "qids", "mat": "qmat"})
     # all scores lie in [-bound, bound], which the first histogram spans
-    bound = min(_LONG // 2, int(longest * asking * (1 + 1e-9)) + 2)
+    bound = min(_MOST, int(longest * asking * (1 + 1e-9)) + 2)
     passes = max(1, math.ceil(math.log2(2 * bound + 1) / BIN_BITS))
     width = 1 << (BIN_BITS * (passes - 1))
 
