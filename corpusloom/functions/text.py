@@ -130,6 +130,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def word_count(text: Column) -> Column:
+    """The number of ``words``, without making them."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
+
+
 def lead(text: Column, sentences: int = 2, chars: int = 8000) -> Column:
     """The first sentences of the first ``chars`` characters; a summary without a model."""
     return F.trim(F.array_join(F.slice(F.split(F.substring(text, 1, chars), r"\. "), 1, sentences), ". "))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,31 +12,46 @@ from pyspark.sql import functions as F
 
 #: Characters in a gram, bits that near-duplicates may differ in.
 GRAM, MAX_BITS = 3, 3
+#: Distinct grams whose votes a task remembers.
+_HELD = 300_000
 
 
 def _simhashes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64-bit SimHash over occurrences of 3-grams of the text without white space: the first
-    eight bytes of each gram's MD5 vote, a bit is set if its votes are positive."""
-    cache: dict[str, np.ndarray] = {}
-
-    def votes(gram: str) -> np.ndarray:
-        got = cache.get(gram)
-        if got is None:
-            if len(cache) > 300_000:
-                cache.clear()
-            bits = np.unpackbits(np.frombuffer(hashlib.md5(gram.encode()).digest()[:8], np.uint8))
-            got = cache[gram] = bits.astype(np.int64) * 2 - 1
-        return got
+    eight bytes of each gram's MD5 vote, a bit is set if its votes are positive.
+
+    Grams are packed into integers, 21 bits a character, so that only distinct ones are
+    hashed and a text's votes are one product of counts and rows of the table of votes.
+    """
+    rows: dict[int, int] = {}
+    table = np.empty((1 << 12, 64), np.float32)
+
+    def votes(code: int) -> np.ndarray:
+        gram = "".join(chr(code >> s & 0x1FFFFF) for s in (42, 21, 0))
+        return np.unpackbits(np.frombuffer(hashlib.md5(gram.encode("utf-8", "replace")).digest()[:8], np.uint8)).astype(np.float32) * 2 - 1
 
     def one(text: str | None) -> int:
-        bare = "".join((text or "").split())
-        total = np.zeros(64, np.int64)
-        for gram, n in Counter(bare[i : i + GRAM] for i in range(len(bare) - GRAM + 1)).items():
-            total += n * votes(gram)
+        nonlocal table
+        points = np.frombuffer("".join((text or "").split()).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+        if len(points) < GRAM:
+            return 0
+        codes, counts = np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:], return_counts=True)
+        at = []
+        for code in codes.tolist():
+            k = rows.get(code)
+            if k is None:
+                k = rows[code] = len(rows)
+                if k == len(table):
+                    table = np.concatenate([table, np.empty_like(table)])
+                table[k] = votes(code)
+            at.append(k)
+        total = counts.astype(np.float64) @ table[at]
         return int.from_bytes(np.packbits(total > 0).tobytes(), "big", signed=True)
 
     for some in texts:
         yield some.map(one)
+        if len(rows) > _HELD:
+            rows.clear()
 
 
 def simhash(text: Column | str) -> Column:
@@ -55,7 +69,8 @@ def near_pairs(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
     Equal fingerprints are joined once, by their smallest document.
     """
-    one = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    # both sides of the join read this thin table; it is kept, so that texts are hashed once
+    one = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).persist()
     width = 64 // (most + 1)
     bands = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1).alias("bits")) for k in range(most + 1)]
     rows = one.select("doc_id", "fp", F.explode(F.array(*bands)).alias("k")).select("doc_id", "fp", "k.band", "k.bits")

@@ -18,6 +18,8 @@ DEFAULT_K, POOL, TOP = 60, 50, 5
 K1, B = 1.2, 0.75
 #: Rows of queries that are sent to all tasks at once; more are taken in blocks.
 QUERY_ROWS = 20_000
+#: Distinct query terms that are broadcast at most.
+TERM_ROWS = 1_000_000
 
 
 def top_k(scored: DataFrame, k: int, score: str, *ids: str) -> DataFrame:
@@ -67,12 +69,14 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = POOL) -> DataFrame:
     (query_id, text), whose distinct terms count once.
 
     Equi-joins on terms: the postings of all documents are never scored, only those of
-    query terms.  The statistics come from the same pass over the words.
+    query terms, which are broadcast while they are at most ``TERM_ROWS``, so that other words
+    don't reach the shuffle.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
     rows = docs.select("id", text.words(F.col("text")).alias("ws")).withColumn("len", F.size("ws"))
-    total = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    total = docs.agg(F.count("*").alias("n"), F.avg(text.word_count(F.col("text"))).alias("avgdl"))
     wanted = terms.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= TERM_ROWS else wanted
     tf = rows.select("id", "len", F.explode("ws").alias("term")).join(wanted, "term").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
     by_term = Window.partitionBy("term")
     tf = tf.withColumn("df", F.count("*").over(by_term))
