@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialize, text_bytes
+from corpusloom.llm.shared import materialize, sliced, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -169,7 +169,7 @@ def find_hits(
 
         def search(batches, some=some):
             scan = _scanner(some, window)
-            for batch in batches:
+            for batch in sliced(batches):
                 n, spans, items = [], [], []
                 for text, had, were in zip(text_bytes(batch.column("text")), batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True):
                     count, new, hit = scan(text)
@@ -203,7 +203,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
 
         def keep(batches, some=some):
             scan = _scanner(some, window)
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not scan(t)[1] for t in text_bytes(batch.column(text_col))], pa.bool_()))
 
         docs = (materialize(docs, "decontam") if at else docs).mapInArrow(keep, docs.schema)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialize, text_bytes
+from corpusloom.llm.shared import materialize, sliced, text_bytes
 
 MIN_CHARS = 1
 MIN_DOCS = 10
@@ -149,7 +149,7 @@ def line_counts(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CH
             halves = np.array([*n.keys()], np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([*n.values()], pa.int64())], ["hi", "lo", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for keys in _keys_of(text_bytes(batch.column(0)), min_chars):
                 n.update(keys)
                 if len(n) > _FLUSH:
@@ -281,7 +281,7 @@ class LineIndex:
         min_chars = self.min_chars
 
         def pairs(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 keys = _keys_of(text_bytes(batch.column("__text")), min_chars)
                 at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
                 halves = np.array([x for k in keys for x in k], np.int64).reshape(-1, 2)
@@ -307,7 +307,7 @@ class LineIndex:
 
         def split(batches):
             drops = None if probe is None else _dropper(probe.value, shards, min_chars)
-            for batch in batches:
+            for batch in sliced(batches):
                 texts = text_bytes(batch.column("__text"))
                 if drops is not None:
                     found = drops(texts)

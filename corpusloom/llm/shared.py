@@ -81,3 +81,11 @@ def text_bytes(column) -> list:
         column = column.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def sliced(batches, rows: int = 500):
+    """The batches in slices of at most ``rows`` rows, so that what a task makes of them
+    stays small however many rows a batch has."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.shared import broadcast_if_small, materialize, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, materialize, sliced, text_bytes
 
 SHINGLE = 4
 RADIUS = 4
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp: the fingerprint's bits as a signed long) of every document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
