@@ -21,8 +21,8 @@ that suffixes which sort alike travel together as one thin row instead of one ro
    whole window.
 
 Scale: equal runs within a batch are combined before the shuffle, so a passage that a third
-of the documents share arrives as few rows; the rows are thin, windows over them spill, and
-no step collects a group that is not bounded by ``GROUP``.  Texts are shuffled twice: once
+of the documents share arrives as few rows; rows are thin, digits with more than ``GROUP`` rows
+are spread over tasks by digit and digest, and no step collects a larger group.  Texts are shuffled twice: once
 to those that have open runs, once to put the result together.
 
 Edge cases: a null or empty text, or one under ``threshold`` bytes, keeps all bytes.
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialize, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, materialize, text_bytes
 
 THRESHOLD = 400
 GRAM = 32
@@ -177,20 +177,35 @@ def _first_rows(threshold: int, gram: int):
 _ROW = "key long, span long, rid long, size int, pos long, done boolean"
 
 
-def _sorted_out(rows: DataFrame, more: list[str]) -> DataFrame:
+def _sorted_out(rows: DataFrame, more: list[str], hot: int = GROUP) -> DataFrame:
     """What is settled or goes on after a digit.
 
     Adds ``settled`` (the run's windows repeat), ``onward`` (it goes to the next digit) and
-    ``members``, the number of rows with its digit.
+    ``members``, the number of different runs with its digit.  Digits with more than ``hot``
+    rows are not brought together in one task: their runs are grouped by digit and digest, and
+    only the numbers of those groups meet.
     """
+    rows = materialize(rows, "suffix-rows")
+    often = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "suffix-hot")
+    n = often.count()
+    keep = ["key", "span", "rid", "size", "pos", "settled", "onward", "members", *more]
     by_span = Window.partitionBy("key", "span").orderBy("rid", "pos")
     every = by_span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_key = Window.partitionBy("key")
-    rows = rows.repartition("key").withColumns({"n": F.count("*").over(every), "at": F.row_number().over(by_span)})
-    rows = rows.withColumns({"mixed": F.min("span").over(by_key) != F.max("span").over(by_key), "members": F.sum(F.when(F.col("at") == 1, 1).otherwise(0)).over(by_key)})
-    settled = F.col("done") | (F.col("n") > 1)
-    rows = rows.withColumns({"settled": settled, "onward": F.col("mixed") & (F.col("at") == 1)})
-    return rows.where("settled or onward").select("key", "span", "rid", "size", "pos", "settled", "onward", "members", *more)
+    few = rows.join(broadcast_if_small(often, n), "key", "left_anti") if n else rows
+    few = few.repartition("key").withColumns({"n": F.count("*").over(every), "at": F.row_number().over(by_span)})
+    few = few.withColumn("members", F.sum(F.when(F.col("at") == 1, 1).otherwise(0)).over(by_key))
+    few = few.withColumns({"settled": F.col("done") | (F.col("n") > 1), "onward": (F.col("members") > 1) & (F.col("at") == 1)}).where("settled or onward").select(*keep)
+    if not n:
+        return few
+    many = rows.join(broadcast_if_small(often, n), "key", "left_semi")
+    spans = many.groupBy(F.col("key").alias("k"), F.col("span").alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("first"))
+    digits = spans.groupBy(F.col("k").alias("d")).agg(F.count("*").alias("members"))
+    spans = materialize(spans.join(broadcast_if_small(digits, n), F.col("k") == F.col("d")).drop("d"), "suffix-spans")
+    both = many.join(spans, (F.col("key") == F.col("k")) & (F.col("span") == F.col("s")))
+    first = (F.col("rid") == F.col("first.rid")) & (F.col("pos") == F.col("first.pos"))
+    both = both.withColumns({"settled": F.col("done") | (F.col("n") > 1), "onward": (F.col("members") > 1) & first})
+    return few.unionByName(both.where("settled or onward").select(*keep))
 
 
 def _cut(text: bytes, pos: int, threshold: int) -> bytes:
@@ -342,7 +357,7 @@ def repeated_runs(docs: DataFrame, *, text_col: str = "text", threshold: int = T
     gram = gram_of(threshold)
     texts = _texts(docs, text_col).where(F.col("size") >= threshold)
     first = texts.mapInArrow(_first_rows(threshold, gram), _ROW)
-    level = materialize(_sorted_out(first, []), "suffix-1")
+    level = materialize(_sorted_out(first, [], group), "suffix-1")
     settled = [level.where("settled").select("rid", "size", "pos")]
     opened = level.where("onward").select("key", "span", "rid", "size", "pos", "settled", "members")
     runs_ = materialize(_with_bytes(opened, texts, threshold), "suffix-open")
@@ -355,7 +370,7 @@ def repeated_runs(docs: DataFrame, *, text_col: str = "text", threshold: int = T
             break
         width = -(-width // FANOUT)
         rows = large.drop("members").mapInArrow(_children(threshold, gram, width), _ROW + ", seg binary")
-        level = materialize(_sorted_out(rows, ["seg"]), "suffix-next")
+        level = materialize(_sorted_out(rows, ["seg"], group), "suffix-next")
         settled.append(level.where("settled").select("rid", "size", "pos"))
         runs_ = level.where("onward").select("key", "span", "rid", "size", "pos", F.col("settled").alias("done"), "members", "seg")
     out = settled[0]
