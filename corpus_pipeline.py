@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it k
 
 1. toxicity: documents that the model rejects go.
 2. line dedup: lines that ten or more documents hold go; the documents stay.
-3. SimHash near-dedup: of each group of linked documents one stays.
+3. near-dedup: of each group of documents linked by five-word Jaccard similarity (at least
+   0.8, candidates by MinHash) one stays.
 4. benchmark decontamination: documents with a benchmark window go.
 5. mixing: the documents of a mix of the sources, with ``copies``, how often each is taken.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, linededup, mixing, shared, simhash, toxicity
+from corpusloom.llm import decontam, jaccard, linededup, mixing, shared, toxicity
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", reject_toxic),
     ("line dedup", drop_repeated_lines),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]

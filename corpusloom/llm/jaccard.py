@@ -1,0 +1,188 @@
+"""Near-dedup by the Jaccard similarity of word shingles: MinHash candidates, exact check.
+
+Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of
+0.8 or more.  Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, and sets
+that share a key meet.  A pair at similarity s shares one with probability
+1 - (1 - s^7)^48, which is 0.99999 at 0.8.  Every candidate is then verified by the exact
+similarity of both whole sets, in integers, so no link is below the threshold.
+
+Sets are deduplicated first (exact copies are one set).  Candidates are taken in two steps,
+so that a large group of near copies does not make all its pairs:
+
+1. in each key's bucket the sets are linked as a chain, in an order of their own for each
+   bucket; the verified links give first components;
+2. all pairs of a bucket that lie in different components are verified.
+
+A pair that is left out is connected already, so the components are those of all
+candidate pairs.  Nothing is capped: step 2 grows with the pairs that share a key and are not near copies.
+
+Edge cases: null, empty and wordless texts have the empty set, which is linked to itself
+only; a text of fewer words than the shingle is one shingle of all of them.  Null doc_ids
+and repeated rows are as in ``simhash``.  Shingles and sets are known by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpusloom.llm import simhash
+from corpusloom.llm.components import connected_components
+from corpusloom.llm.shared import materialize, sliced, text_bytes
+
+SHINGLE = 5
+#: The least similarity, NEAR / OF.
+NEAR, OF = 4, 5
+BANDS, ROWS = 48, 7
+SEED = 42
+#: Shingles whose hashes are made at once.
+_CHUNK = 1 << 12
+
+_RANDOM = np.random.default_rng(SEED)
+_TURNS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_MIX = _RANDOM.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted hashes of the different shingles of a text."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(shingle, len(words))
+    n = len(words) - k + 1
+    h = xxhash.xxh64_digest
+    data = b"".join([h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)])
+    return np.unique(np.frombuffer(data, np.uint64))
+
+
+def keys(own: np.ndarray) -> np.ndarray:
+    """The keys of a set under which it meets others."""
+    if not len(own):
+        return np.empty(0, np.int64)
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    top = (own >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(top), _CHUNK):
+        np.minimum(low, (top[at : at + _CHUNK, None] * _TURNS[None, :]).min(0), out=low)
+    key = ((low.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _MIX).sum(1, dtype=np.uint64)
+    key = (key ^ (key >> np.uint64(31)) ^ np.arange(BANDS, dtype=np.uint64)) * _STEP
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
+
+
+def near(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets are at least NEAR / OF similar."""
+    n, m = len(one), len(other)
+    if OF * min(n, m) < NEAR * max(n, m):
+        return False
+    both = np.sort(np.concatenate([one, other]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return OF * common >= NEAR * (n + m - common)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, node: the set's hash, n: its size, own: its shingles, keys)."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            own = [shingles(t, shingle) for t in text_bytes(batch.column(1))]
+            data = [x.tobytes() for x in own]
+            node = np.array([xxhash.xxh3_64_intdigest(d) for d in data], np.uint64).view(np.int64)
+            arrays = [batch.column(0), pa.array(node), pa.array([len(x) for x in own], pa.int32()), pa.array(data, pa.binary()), pa.array([keys(x) for x in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "n", "own", "keys"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, node long, n int, own binary, keys array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which the sets are near."""
+    needed = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct()
+    own = materialize(sets.join(needed, F.col("node") == F.col("x"), "left_semi").select("node", "own").dropDuplicates(["node"]), "near-sets")
+    one = own.select(F.col("node").alias("na"), F.col("own").alias("oa"))
+    other = own.select(F.col("node").alias("nb"), F.col("own").alias("ob"))
+    rows = pairs.join(one, F.col("a") == F.col("na")).join(other, F.col("b") == F.col("nb")).select("a", "b", "oa", "ob")
+
+    def run(batches):
+        for batch in sliced(batches):
+            sides = zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), strict=True)
+            good = [near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return materialize(rows.mapInArrow(run, "a long, b long"), "near-links")
+
+
+def _sized(pairs: DataFrame) -> DataFrame:
+    """The different pairs (a < b) whose sizes allow the similarity."""
+    fits = OF * F.least("n", "m") >= NEAR * F.greatest("n", "m")
+    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) links whose components are those of all candidate pairs that are near.
+
+    ``nodes`` (node, n, keys) has each set of ``sets`` once.
+    """
+    met = nodes.select("node", "n", F.explode("keys").alias("key"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
+    met = met.withColumns({"b": F.lag("node").over(order), "m": F.lag("n").over(order), "next": F.lead("node").over(order)})
+    met = materialize(met.where("b is not null or next is not null").drop("next"), "near-buckets")
+    tried = materialize(_sized(met.where("b is not null").select(F.col("node").alias("a"), "n", "b", "m")), "near-chain")
+    first = _verified(tried, sets)
+    roots = connected_components(first)
+    placed = met.select("key", "node", "n").join(roots.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
+    placed = placed.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select(F.col("key").alias("k"))
+    placed = materialize(placed.join(mixed, F.col("key") == F.col("k"), "left_semi"), "near-mixed")
+    # components first, then their sets: no pair within a component is made
+    groups = placed.select("key", "root").distinct()
+    both = groups.select("key", F.col("root").alias("ra")).join(groups.select(F.col("key").alias("k"), F.col("root").alias("rb")), (F.col("key") == F.col("k")) & (F.col("ra") < F.col("rb"))).select("key", "ra", "rb")
+    both = both.join(placed.select(F.col("key").alias("k"), F.col("root").alias("r"), F.col("node").alias("a"), "n"), (F.col("key") == F.col("k")) & (F.col("ra") == F.col("r"))).select("key", "rb", "a", "n")
+    both = both.join(placed.select(F.col("key").alias("k"), F.col("root").alias("r"), F.col("node").alias("b"), F.col("n").alias("m")), (F.col("key") == F.col("k")) & (F.col("rb") == F.col("r"))).select("a", "n", "b", "m")
+    rest = materialize(_sized(both).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    return first.unionByName(_verified(rest, sets))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id that can be reached over links."""
+    sets = materialize(_sets(docs, id_col, text_col, shingle), "near-shingles")
+    nodes = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-nodes")
+    roots = materialize(connected_components(links(sets, nodes.select("node", "n", "keys"))).withColumnRenamed("node", "x"), "near-roots")
+    placed = nodes.join(roots, F.col("node") == F.col("x"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
+    classes = placed.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("x"), "component_id")
+    return sets.select("doc_id", "node").join(materialize(classes, "near-classes"), F.col("node") == F.col("x")).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The documents without near-duplicates, as ``simhash.keep_one`` keeps them."""
+    return simhash.keep_one(docs, id_col=id_col, text_col=text_col, shingle=shingle, find=near_duplicates)
+
+
+def brute_force(texts: dict, shingle: int = SHINGLE) -> dict:
+    """{doc_id: component_id} by comparing all pairs of sets of words; for tests."""
+    sets = {}
+    for k, text in texts.items():
+        words = (text or "").encode().lower().split()
+        m = min(shingle, len(words))
+        sets[k] = frozenset(tuple(words[i : i + m]) for i in range(len(words) - m + 1)) if m else frozenset()
+    root = {k: k for k in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            common = len(sets[a] & sets[b])
+            if OF * common >= NEAR * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in ids}

@@ -272,15 +272,16 @@ def brute_force(texts: dict, shingle: int = SHINGLE) -> dict:
     return {k: (fps[k], top(k)) for k in ids}
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, find=near_duplicates) -> DataFrame:
     """The documents without near-duplicates, with all columns: of each component the
     document with the smallest id stays (null ids last, then by a hash of the text).
+    ``find`` gives the components.
 
     Rows that are equal in id and text are one document, of which one row stays.
     """
     ident = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
     marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__doc"), ident.alias("__id"))
-    found = near_duplicates(marked.select("__id", F.col("__doc")[text_col].alias("__text")), id_col="__id", text_col="__text", shingle=shingle)
+    found = find(marked.select("__id", F.col("__doc")[text_col].alias("__text")), id_col="__id", text_col="__text", shingle=shingle)
     found = materialize(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "near-dups")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
     n_gone, repeated = found.agg(F.sum((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")), F.max("n")).first()
