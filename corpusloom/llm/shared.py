@@ -83,9 +83,32 @@ def text_bytes(column) -> list:
     return column.cast(kind).to_pylist()
 
 
-def sliced(batches, rows: int = 500):
-    """The batches in slices of at most ``rows`` rows, so that what a task makes of them
-    stays small however many rows a batch has."""
+def column(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: Bytes of texts that a slice holds at most, where it has more than one row.
+SLICE_BYTES = 2_000_000
+
+
+def sliced(batches, rows: int = 500, of: str | None = None):
+    """The batches in slices of at most ``rows`` rows, and of at most ``SLICE_BYTES`` in the
+    text column ``of``, so that what a task makes of them stays small however many rows a
+    batch has and however long they are."""
+    import numpy as np
+    import pyarrow.compute as pc
+
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if of is None:
+            cuts = [*range(0, batch.num_rows, rows), batch.num_rows]
+        else:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(of)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0]
+            while cuts[-1] < batch.num_rows:
+                at = cuts[-1]
+                fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
+                cuts.append(min(max(fits, at + 1), at + rows, batch.num_rows))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
