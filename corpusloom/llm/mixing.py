@@ -1,37 +1,48 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source has a target number of words.  A document first gets the whole copies
-that its source's ratio target / size grants everyone.  What is left of the target is
-filled by Pareto sampling: document i with inclusion probability p_i draws a uniform
-number u_i from a hash, the documents are ranked by
+Each source has a target number of words.  A document first gets the whole copies that its
+source's ratio target / size grants everyone.  What is left of the target is filled by a
+Pareto sample: document i has an inclusion probability p_i, draws a uniform number u_i from a
+hash, the documents are ranked by
 
     q_i = (u_i / (1 - u_i)) / (p_i / (1 - p_i))
 
-and the first ones in that order are taken until their words fill the rest of the
-target (the sample's size is fixed in words, not in documents).  p_i is the rest's
-share of the source, tilted by (size / mean size) ** ``tilt``, so that within a source
-the probabilities differ.
-
-Scale: a thin table (id, source, size, key) is written once.  The cut in the order is
-found by histograms of sizes over digits of the ranking key, most significant digit
-first: each pass is one partial aggregation per source and digit, so a source that
-holds a third of all rows is spread over all tasks and nothing is sorted whole.
-
-Edge cases: a null or blank text has size 0 and nothing is taken of it; the null source
-is a source of its own, last in order; null and repeated doc_ids are fine, since u_i
-also depends on the text.  Rows that are equal in id, source and text share one draw and
-are taken or left together.  Empty tables give empty results.  Only the named columns
-are read in ``plan_mix``; ``mix`` keeps all columns and adds ``copies``.
+and the first n are taken.  p_i is proportional to a weight of the document's size class
+(its size to the power ``tilt``, in steps of an eighth of a doubling) and scaled so that the
+sample's expected words are the rest of the target; documents whose p_i would reach 1 are
+certain and taken out until all others are below it.  n is the sum of all p_i, rounded: the
+sample's size is fixed.
+
+A fixed number of documents has a random number of words.  So the words are brought to the
+target around the cut: the last ``NEAR`` documents taken and the next ``NEAR`` ones are gone
+through again in order, and each is taken if it still fits into the words that are left.  The
+miss of a large source is small before that (it falls with the root of n), that of a small
+source is corrected among all its documents.
+
+Scale: a thin table (id, source, size, draw) is written once.  Classes of sizes are counted by
+partial aggregations, at most a few hundred rows a source.  The cut in the order is found by
+histograms over digits of the ranking key, most significant digit first: each pass is one
+partial aggregation per source and digit, so a source that holds a third of all rows is
+spread over all tasks and nothing is sorted whole.  The documents around a cut are limited in
+each task before they meet.
+
+Edge cases: a null or blank text has size 0 and nothing is taken of it; the null source is a
+source of its own, last in order; null and repeated doc_ids are fine, since u_i also depends
+on the text.  Rows that are equal in id, source and text share one draw and are taken or left
+together.  Empty tables give empty results.  Only the named columns are read in ``plan_mix``;
+``mix`` keeps all columns and adds ``copies`` (``copies_2`` and so on if there is such a
+column already).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import broadcast_if_small, materialize
+from corpusloom.llm.shared import broadcast_if_small, column, materialize
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -40,6 +51,10 @@ TILT = 0.25
 SEED = 20240607
 #: Digits of the ranking key and bits in each.
 DIGITS, BITS = 3, 12
+#: Classes of sizes in a doubling.
+STEPS = 8
+#: Documents on either side of the cut that may be left or taken for the words' sake.
+NEAR = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -77,87 +92,184 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: in
     return rows.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def _thin(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), _uniform(F.col(id_col), F.col(source_col), text).alias("u"))
+def _class(size: Column) -> Column:
+    """The class of a size of at least 1."""
+    return F.floor(F.log2(size.cast("double")) * STEPS + 1e-9).cast("int")
+
+
+def _weight(klass: Column, tilt: float) -> Column:
+    return F.pow(F.lit(2.0), klass * F.lit(tilt / STEPS))
+
+
+def _key(u: Column, p: Column) -> Column:
+    """The rank q of a draw as an integer, increasing; -1 for certain documents."""
+    odds = (u / (1 - u)) * ((1 - p) / p)
+    top = 1 << DIGITS * BITS
+    key = F.least(F.floor(odds / (1 + odds) * F.lit(float(top))), F.lit(top - 1)).cast("long")
+    return F.when(p >= 1, F.lit(-1).cast("long")).otherwise(key)
 
 
-def _ranked(thin: DataFrame, tilt: float, weights: Sequence[float], max_copies: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with their source's figures and key, one row per source)."""
-    sums = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sources = materialize(
-        targets(sums.select("source", "source_size"), weights, max_copies).alias("t").join(sums.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-sources"
-    )
+def _chance(size: Column, scale: Column, tilt: float) -> Column:
+    """The inclusion probability of a document of at least one word."""
+    return F.least(F.lit(1.0), F.greatest(scale * _weight(_class(size), tilt), F.lit(1e-12)))
+
+
+def _sources(thin: DataFrame, weights: Sequence[float], max_copies: int, tilt: float) -> DataFrame:
+    """One row per source: source, source_size, target, whole (copies for everyone), rest
+    (words of the sample), scale (of the inclusion probabilities), n (documents of the sample)
+    and sure (those of them that are certain)."""
+    classes = materialize(thin.groupBy("source", F.when(F.col("size") > 0, _class(F.col("size"))).alias("k")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-classes")
+    goals = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_copies)
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    sources = sources.withColumn("whole", F.floor(ratio + 1e-12).cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    count = sources.count()
-    rows = thin.alias("d").join(broadcast_if_small(sources.withColumnRenamed("source", "s"), count), F.col("d.source").eqNullSafe(F.col("s"))).drop("s")
-    share = F.coalesce(F.try_divide(F.col("rest"), F.col("source_size").cast("double")), F.lit(0.0))
-    tilted = F.pow(F.coalesce(F.try_divide(F.col("size") * F.col("n"), F.col("source_size").cast("double")), F.lit(0.0)), F.lit(tilt))
-    p = F.least(F.greatest(share * tilted, F.lit(1e-9)), F.lit(1 - 1e-9))
-    q = (F.col("u") / (1 - F.col("u"))) * ((1 - p) / p)
-    key = F.least(F.floor(q / (1 + q) * F.lit(float(1 << DIGITS * BITS))), F.lit((1 << DIGITS * BITS) - 1)).cast("long")
-    return rows.withColumn("key", key), sources
-
-
-def _cuts(ranked: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, last): the last key that is taken in each source; -1 for none."""
-    state = sources.where("rest > 0").select("source", F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"), F.lit(0.0).alias("at_cut"))
-    sampled = ranked.where((F.col("size") > 0) & (F.col("rest") > 0)).select("source", "size", "key")
+    goals = goals.withColumn("whole", F.floor(ratio + 1e-12).cast("long"))
+    left = F.col("target") - F.col("whole") * F.col("source_size")
+    goals = materialize(goals.withColumn("rest", F.when(left > 1e-9 * F.col("target"), left).otherwise(0.0)), "mix-targets")
+    own = classes.where("k is not null").alias("c").join(broadcast_if_small(goals.select(F.col("source").alias("s"), "rest"), goals.count()), F.col("source").eqNullSafe(F.col("s"))).where("rest > 0")
+    # the classes from the largest on are certain up to the first one whose scaled weight is under 1
+    down = Window.partitionBy("source").orderBy(F.col("k").desc())
+    up = Window.partitionBy("source").orderBy("k")
+    w = _weight(F.col("k"), tilt)
+    own = own.withColumns({"w": w, "sure": F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "sure_words": F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    own = own.withColumns({"tilted": F.sum(w * F.col("words")).over(up), "docs": F.sum(w * F.col("n")).over(up)})
+    own = own.withColumn("scale", (F.col("rest") - F.col("sure_words")) / F.col("tilted")).where("scale * w < 1")
+    best = own.groupBy("s").agg(F.max(F.struct("k", "scale", "sure", (F.col("sure") + F.col("scale") * F.col("docs")).alias("n"))).alias("b"))
+    best = best.select("s", F.greatest("b.scale", F.lit(0.0)).alias("scale"), F.round("b.n").cast("long").alias("n"), F.col("b.sure").alias("sure"))
+    both = goals.join(best, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return materialize(both.fillna({"scale": 0.0, "n": 0, "sure": 0}), "mix-sources")
+
+
+def _thin(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    text = column(text_col)
+    return docs.select(column(id_col).alias("doc_id"), column(source_col).alias("source"), size_of(text).alias("size"), _uniform(column(id_col), column(source_col), text).alias("u"))
+
+
+def _with_keys(rows: DataFrame, sources: DataFrame, count: int, tilt: float) -> DataFrame:
+    """``rows`` (source, size, u, …) with ``__mix``, their source's figures, and the key."""
+    figures = sources.select(F.struct(*sources.columns).alias("__mix"))
+    rows = rows.join(broadcast_if_small(figures, count), F.col("source").eqNullSafe(F.col("__mix.source")))
+    draws = (F.col("__mix.rest") > 0) & (F.col("size") > 0)
+    return rows.withColumn("key", F.when(draws, _key(F.col("u"), _chance(F.col("size"), F.col("__mix.scale"), tilt))))
+
+
+def _cuts(sampled: DataFrame, sources: DataFrame) -> DataFrame:
+    """(s, last): the key of the last document of each source's sample; -1 if only certain
+    ones are in it."""
+    drawn = sources.where("n > sure").select("source", F.lit(0).cast("long").alias("prefix"), (F.col("n") - F.col("sure")).alias("left"))
+    state = drawn
     for k in range(DIGITS):
         low = (DIGITS - 1 - k) * BITS
-        count = state.count()
-        here = broadcast_if_small(state.select(F.col("source").alias("s"), "prefix", "left"), count)
-        rows = sampled.join(here, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("key", low + BITS) == F.col("prefix")))
-        bins = rows.groupBy("s", "prefix", "left", F.shiftright("key", low).alias("bin")).agg(F.sum("size").cast("double").alias("words"))
+        here = broadcast_if_small(state.select(F.col("source").alias("s"), "prefix", "left"), state.count())
+        rows = sampled.where("key >= 0").join(here, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("key", low + BITS) == F.col("prefix")))
+        bins = rows.groupBy("s", "left", F.shiftright("key", low).alias("bin")).agg(F.count("*").alias("n"))
         order = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         back = Window.partitionBy("s").orderBy(F.col("bin").desc())
-        bins = bins.withColumns({"sum": F.sum("words").over(order), "from_end": F.row_number().over(back)})
-        # the bin that reaches what is left; the last one if none does
-        first = bins.where((F.col("sum") >= F.col("left")) | (F.col("from_end") == 1)).groupBy("s").agg(F.min(F.struct("bin", "words", "sum", "left")).alias("b"))
-        state = materialize(first.select(F.col("s").alias("source"), F.col("b.bin").alias("prefix"), (F.col("b.left") - F.col("b.sum") + F.col("b.words")).alias("left"), F.col("b.words").alias("at_cut")), "mix-cut")
-    nearer = F.col("at_cut") - F.col("left") <= F.col("left")
-    return state.select("source", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
+        bins = bins.withColumns({"sum": F.sum("n").over(order), "from_end": F.row_number().over(back)})
+        # the bin that reaches the sample's size; the last one if none does
+        first = bins.where((F.col("sum") >= F.col("left")) | (F.col("from_end") == 1)).groupBy("s").agg(F.min(F.struct("bin", "n", "sum", "left")).alias("b"))
+        state = materialize(first.select(F.col("s").alias("source"), F.col("b.bin").alias("prefix"), (F.col("b.left") - F.col("b.sum") + F.col("b.n")).alias("left")), "mix-cut")
+    rest = sources.select(F.col("source").alias("s"))
+    found = rest.join(state.select("source", "prefix"), F.col("s").eqNullSafe(F.col("source")), "left")
+    return materialize(found.select("s", F.coalesce("prefix", F.lit(-1).cast("long")).alias("last")), "mix-cuts")
+
+
+def _changes(sampled: DataFrame, sources: DataFrame, cuts: DataFrame, near: int) -> DataFrame:
+    """(s, changed): the keys around each source's cut that change sides for the words' sake."""
+    here = broadcast_if_small(cuts.join(sources.select("source", "rest"), F.col("s").eqNullSafe(F.col("source"))).drop("source"), cuts.count())
+    rows = sampled.join(here, F.col("source").eqNullSafe(F.col("s"))).select("s", "rest", "key", "size", (F.col("key") <= F.col("last")).alias("taken"))
+    words = rows.where("taken").groupBy(F.col("s").alias("t")).agg(F.sum("size").cast("double").alias("words"))
+    inside, outside = Window.partitionBy("s").orderBy(F.col("key").desc()), Window.partitionBy("s").orderBy("key")
+    last = rows.where("taken and key >= 0").withColumn("at", F.row_number().over(inside)).where(F.col("at") <= near)
+    after = rows.where("not taken").withColumn("at", F.row_number().over(outside)).where(F.col("at") <= near)
+    around = last.unionByName(after).groupBy("s", "rest", "key", "taken").agg(F.sum("size").cast("double").alias("size"))
+    per = around.groupBy("s", "rest").agg(F.array_sort(F.collect_list(F.struct("key", "size", "taken"))).alias("around"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0.0)).alias("open"))
+    per = per.join(words, F.col("s").eqNullSafe(F.col("t")), "left")
+    room = F.col("rest") - F.coalesce("words", F.lit(0.0)) + F.col("open")
+    start = F.struct(room.alias("room"), F.array().cast("array<bigint>").alias("keys"))
 
+    def step(acc, x):
+        fits = x["size"] <= acc["room"]
+        keys = F.when(fits != x["taken"], F.array_append(acc["keys"], x["key"])).otherwise(acc["keys"])
+        return F.struct((acc["room"] - F.when(fits, x["size"]).otherwise(0.0)).alias("room"), keys.alias("keys"))
+
+    return materialize(per.select("s", F.aggregate("around", start, step)["keys"].alias("changed")), "mix-changes")
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], max_copies: int, tilt: float, near: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The thin table, the sources with their cuts, the changed keys and their number."""
+    thin = materialize(_thin(docs, id_col, text_col, source_col), "mix-sizes")
+    sources = _sources(thin, weights, max_copies, tilt)
+    sampled = _with_keys(thin, sources, sources.count(), tilt).where("key is not null").select("source", "size", "key")
+    cuts = _cuts(sampled, sources)
+    changed = materialize(_changes(sampled, sources, cuts, near).select(F.col("s").alias("cs"), F.explode("changed").alias("ck")).distinct(), "mix-changed")
+    sources = materialize(sources.join(cuts, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-figures")
+    return thin, sources, changed, changed.count()
 
-def _copies(ranked: DataFrame, sources: DataFrame) -> DataFrame:
-    cuts = _cuts(ranked, sources).withColumnRenamed("source", "s")
-    rows = ranked.join(broadcast_if_small(cuts, cuts.count()), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    extra = F.when((F.col("rest") > 0) & (F.col("size") > 0) & (F.col("key") <= F.col("last")), 1).otherwise(0)
-    return rows.withColumn("copies", (F.col("whole") + extra).cast("long"))
 
+def _taken(rows: DataFrame, sources: DataFrame, changed: DataFrame, n: int, tilt: float) -> DataFrame:
+    """``rows`` (source, size, u, …) with ``__mix`` and ``__copies``."""
+    rows = _with_keys(rows, sources, sources.count(), tilt)
+    rows = rows.join(broadcast_if_small(changed, n), F.col("source").eqNullSafe(F.col("cs")) & (F.col("key") == F.col("ck")), "left")
+    first = F.coalesce(F.col("key") <= F.col("__mix.last"), F.lit(False))
+    return rows.withColumn("__copies", F.col("__mix.whole") + (first != F.col("ck").isNotNull()).cast("long"))
 
-def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_copies: int = MAX_COPIES, tilt: float = TILT) -> DataFrame:
+
+def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_copies: int = MAX_COPIES, tilt: float = TILT, near: int = NEAR) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies and
     taken (copies times size)."""
-    thin = materialize(_thin(docs, id_col, text_col, source_col), "mix-sizes")
-    rows = _copies(*_ranked(thin, tilt, weights, max_copies))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    thin, sources, changed, n = _plan(docs, id_col, text_col, source_col, weights, max_copies, tilt, near)
+    rows = _taken(thin, sources, changed, n, tilt)
+    return rows.select("doc_id", "source", "size", F.col("__mix.source_size").alias("source_size"), F.col("__mix.target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_copies: int = MAX_COPIES, tilt: float = TILT) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_copies: int = MAX_COPIES, tilt: float = TILT, near: int = NEAR) -> DataFrame:
     """The documents of the mix with all their columns and ``copies``, how often each
     is taken; those that are not taken go."""
-    thin = materialize(_thin(docs, id_col, text_col, source_col), "mix-sizes")
-    ranked, sources = _ranked(thin, tilt, weights, max_copies)
-    cuts = _cuts(ranked, sources)
-    figures = sources.alias("f").join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    figures = figures.select(F.struct("source", "source_size", "n", "whole", "rest", "last").alias("__mix"))
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__doc"))
-    own = own.withColumns({"source": F.col("__doc")[source_col], "size": size_of(F.col("__doc")[text_col])})
-    own = own.withColumn("u", _uniform(F.col("__doc")[id_col], F.col("__doc")[source_col], F.col("__doc")[text_col]))
-    rows = own.join(broadcast_if_small(figures, sources.count()), F.col("source").eqNullSafe(F.col("__mix.source")))
-    m = {c: F.col(f"__mix.{c}") for c in ("source_size", "n", "whole", "rest", "last")}
-    share = F.coalesce(F.try_divide(m["rest"], m["source_size"].cast("double")), F.lit(0.0))
-    tilted = F.pow(F.coalesce(F.try_divide(F.col("size") * m["n"], m["source_size"].cast("double")), F.lit(0.0)), F.lit(tilt))
-    p = F.least(F.greatest(share * tilted, F.lit(1e-9)), F.lit(1 - 1e-9))
-    q = (F.col("u") / (1 - F.col("u"))) * ((1 - p) / p)
-    key = F.least(F.floor(q / (1 + q) * F.lit(float(1 << DIGITS * BITS))), F.lit((1 << DIGITS * BITS) - 1)).cast("long")
-    extra = F.when((m["rest"] > 0) & (F.col("size") > 0) & (key <= m["last"]), 1).otherwise(0)
-    copies = (m["whole"] + extra).cast("long")
-    return rows.withColumn("__copies", copies).where("__copies > 0").select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns], F.col("__copies").alias("copies"))
+    _, sources, changed, n = _plan(docs, id_col, text_col, source_col, weights, max_copies, tilt, near)
+    own = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("__doc"))
+    part = lambda c: F.col("__doc")[c]
+    own = own.withColumns({"source": part(source_col), "size": size_of(part(text_col)), "u": _uniform(part(id_col), part(source_col), part(text_col))})
+    rows = _taken(own, sources, changed, n, tilt).where("__copies > 0")
+    names = {c.lower() for c in docs.columns}
+    name = next(x for x in ["copies", *[f"copies_{k}" for k in range(2, len(names) + 3)]] if x not in names)
+    return rows.select(*[part(c).alias(c) for c in docs.columns], F.col("__copies").alias(name))
 
 
 def digest(plan: DataFrame) -> DataFrame:
     """The contract's columns from those of ``plan_mix``."""
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def brute_force(rows: list, figures: dict, tilt: float = TILT, near: int = NEAR) -> dict:
+    """{index: copies} of ``rows`` (source, size, u) by the definition, for tests.
+
+    ``figures``: source -> (source_size, target).  Draws are given, all else is done again.
+    """
+    copies = {}
+    for source, (total, target) in figures.items():
+        own = [(i, size, u) for i, (s, size, u) in enumerate(rows) if s == source]
+        whole = math.floor(target / total + 1e-12) if total else 0
+        copies |= {i: whole for i, *_ in own}
+        rest = target - whole * total
+        if rest <= 1e-9 * target:
+            continue
+        own = [(i, size, u, 2.0 ** (math.floor(math.log2(size) * STEPS + 1e-9) * tilt / STEPS)) for i, size, u in own if size > 0]
+        sure: set = set()
+        while True:  # documents that reach 1 are certain
+            free = [x for x in own if x[0] not in sure]
+            scale = (rest - sum(x[1] for x in own if x[0] in sure)) / sum(w * size for _, size, _, w in free)
+            more = {i for i, _, _, w in free if scale * w >= 1}
+            if not more:
+                break
+            sure |= more
+        n = round(len(sure) + scale * sum(w for *_, w in free)) - len(sure)
+        odds = lambda u, p: u / (1 - u) * (1 - p) / p
+        order = sorted((odds(u, scale * w), size, i) for i, size, u, w in free)
+        sample = {i for _, _, i in order[: max(0, n - near)]}
+        room = rest - sum(size for i, size, *_ in own if i in sure | sample)
+        for _, size, i in order[max(0, n - near) : n + near]:
+            if size <= room:
+                sample.add(i)
+                room -= size
+        for i in sample | sure:
+            copies[i] += 1
+    return copies
