@@ -12,21 +12,28 @@ expression that only one class has seen is weighed against how likely it is to b
 all, and where neither has seen the beginning both give the same and the rest of the word
 says nothing.
 
-A word's log-likelihood ratio is the difference of both models' log-likelihoods.  A
-document's is the sum, over all its words, of what exceeds ``MARGIN`` (at most ``TOP`` a
-word), normalised by its length in words; a logistic function that is fitted on labelled
-documents which the counts have not seen turns it into a score from 0 to 1.
+A toxic document says most things as any other does, so its words come from a mixture: with
+probability 1 - MIX the ordinary model, with MIX the toxic one.  A document's evidence is the
+difference of its log-likelihoods as a toxic and as an ordinary document, normalised by its
+length in words:
+
+    1 / n * sum over its words of  ln(1 - MIX + MIX * exp(r)),   r = ln P_toxic - ln P_ordinary
+
+Nothing is clipped; the plain difference (MIX = 1) is drowned by the noise of ordinary words
+(figures in the README).  A logistic function that is fitted on labelled documents which the
+counts have not seen turns the evidence into a score from 0 to 1.
 
 Counts are numbers of documents that hold a word, over all labelled rows of the training
-folds.  Contexts (beginnings) that fewer than two toxic documents have seen are pruned, and
-the rarest go first until at most ``CONTEXTS`` are left: that bounds the broadcast model.
-The logistic function is fitted on at most ``CALIBRATION`` labelled rows.
+folds; every beginning that a toxic document has seen is in the model.  The logistic function
+is fitted on at most ``CALIBRATION`` labelled rows.
 
 Scale: word types and their beginnings are counted by partial aggregations; the labels are
 broadcast only while their counted number is within the bound, else both tables are shuffled
-by id; scoring is one pass over the documents without a shuffle.
+by id.  The model is a table.  While it has at most ``MODEL_ROWS`` rows it is broadcast, and
+scoring is one pass over the documents without a shuffle; beyond that the distinct words of
+the corpus are joined with the model and the texts with the words.  Both ways give the same.
 
-Edge cases: a null, empty or wordless text has no ratio and gets the score of zero evidence.
+Edge cases: a null, empty or wordless text has no evidence and gets the score of zero evidence.
 Null labels and labels of null ids are not used; a doc_id that several labels name is toxic
 if any says so.  Repeated rows count several times.  Empty tables, or labels of one class
 only, give everyone the share of toxic labels (0 without labels).  Only the named columns are
@@ -36,22 +43,24 @@ read; ``drop_toxic`` keeps all columns of its input.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import broadcast_if_small, fold_of, materialize, sliced, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, filtered, fold_of, materialize, sliced, text_bytes
 
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 DISCOUNT, SHARED_DISCOUNT = 0.9, 0.75
 #: Bytes that the shared backoff looks back.
 BACK = 4
-MARGIN, TOP = 2.0, 6.0
-MIN_CONTEXT = 2
-CONTEXTS = 1 << 19
+#: Share of the words of a toxic document that the toxic model says.
+MIX = 0.002
+#: Rows of the model (continuations of beginnings) that are broadcast at most: 24 bytes each.
+MODEL_ROWS = 1 << 22
 CALIBRATION = 20_000
 #: Longer words are read in pieces of so many bytes.
 PIECE = 48
@@ -148,24 +157,14 @@ def _added(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list, list
     return [k[at] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
-def _contexts(types: DataFrame, most: int) -> tuple[np.ndarray, int]:
-    """The hashes of the beginnings that the model uses, sorted, and their least count."""
+def _beginnings(types: DataFrame) -> DataFrame:
+    """(k): the hashes of the beginnings that a toxic document has seen, and of none."""
 
-    def emit(words, _ordinary, toxic):
-        parts = [(after.view(np.int64), toxic[rows]) for rows, _, after, _ in _spelled(words)]
-        (key,), (n,) = _added([np.concatenate([p[0] for p in parts])], [np.concatenate([p[1] for p in parts])])
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+    def emit(words, _ordinary, _toxic):
+        keys = [np.array([_BEGIN], np.int64), *[after.view(np.int64) for _, _, after, _ in _spelled(words)]]
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], ["k"])
 
-    seen = types.where("toxic > 0").mapInArrow(lambda b: _gathered(b, emit), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    seen = materialize(seen.where(F.col("n") >= MIN_CONTEXT), "toxic-beginnings")
-    by_count = sorted((r["n"], r["count"]) for r in seen.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect())
-    least, left = MIN_CONTEXT, sum(c for _, c in by_count)
-    for n, c in by_count:
-        if left <= most:
-            break
-        least, left = n + 1, left - c
-    keys = seen.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy()
-    return np.sort(np.append(keys, np.array([_BEGIN], np.int64))), least
+    return types.where("toxic > 0").mapInArrow(lambda b: _gathered(b, emit), "k long").distinct()
 
 
 def _shared(types: DataFrame) -> DataFrame:
@@ -199,36 +198,47 @@ def _shared(types: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log-ratios of continuations and backoffs by hash, and the logistic function."""
+    """Log-ratios of continuations and backoffs, and the logistic function.
+
+    ``nodes`` (ctx, key, r, b): for the hash of a beginning and of it with one more byte the
+    log-ratio, and what it is for bytes that have no row.  ``arrays`` has the same, sorted, if
+    it is small enough: contexts, backoffs, keys, ratios.
+    """
 
-    contexts: np.ndarray
-    backoffs: np.ndarray
-    keys: np.ndarray
-    ratios: np.ndarray
+    nodes: DataFrame
+    arrays: tuple[np.ndarray, ...] | None
     slope: float = 0.0
     base: float = -40.0
 
-    def ratios_of(self, words: list[bytes]) -> np.ndarray:
-        """The log-likelihood ratio of each word."""
-        out = np.zeros(len(words))
-        if not len(self.contexts):
-            return out
-        on = np.ones(len(words), bool)
-        for rows, before, after, _ in _spelled(words):
-            use = on[rows]
-            rows, before, after = rows[use], before[use].view(np.int64), after[use].view(np.int64)
-            at = np.searchsorted(self.contexts, before).clip(max=len(self.contexts) - 1)
-            known = self.contexts[at] == before
-            on[rows[~known]] = False
-            rows, after, at = rows[known], after[known], at[known]
-            if not len(rows):
-                break
-            k = np.searchsorted(self.keys, after).clip(max=len(self.keys) - 1)
-            out[rows] += np.where(self.keys[k] == after, self.ratios[k], self.backoffs[at])
+    def odds(self, evidence: Column) -> Column:
+        x = F.lit(self.base) + F.lit(self.slope) * F.ln(evidence + 2 * MIX)
+        return F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0))
+
+
+def ratios_of(words: list[bytes], arrays: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The log-likelihood ratio of each word."""
+    contexts, backoffs, keys, ratios = arrays
+    out = np.zeros(len(words))
+    if not len(contexts):
         return out
+    on = np.ones(len(words), bool)
+    for rows, before, after, _ in _spelled(words):
+        use = on[rows]
+        rows, before, after = rows[use], before[use].view(np.int64), after[use].view(np.int64)
+        at = np.searchsorted(contexts, before).clip(max=len(contexts) - 1)
+        known = contexts[at] == before
+        on[rows[~known]] = False
+        rows, after, at = rows[known], after[known], at[known]
+        if not len(rows):
+            break
+        k = np.searchsorted(keys, after).clip(max=len(keys) - 1)
+        out[rows] += np.where(keys[k] == after, ratios[k], backoffs[at])
+    return out
+
 
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.base + self.slope * np.log(evidence + 0.01), -40, 40)))
+def _said(ratios: np.ndarray) -> np.ndarray:
+    """What a word with a log-ratio adds to the evidence."""
+    return np.log1p(MIX * np.expm1(ratios))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -240,26 +250,20 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return own.join(broadcast_if_small(marks, marks.count()), F.col("id") == F.col("d")).select("text", "toxic", "fold")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", contexts: int = CONTEXTS, calibration: int = CALIBRATION) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration: int = CALIBRATION, model_rows: int = MODEL_ROWS) -> Model:
     """Learn from the labelled rows outside the held-out fold."""
     known = _labelled(docs, labels, id_col, text_col, label_col)
     types = materialize(_word_types(known.where(F.col("fold") != CALIBRATE).select("text", "toxic")), "word-types")
-    used, _ = _contexts(types, contexts)
-    sent = docs.sparkSession.sparkContext.broadcast(used)
 
     def emit(words, ordinary, toxic):
-        mine, parts, on = sent.value, [], np.ones(len(words), bool)
-        for rows, before, after, code in _spelled(words):
-            at = np.searchsorted(mine, before.view(np.int64)).clip(max=len(mine) - 1)
-            good = on[rows] & (mine[at] == before.view(np.int64))
-            on[rows[~good]] = False
-            rows = rows[good]
-            parts.append((before[good].view(np.int64), after[good].view(np.int64), code[good], ordinary[rows], toxic[rows]))
+        parts = [(before.view(np.int64), after.view(np.int64), code, ordinary[rows], toxic[rows]) for rows, before, after, code in _spelled(words)]
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
         keys, sums = _added(cols[:3], cols[3:])
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, *sums)], ["ctx", "key", "code", "ordinary", "toxic"])
 
+    seen = materialize(_beginnings(types), "toxic-beginnings")
     nodes = types.mapInArrow(lambda b: _gathered(b, emit), "ctx long, key long, code long, ordinary long, toxic long")
+    nodes = nodes.join(broadcast_if_small(seen, seen.count()), F.col("ctx") == F.col("k"), "left_semi")
     nodes = nodes.groupBy("ctx", "key", "code").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
     nodes = nodes.join(_shared(types).withColumnRenamed("code", "c"), F.col("code") == F.col("c"))
     by = Window.partitionBy("ctx")
@@ -270,15 +274,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return F.least(DISCOUNT * F.col(f"kinds_{c}"), F.col(f"all_{c}")) / F.col(f"all_{c}")
 
     def p(c):
-        seen = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"all_{c}") + freed(c) * F.col("p")
-        return F.when(F.col(f"all_{c}") > 0, seen).otherwise(F.col("p"))
+        own = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"all_{c}") + freed(c) * F.col("p")
+        return F.when(F.col(f"all_{c}") > 0, own).otherwise(F.col("p"))
 
     back = F.when(F.col("all_t") > 0, F.ln(freed("t"))).otherwise(0.0) - F.when(F.col("all_o") > 0, F.ln(freed("o"))).otherwise(0.0)
-    got = nodes.select("ctx", "key", F.ln(p("t") / p("o")).cast("float").alias("r"), back.cast("float").alias("b")).toArrow()
-    ctx, key = got.column("ctx").to_numpy(), got.column("key").to_numpy()
-    contexts_, first = np.unique(ctx, return_index=True)
-    order = np.argsort(key)
-    model = Model(contexts_, got.column("b").to_numpy()[first], key[order], got.column("r").to_numpy()[order])
+    nodes = materialize(nodes.select("ctx", "key", F.ln(p("t") / p("o")).cast("float").alias("r"), back.cast("float").alias("b")), "toxicity-model")
+    arrays = None
+    if nodes.count() <= model_rows:
+        got = nodes.toArrow()
+        ctx, key = got.column("ctx").to_numpy(), got.column("key").to_numpy()
+        contexts, first = np.unique(ctx, return_index=True)
+        order = np.argsort(key)
+        arrays = (contexts, got.column("b").to_numpy()[first], key[order], got.column("r").to_numpy()[order])
+    model = Model(nodes, arrays)
     sample = known.where(F.col("fold") == CALIBRATE).select("toxic", "text")
     rows = _evidence(sample, model).orderBy(F.xxhash64("evidence", "toxic")).limit(calibration).toArrow()
     model.base, model.slope = _logistic(rows.column("evidence").to_numpy(), rows.column("toxic").to_numpy())
@@ -286,11 +294,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Base and slope over log(x + 0.01), by Newton's method with a weak prior."""
+    """Base and slope over log(x + 2 * MIX), by Newton's method with a weak prior."""
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return (-40.0 if share == 0 else 40.0), 0.0
-    f = np.stack([np.ones(len(x)), np.log(x + 0.01)], 1)
+    f = np.stack([np.ones(len(x)), np.log(x + 2 * MIX)], 1)
     prior = np.array([0.0, 0.02])
 
     def loss(w):
@@ -311,7 +319,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), max(0.0, float(w[1]))
 
 
-def _weigher(model: Model):
+def _weigher(arrays: tuple[np.ndarray, ...]):
     """A function, built in the task, from texts to their evidence."""
     cache: dict[bytes, float] = {}
 
@@ -321,21 +329,70 @@ def _weigher(model: Model):
             cache.clear()
         new = [*set().union(*words).difference(cache)]
         if new:
-            cache.update(zip(new, np.clip(model.ratios_of(new) - MARGIN, 0, TOP).tolist(), strict=True))
+            cache.update(zip(new, _said(ratios_of(new, arrays)).tolist(), strict=True))
         return np.array([sum(map(cache.__getitem__, w)) / len(w) if w else 0.0 for w in words])
 
     return weigh
 
 
+def _word_evidence(words: DataFrame, model: Model) -> DataFrame:
+    """(word, said): what each of the distinct ``words`` adds to the evidence, by a join of
+    their beginnings with the model."""
+
+    def spell(batches):
+        for batch in sliced(batches, rows=20_000):
+            own = batch.column("word").to_pylist()
+            for rows, before, after, _ in _spelled(own):
+                yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(rows)), pa.array(before.view(np.int64)), pa.array(after.view(np.int64))], ["word", "before", "after"])
+
+    places = words.mapInArrow(spell, "word binary, before long, after long")
+    contexts = model.nodes.groupBy(F.col("ctx").alias("c")).agg(F.first("b").alias("back"))
+    seen = model.nodes.select(F.col("key").alias("k"), "r")
+    # beginnings of a known beginning are known, so each word's known places are its first ones
+    rows = places.join(contexts, F.col("before") == F.col("c")).join(seen, F.col("after") == F.col("k"), "left")
+    ratio = rows.groupBy("word").agg(F.sum(F.coalesce("r", "back").cast("double")).alias("ratio"))
+    return ratio.select("word", F.log1p(MIX * F.expm1("ratio")).alias("said"))
+
+
+def _evidence_by_joins(rows: DataFrame, model: Model) -> DataFrame:
+    """The other columns of ``rows`` and ``evidence`` of ``text``, for a model that is not
+    broadcast.  Equal texts are weighed once."""
+    text = F.coalesce("text", F.lit(""))
+    hashes = {"__t": F.xxhash64(text), "__u": F.xxhash64(F.lit(1), text)}
+    ident = ("__t", "__u")
+
+    def split(batches):
+        for batch in sliced(batches, of="text"):
+            at, word, n = [], [], []
+            for i, t in enumerate(text_bytes(batch.column("text"))):
+                counts = Counter(words_of(t))
+                at += [i] * len(counts)
+                word += counts.keys()
+                n += counts.values()
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in ident]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(word, pa.binary()), pa.array(n, pa.int64())], [*ident, "word", "n"])
+
+    held = rows.select("text").withColumns(hashes).mapInArrow(split, "__t long, __u long, word binary, n long")
+    held = materialize(held.groupBy(*ident, "word").agg(F.max("n").alias("n")), "toxicity-words")
+    said = _word_evidence(held.select("word").distinct(), model).withColumnRenamed("word", "w")
+    per = held.join(said, F.col("word") == F.col("w"), "left").groupBy(*ident).agg((F.sum(F.col("n") * F.coalesce("said", F.lit(0.0))) / F.sum("n")).alias("evidence"))
+    per = materialize(per.withColumnsRenamed({"__t": "__a", "__u": "__b"}), "toxicity-texts")
+    named = rows.withColumns(hashes).drop("text")
+    both = named.join(per, (F.col("__t") == F.col("__a")) & (F.col("__u") == F.col("__b")), "left")
+    return both.select(*[column(c) for c in rows.columns if c != "text"], F.coalesce("evidence", F.lit(0.0)).alias("evidence"))
+
+
 def _evidence(rows: DataFrame, model: Model) -> DataFrame:
     """The other columns of ``rows`` and ``evidence`` of ``text``."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    if model.arrays is None:
+        return _evidence_by_joins(rows, model)
+    sent = rows.sparkSession.sparkContext.broadcast(model.arrays)
     others = [c for c in rows.columns if c != "text"]
     kind = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in others], "evidence double"])
 
     def run(batches):
         weigh = _weigher(sent.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, of="text"):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(weigh(text_bytes(batch.column("text"))))], [*others, "evidence"])
 
     return rows.mapInArrow(run, kind)
@@ -343,9 +400,8 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, evidence, score) of every document."""
-    rows = _evidence(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
-    odds = F.lit(model.base) + F.lit(model.slope) * F.ln(F.col("evidence") + 0.01)
-    return rows.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(40.0)), F.lit(-40.0)))))
+    rows = _evidence(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), model)
+    return rows.withColumn("score", 1 / (1 + F.exp(-model.odds(F.col("evidence")))))
 
 
 def digest(scored: DataFrame) -> DataFrame:
@@ -356,11 +412,60 @@ def digest(scored: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The documents with a score under 0.5, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    if model.arrays is None:
+        whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), column(text_col).alias("text"))
+        rows = _evidence(whole, model).where(model.odds(F.col("evidence")) < 0)
+        return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    sent = docs.sparkSession.sparkContext.broadcast(model.arrays)
+    base, slope = model.base, model.slope
 
     def keep(batches):
         weigh = _weigher(sent.value)
-        for batch in sliced(batches):
-            yield batch.filter(pa.array(sent.value.score(weigh(text_bytes(batch.column(text_col)))) < 0.5))
-
-    return docs.mapInArrow(keep, docs.schema)
+        for batch in sliced(batches, of="text"):
+            evidence = weigh(text_bytes(batch.column("text")))
+            yield batch.filter(pa.array(base + slope * np.log(evidence + 2 * MIX) < 0))
+
+    return filtered(docs, text_col, keep)
+
+
+def brute_force(labelled: list[tuple[bytes, int]], words: list[bytes]) -> list[float]:
+    """The log-ratio of each of ``words`` by the definition, from texts and labels; for tests."""
+    seen = [Counter(), Counter()]
+    for text, toxic in labelled:
+        seen[toxic].update(set(words_of(text)))
+    own: list[dict[bytes, Counter]] = [{}, {}]
+    low: dict[bytes, Counter] = {}
+    begin, end = bytes([_BEGIN]), bytes([_END])
+    for c in (0, 1):
+        for w, n in seen[c].items():
+            for i, byte in enumerate(w + end):
+                own[c].setdefault(w[:i], Counter())[byte] += n
+    for w in {*seen[0], *seen[1]}:
+        s = begin + w + end
+        for i in range(1, len(s)):
+            for back in range(BACK + 1):
+                if back <= i:
+                    low.setdefault(s[i - back : i], Counter())[s[i]] += 1
+
+    def shared(before: bytes, byte: int) -> float:
+        lower = shared(before[1:], byte) if before else 1 / 256
+        here = low[before]
+        return (max(here[byte] - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * len(here) * lower) / here.total()
+
+    def p(c: int, before: bytes, byte: int, lower: float) -> float:
+        here = own[c].get(before)
+        if not here:
+            return lower
+        return (max(here[byte] - DISCOUNT, 0) + min(DISCOUNT * len(here), here.total()) * lower) / here.total()
+
+    out = []
+    for w in words:
+        total = 0.0
+        for i, byte in enumerate(w + end):
+            if w[:i] not in own[1]:
+                break
+            known = any(own[c].get(w[:i], {}).get(byte) for c in (0, 1))
+            lower = shared((begin + w)[: i + 1][-BACK:], byte) if known else 1.0
+            total += math.log(p(1, w[:i], byte, lower) / p(0, w[:i], byte, lower))
+        out.append(total)
+    return out
