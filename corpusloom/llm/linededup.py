@@ -11,9 +11,10 @@ downwards are deleted from it.
 Dropping lines probes the filters first, which nearly all lines leave at once, and
 confirms what passes against the exact counts.  The filters and the frequent keys
 are broadcast only while their counted number stays within ``broadcast_keys``;
-beyond it, the candidate (document, key) pairs are joined with the counts by a
-shuffle and the confirmed keys return to their documents by another.  Both ways give
-the same rows.
+beyond it, the (document, key) pairs are sent to their shard's filter, in ``SALTS``
+parts, those that pass are joined with the counts and the confirmed keys return to
+their documents.  Both ways give the same rows.  Shards are split when their keys
+have doubled since they were made.
 
 A key is the line without `[\\x20\\x09-\\x0D]` at both ends, A-Z lower-cased; it is held
 as its 128-bit XXH3 digest.
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialize, sliced, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, text_bytes
 
 MIN_CHARS = 1
 MIN_DOCS = 10
@@ -44,6 +45,8 @@ MIN_DOCS = 10
 SHARD_KEYS = 1 << 15
 #: Frequent keys that are broadcast at most: 16 bytes each and about 4 in the filters.
 BROADCAST_KEYS = 1 << 21
+#: Parts of a shard's pairs, so that one key that most documents hold is not one task's.
+SALTS = 16
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _FLUSH = 200_000
@@ -157,7 +160,7 @@ def line_counts(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CH
                     n.clear()
         yield rows()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    return docs.select(column(text_col).alias("text")).mapInArrow(count, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
 def _dropper(value: tuple, shards: int, min_chars: int):
@@ -195,20 +198,26 @@ def _dropper(value: tuple, shards: int, min_chars: int):
 class LineIndex:
     """Reference counts and filters of a set of documents; see the module."""
 
-    def __init__(self, counts: DataFrame, filters: DataFrame, shards: int, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_keys: int = BROADCAST_KEYS):
-        self.counts, self.filters, self.shards = counts, filters, shards
+    def __init__(self, counts: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, broadcast_keys: int = BROADCAST_KEYS, filters: DataFrame | None = None, shards: int = 1):
+        self.counts, self.filters, self.shards, self.shard_keys = counts, filters, shards, shard_keys
         self.min_chars, self.min_docs, self.broadcast_keys = min_chars, min_docs, broadcast_keys
 
+    def _frequent(self) -> DataFrame:
+        return self.counts.where(F.col("n") >= self.min_docs).select("hi", "lo")
+
+    def _from_counts(self) -> LineIndex:
+        """The same index with new filters, for as many shards as its keys need now."""
+        frequent = self._frequent()
+        self.shards = max(1, math.ceil(frequent.count() / self.shard_keys))
+        self.filters = frequent.limit(0).select(F.lit(0).alias("shard"), F.lit(b"").alias("filter"))
+        self.filters = materialize(self._changed(frequent.withColumn("step", F.lit(1))), "line-filters")
+        return self
+
     @classmethod
     def build(cls, docs: DataFrame, *, text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, broadcast_keys: int = BROADCAST_KEYS) -> LineIndex:
         """Index all of ``docs``."""
         counts = materialize(line_counts(docs, text_col, min_chars), "line-counts")
-        frequent = counts.where(F.col("n") >= min_docs)
-        shards = max(1, math.ceil(frequent.count() / shard_keys))
-        none = frequent.limit(0).select(F.lit(0).alias("shard"), F.lit(b"").alias("filter"))
-        out = cls(counts, none, shards, min_chars, min_docs, broadcast_keys)
-        out.filters = materialize(out._changed(frequent.select("hi", "lo", F.lit(1).alias("step"))), "line-filters")
-        return out
+        return cls(counts, min_chars, min_docs, shard_keys, broadcast_keys)._from_counts()
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
         """The index with ``docs`` added."""
@@ -224,7 +233,10 @@ class LineIndex:
         both = materialize(old.unionByName(new).groupBy("hi", "lo").agg(F.sum("was").alias("was"), (F.sum("was") + F.sum("d")).alias("n")), "line-counts")
         step = F.when((F.col("was") < self.min_docs) & (F.col("n") >= self.min_docs), 1).when((F.col("was") >= self.min_docs) & (F.col("n") < self.min_docs), -1)
         crossed = both.select("hi", "lo", step.alias("step")).where("step is not null")
-        out = LineIndex(both.where("n > 0").select("hi", "lo", "n"), self.filters, self.shards, self.min_chars, self.min_docs, self.broadcast_keys)
+        counts = both.where("n > 0").select("hi", "lo", "n")
+        out = LineIndex(counts, self.min_chars, self.min_docs, self.shard_keys, self.broadcast_keys, self.filters, self.shards)
+        if out._frequent().count() > 2 * self.shards * self.shard_keys:
+            return out._from_counts()
         out.filters = materialize(out._changed(crossed), "line-filters")
         return out
 
@@ -258,14 +270,14 @@ class LineIndex:
         if not new.where("full").limit(1).count():
             return new.drop("full")
         again = self.counts.where(F.col("n") >= min_docs).select(shard, "lo", F.lit(1).alias("step"), F.lit(None).cast("binary").alias("filter"))
-        again = again.join(F.broadcast(new.where("full").select("shard")), "shard", "left_semi")  # a row for each shard at most
+        again = again.join(broadcast_if_small(new.where("full").select("shard"), shards), "shard", "left_semi")
         rebuilt = again.groupBy("shard").applyInArrow(change, "shard int, filter binary, full boolean")
         return new.where("not full").unionByName(rebuilt).drop("full")
 
     def _probe(self):
         """Broadcasts of the filters and, in order, of the frequent keys; None if they
         are more than the bound."""
-        frequent = self.counts.where(F.col("n") >= self.min_docs).select("hi", "lo")
+        frequent = self._frequent()
         if frequent.count() > self.broadcast_keys:
             return None
         got = frequent.toArrow()
@@ -291,23 +303,57 @@ class LineIndex:
         rows = rows.withColumn("__n", F.octet_length("__text"))
         # every document with the same text has the same keys
         held = rows.select("__t", "__n", "__text").mapInArrow(pairs, "__t long, __n int, hi long, lo long").distinct()
-        frequent = self.counts.where(F.col("n") >= self.min_docs).select("hi", "lo")
-        sure = materialize(materialize(held, "line-pairs").join(frequent, ["hi", "lo"]), "line-sure")
+        maybe = self._passing(materialize(held, "line-pairs"))
+        sure = materialize(materialize(maybe, "line-maybe").join(self._frequent(), ["hi", "lo"]), "line-sure")
         per_text = sure.groupBy("__t", "__n").agg(F.collect_list(F.struct("hi", "lo")).alias("__drop"))
         return rows.join(per_text, ["__t", "__n"], "left").drop("__t", "__n")
 
+    def _passing(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (__t, __n, hi, lo) whose key passes its shard's filter.
+
+        Each part of a shard gets the filter first and then its pairs, one after another, so
+        a task holds one filter and one batch.
+        """
+        shard = F.pmod(F.col("hi"), F.lit(self.shards)).cast("int").alias("shard")
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast("long").alias("__t"), F.lit(None).cast("int").alias("__n"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), "filter")
+        salted = pairs.select(shard, F.pmod(F.col("__t"), F.lit(SALTS)).cast("int").alias("salt"), "__t", "__n", "hi", "lo", F.lit(None).cast("binary").alias("filter"))
+        rows = filters.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+
+        def probe(batches):
+            at, table = None, None
+            for batch in sliced(batches, rows=5000):
+                part = batch.column("shard").to_numpy().astype(np.int64) * SALTS + batch.column("salt").to_numpy()
+                given = batch.column("filter")
+                cuts = sorted({0, len(part), *(np.flatnonzero(np.diff(part)) + 1).tolist()})
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if part[a] != at:
+                        at, table = part[a], None
+                    if given[a].is_valid:
+                        data = np.frombuffer(given[a].as_py(), np.uint16).reshape(-1, CuckooFilter.SLOTS)
+                        table, a = CuckooFilter(len(data), data), a + 1
+                    if table is not None and a < b:
+                        some = batch.slice(a, b - a).select(["__t", "__n", "hi", "lo"])
+                        yield some.filter(pa.array(table.has(some.column("lo").to_numpy().view(np.uint64))))
+
+        return rows.mapInArrow(probe, "__t long, __n int, hi long, lo long")
+
     def drop_lines(self, docs: DataFrame, *, text_col: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
         """Each document's ``keep_columns`` with n_lines, n_dropped and kept (the
         lines that stay, joined by newlines)."""
         keep = keep_columns or []
-        rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text"))
+        out = self._dropped(docs, text_col, keep)
+        return out.toDF(*keep, "n_lines", "n_dropped", "kept")
+
+    def _dropped(self, docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+        """The columns of ``drop_lines``, by place: the names may clash."""
+        rows = docs.select(*[column(c).alias(f"__k{i}") for i, c in enumerate(keep)], column(text_col).alias("__text"))
         probe, shards, min_chars = self._probe(), self.shards, self.min_chars
         if probe is None:
             rows = self._marked(rows, "__text")
 
         def split(batches):
             drops = None if probe is None else _dropper(probe.value, shards, min_chars)
-            for batch in sliced(batches):
+            for batch in sliced(batches, of="__text"):
                 texts = text_bytes(batch.column("__text"))
                 if drops is not None:
                     found = drops(texts)
@@ -323,8 +369,7 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([*own, *n, pa.array(kept, pa.binary()).cast(pa.string())], [*[f"__k{i}" for i in range(len(keep))], "n_lines", "n_dropped", "kept"])
 
         kinds = ", ".join([*[f"__k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], "n_lines long, n_dropped long, kept string"])
-        out = rows.mapInArrow(split, kinds)
-        return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "n_lines", "n_dropped", "kept")
+        return rows.mapInArrow(split, kinds)
 
 
 def digest(dropped: DataFrame) -> DataFrame:
@@ -336,9 +381,11 @@ def clean(docs: DataFrame, *, text_col: str = "text", n_chars_col: str | None =
     """All documents and columns, without the repeated lines in their texts."""
     index = LineIndex.build(docs, text_col=text_col, min_chars=min_chars, min_docs=min_docs)
     others = [c for c in docs.columns if c != text_col]
-    out = index.drop_lines(docs, text_col=text_col, keep_columns=others)
-    new = {text_col: F.col("kept")} | ({n_chars_col: F.length("kept").cast(docs.schema[n_chars_col].dataType)} if n_chars_col in others else {})
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    out = index._dropped(docs, text_col, others)
+    at = {c: F.col(f"__k{i}") for i, c in enumerate(others)} | {text_col: F.col("kept")}
+    if n_chars_col in others:
+        at[n_chars_col] = F.length("kept").cast(docs.schema[n_chars_col].dataType)
+    return out.select(*[at[c].alias(c) for c in docs.columns])
 
 
 def brute_force(texts: list, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> list[tuple[int, int, str]]:
