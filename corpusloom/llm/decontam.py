@@ -9,9 +9,11 @@ suffix block, narrowed by the hash of the prefix block, and a direct comparison
 all words confirms the occurrence.
 
 Scale: documents are scanned once where they lie, without a shuffle.  The
-benchmark is taken in blocks of at most ``block_bytes`` of text; each block is
-broadcast, and what it finds travels along with the document to the next block, so
-a benchmark of any size works with a bounded broadcast.
+benchmark is taken in blocks of at most about ``block_bytes`` of text, one for each pass
+over the documents: a pass brings its block to the driver, broadcasts it, and what it finds
+travels along with the document to the next pass, which is written in between.  So a
+benchmark of any size works with one bounded broadcast (a task's tables take about 180 times
+the block's text).
 
 Edge cases: a null or wordless text has no words and no hits.  An item of fewer
 than ``window`` words is one window of its own length, an item without words is
@@ -31,12 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialize, sliced, text_bytes
+from corpusloom.llm.shared import column, filtered, materialize, sliced, text_bytes
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
-#: Blocks of the benchmark that one pass over the documents takes.
-BLOCKS_PER_PASS = 2
+BLOCK_BYTES = 1 << 20
 
 #: Word bytes are 0-9, a-z (A-Z lower-cased) and all of non-ASCII characters.
 _WORD_BYTES = bytes(
@@ -106,25 +106,23 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list:
-    """The benchmark as broadcasts of at most about ``block_bytes`` each."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    out = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        out.append(spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in rows]))
-    return out
+class _Blocks:
+    """A benchmark in blocks of at most about ``block_bytes`` of text."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
+        self.items = benchmark.select(F.coalesce(column(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+        size = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.count = max(1, math.ceil(size / block_bytes))
 
+    def broadcast(self, k: int):
+        """Block ``k``, sent to all tasks."""
+        rows = self.items.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.count)) == k).collect()
+        return self.items.sparkSession.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in rows])
 
-def _scanner(blocks: list, window: int):
+
+def _scanner(block, window: int):
     """A function from a text to (number of words, spans, items), built in the task."""
-    found = [s for block in blocks for s in searchers(block.value, window)]
+    found = searchers(block.value, window)
 
     def scan(text: bytes | None) -> tuple[int, list, set]:
         words = words_of(text or b"")
@@ -157,56 +155,50 @@ def find_hits(
     exclusive) and item_ids (sorted as strings)."""
     span = "array<struct<start:int,end:int>>"
     out = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(text_col).alias("text"),
+        column(id_col).alias("doc_id"),
+        column(text_col).alias("text"),
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast(span).alias("hit_spans"),
         F.array().cast("array<string>").alias("item_ids"),
     )
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    for at in range(0, len(blocks), BLOCKS_PER_PASS):
-        some = blocks[at : at + BLOCKS_PER_PASS]
-
-        def search(batches, some=some):
-            scan = _scanner(some, window)
-            for batch in sliced(batches):
+    blocks = _Blocks(benchmark, item_col, item_text_col, block_bytes)
+    names = ["doc_id", "text", "n_words", "hit_spans", "item_ids"]
+    for k in range(blocks.count):
+        block, last = blocks.broadcast(k), k == blocks.count - 1
+
+        def search(batches, block=block, last=last):
+            scan = _scanner(block, window)
+            for batch in sliced(batches, of="text"):
                 n, spans, items = [], [], []
                 for text, had, were in zip(text_bytes(batch.column("text")), batch.column("hit_spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True):
                     count, new, hit = scan(text)
                     n.append(count)
                     spans.append([{"start": a, "end": b} for a, b in merged(new + [(x["start"], x["end"]) for x in had])])
                     items.append(sorted(hit | set(were)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, batch.schema.field("hit_spans").type), pa.array(items, batch.schema.field("item_ids").type)],
-                    ["doc_id", "text", "n_words", "hit_spans", "item_ids"],
-                )
-
-        last = at + BLOCKS_PER_PASS >= len(blocks)
-        if at:
-            out = materialize(out, "decontam")
-        if last:  # the text goes no further
-
-            def final(batches, search=search):
-                for batch in search(batches):
-                    yield batch.select(["doc_id", "n_words", "hit_spans", "item_ids"])
+                arrays = [batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, batch.schema.field("hit_spans").type), pa.array(items, batch.schema.field("item_ids").type)]
+                found = pa.RecordBatch.from_arrays(arrays, names)
+                yield found.select([c for c in names if c != "text"]) if last else found
 
-            return out.mapInArrow(final, out.drop("text").schema)
-        out = out.mapInArrow(search, out.schema)
+        if last:  # the text goes no further
+            return out.mapInArrow(search, out.drop("text").schema)
+        out = materialize(out.mapInArrow(search, out.schema), "decontam")
     raise AssertionError("there is always a block")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    for at in range(0, len(blocks), BLOCKS_PER_PASS):
-        some = blocks[at : at + BLOCKS_PER_PASS]
-
-        def keep(batches, some=some):
-            scan = _scanner(some, window)
-            for batch in sliced(batches):
-                yield batch.filter(pa.array([not scan(t)[1] for t in text_bytes(batch.column(text_col))], pa.bool_()))
-
-        docs = (materialize(docs, "decontam") if at else docs).mapInArrow(keep, docs.schema)
+    blocks = _Blocks(benchmark, item_col, item_text_col, block_bytes)
+    for k in range(blocks.count):
+        block = blocks.broadcast(k)
+
+        def keep(batches, block=block):
+            scan = _scanner(block, window)
+            for batch in sliced(batches, of="text"):
+                yield batch.filter(pa.array([not scan(t)[1] for t in text_bytes(batch.column("text"))], pa.bool_()))
+
+        docs = filtered(docs, text_col, keep)
+        if k < blocks.count - 1:
+            docs = materialize(docs, "decontam")
     return docs
 
 
