@@ -10,15 +10,18 @@ decompress a bundle as one stream.
 Equal payloads of at least ``REVISIT_BYTES`` are stored once: the record with the largest
 page id is the response, the others are revisits that refer to it.
 
-Scale: digests are found by a thin aggregation that tasks combine before the shuffle; pages
-meet their group's response by a join whose keys are salted, so a payload that a third of
-all pages share is spread over ``SALTS`` tasks.  A task holds one bundle at a time.  Bundles
+Scale: digests are found by a thin aggregation that tasks combine before the shuffle.  Groups
+of more than one page are broadcast while they are at most ``groups`` in number, so that no
+html is shuffled.  Beyond that only the groups of more than ``heavy`` pages are broadcast,
+of which there is at most one for each ``heavy`` pages, and the others join by shuffle: no key
+is hot, whatever the payloads.  A task holds one bundle at a time.  Bundles
 are rows of a Parquet table in the shared folder, committed by Spark's writer, so a retried
 task leaves no half-written file.
 
 Edge cases: a null html is an empty payload; a null url leaves the target URI out.  Null page
 ids are smaller than any other and revisit the group's response (if a group has only null ids,
-all are responses); rows that share their group's largest id are all responses.  Empty tables
+all are responses); rows that share their group's largest id are all responses.  A page without an
+id gets a record identifier of its own and is read back without one.  Empty tables
 give no bundles and no records.  Only the named columns are read.
 """
 
@@ -34,17 +37,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialize, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, text_bytes
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
 REVISIT_BYTES = 1000
-SALTS = 16
+#: Groups of equal payloads that are broadcast at most, and pages of a group that is not joined by shuffle.
+GROUPS, HEAVY = 500_000, 50_000
 LEVEL = 3
 
 #: Fixed values of the seekable format: magic of a skippable frame and of the footer.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-_PREFIX = "urn:x-page:"
+_PREFIX, _NONE = "urn:x-page:", "urn:x-null:"
 _BUNDLES = "bundle_id string, archive binary, entries array<struct<record_id:string,frame:int,offset:int,length:int>>"
 
 
@@ -103,7 +107,7 @@ def make_record(page: str, url: str | None, payload: bytes, sha1: str, refers_to
     """A WARC/1.1 response record, or a revisit record without the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_PREFIX}{page}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{page if page.startswith(_NONE) else _PREFIX + page}>", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url))
     lines.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode())
@@ -124,24 +128,30 @@ def parse_record(record: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != sha1):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    name = lambda x: x and x.strip("<>").removeprefix(_PREFIX)
+    name = lambda x: x and (None if x.startswith("<" + _NONE) else x[1:-1].removeprefix(_PREFIX))
     return {"page": name(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": kind, "payload_bytes": size, "payload_digest": sha1, "refers_to": name(fields.get("WARC-Refers-To")), "payload": payload if kind == "response" else None}
 
 
-def _planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_bytes: int, salts: int) -> DataFrame:
+def _planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, revisit_bytes: int, most_groups: int, heavy: int) -> DataFrame:
     """page, url, html, sha1 and refers_to (null for responses), ids as text."""
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(column(id_col).alias("page"), column(url_col).alias("url"), F.coalesce(column(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
     groups = rows.where(F.col("size") >= revisit_bytes).groupBy("sha1").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select(F.col("sha1").alias("g"), "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("gs"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page", "url"), F.lit(salts)).cast("int"))
-    rows = rows.join(groups, (F.col("sha1") == F.col("g")) & (F.col("salt") == F.col("gs")), "left")
+    groups = materialize(groups.select(F.col("sha1").alias("g"), "first", "n"), "warc-groups")
+    whole, large = groups.agg(F.count("*"), F.count_if(F.col("n") > heavy)).first()
+    if whole <= most_groups:
+        rows = rows.join(F.broadcast(groups), F.col("sha1") == F.col("g"), "left")
+    else:
+        some = groups.where(F.col("n") > heavy).select(F.col("g").alias("hg"), F.col("first").alias("hfirst"))
+        rows = rows.join(broadcast_if_small(some, large), F.col("sha1") == F.col("hg"), "left")
+        light = rows.where("hg is null").join(groups.where(F.col("n") <= heavy), F.col("sha1") == F.col("g"), "left")
+        rows = light.drop("hg", "hfirst").unionByName(rows.where("hg is not null").select("page", "url", "html", "sha1", "size", F.col("hg").alias("g"), F.col("hfirst").alias("first"), F.lit(0).cast("long").alias("n")))
     refers = F.when(F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
-    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    return rows.select(text(F.col("page")).alias("page"), "url", "html", "sha1", refers.cast("string").alias("refers_to"))
+    name = F.coalesce(F.col("page").cast("string"), F.concat(F.lit(_NONE), F.monotonically_increasing_id()))
+    return rows.select(name.alias("page"), "url", "html", "sha1", refers.cast("string").alias("refers_to"))
 
 
-def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, salts: int = SALTS, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, groups: int = GROUPS, heavy: int = HEAVY, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Archive all pages.  Returns the written table of bundles: bundle_id (hash of the
     bundle), archive (its bytes) and entries (record_id, frame, offset, length)."""
 
@@ -152,7 +162,7 @@ def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
             return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(archive).hexdigest()]), pa.array([archive], pa.binary()), pa.array([writer.entries], kind)], ["bundle_id", "archive", "entries"])
 
         writer = BundleWriter(frame_bytes)
-        for batch in batches:
+        for batch in sliced(batches, of="html"):
             html = text_bytes(batch.column("html"))
             rest = [batch.column(c).to_pylist() for c in ("page", "url", "sha1", "refers_to")]
             for payload, page, url, sha1, refers_to in zip(html, *rest, strict=True):
@@ -163,7 +173,7 @@ def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
         if writer.entries:
             yield row(writer)
 
-    return materialize(_planned(pages, id_col, url_col, html_col, revisit_bytes, salts).mapInArrow(bundle, _BUNDLES), "warc")
+    return materialize(_planned(pages, id_col, url_col, html_col, revisit_bytes, groups, heavy).mapInArrow(bundle, _BUNDLES), "warc")
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
@@ -204,5 +214,4 @@ def read_records(bundles: DataFrame, *, only: list[str] | None = None, payloads:
 
 def digest(records: DataFrame, id_type: str = "long") -> DataFrame:
     """The contract's columns from those of ``read_records``."""
-    page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(id_type)
-    return records.select(page("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    return records.select(F.col("page").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(id_type).alias("refers_to"))
