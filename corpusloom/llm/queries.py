@@ -74,14 +74,14 @@ from g
 
 OP2_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
   where embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
-  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id
+  select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.r <> q.r
 ), r as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+  select *, row_number() over (partition by r order by score desc, vec_id) as rank from s
 )
 select query_id, rank::int as rank, vec_id, score from r where rank <= 10
 """

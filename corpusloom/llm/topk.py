@@ -19,8 +19,8 @@ thin tables in the shared folder; one number, the range of the scores, comes to
 driver.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no
-part.  Rows that repeat an id and vector count once; an id with several different vectors
-stands for each of them.  Null ids are candidates (after all others in ties), not queries.
+part.  Every row counts, repeated ones too: a query's candidates are all rows but its own, and
+a query row that is repeated is answered once for each.  Null ids are candidates (after all others in ties), not queries.
 Vectors of different lengths are not compared.  Scores are exact as long as they fit 53
 bits and are then computed in doubles; larger ones go through Python integers and are
 clipped to 62 bits.  Empty tables give empty results.  Only the named columns are read.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import materialize
+from corpusloom.llm.shared import column, materialize
 
 K = 10
 SCALE = 1024
@@ -56,30 +56,32 @@ def quantized(vector: Column, scale: int = SCALE) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & good, whole)
 
 
-def _floats(column) -> np.ndarray:
+def _floats(vectors) -> np.ndarray:
     """A list-of-doubles Arrow column of equal lengths as a matrix."""
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+    return np.asarray(vectors.flatten()).reshape(len(vectors), -1)
 
 
 def _blocked(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """(dim, name, ids, mat): vectors packed into blocks by hash, repeats dropped.
+    """(dim, name, ids, keys, mat): vectors packed into blocks by hash.
 
-    ``rows``: id long, vec array<double>.  A block is bounded by the choice of ``blocks``.
+    ``rows``: id long, key long (of the row), vec array<double>.  A block is bounded by the
+    choice of ``blocks``.
     """
-    block = F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int").alias(name)
-    sets = rows.groupBy(F.size("vec").alias("dim"), block).agg(F.collect_set(F.struct("id", "vec")).alias("vs"))
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(name)
+    sets = rows.groupBy(F.size("vec").alias("dim"), block).agg(F.collect_list(F.struct("id", "key", "vec")).alias("vs"))
 
     def pack(batches):
         for batch in batches:
-            ids, mats = [], []
+            ids, keys, mats = [], [], []
             for vs in batch.column("vs"):
                 values = vs.values
                 own = values.field("id")
                 ids.append(pa.array(np.where(np.asarray(own.is_null()), _LONG, np.asarray(own.fill_null(0)))).to_numpy().astype(np.int64).tobytes())
+                keys.append(np.asarray(values.field("key")).astype(np.int64).tobytes())
                 mats.append(_floats(values.field("vec")).astype(np.float64).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column(name), pa.array(ids, pa.binary()), pa.array(mats, pa.binary())], ["dim", name, "ids", "mat"])
+            yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column(name), *[pa.array(x, pa.binary()) for x in (ids, keys, mats)]], ["dim", name, "ids", "keys", "mat"])
 
-    return sets.mapInArrow(pack, f"dim int, {name} int, ids binary, mat binary")
+    return sets.mapInArrow(pack, f"dim int, {name} int, ids binary, keys binary, mat binary")
 
 
 def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -92,14 +94,14 @@ def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def _scored(batch: pa.RecordBatch):
-    """For each pair of blocks: query ids, their rows, candidate ids, scores; a query's own
-    vector and its other vectors are masked."""
+    """For each pair of blocks: its place, query ids, candidate ids, scores, and which
+    candidates are other rows than the query's."""
     for i in range(batch.num_rows):
         get = lambda c, i=i: batch.column(c)[i].as_py()
         dim = get("dim")
         qid, cid = np.frombuffer(get("qids"), np.int64), np.frombuffer(get("ids"), np.int64)
         scores = _scores(np.frombuffer(get("qmat"), np.float64).reshape(-1, dim), np.frombuffer(get("mat"), np.float64).reshape(-1, dim))
-        yield i, qid, cid, scores, qid[:, None] != cid[None, :]
+        yield i, qid, cid, scores, np.frombuffer(get("qkeys"), np.int64)[:, None] != np.frombuffer(get("keys"), np.int64)[None, :]
 
 
 def _pairs(queries: DataFrame, candidates: DataFrame, blocks: int) -> DataFrame:
@@ -147,11 +149,11 @@ def _narrowed(queries: DataFrame, histogram: DataFrame, k: int) -> DataFrame:
                 for x in some or ():
                     low[x["row"]] = int(low[x["row"]]) + x["bin"] * width
                 lows.append(low.tobytes())
-            out = {c: batch.column(c) for c in ("dim", "qblock", "qids", "qmat")} | {"lo": pa.array(lows, pa.binary()), "width": batch.column("width")}
+            out = {c: batch.column(c) for c in ("dim", "qblock", "qids", "qkeys", "qmat")} | {"lo": pa.array(lows, pa.binary()), "width": batch.column("width")}
             yield pa.RecordBatch.from_arrays([*out.values()], [*out])
 
-    rows = queries.join(per, ["dim", "qblock"], "left").select("dim", "qblock", "qids", "qmat", "lo", "width", "at")
-    return rows.mapInArrow(move, "dim int, qblock int, qids binary, qmat binary, lo binary, width long")
+    rows = queries.join(per, ["dim", "qblock"], "left").select("dim", "qblock", "qids", "qkeys", "qmat", "lo", "width", "at")
+    return rows.mapInArrow(move, "dim int, qblock int, qids binary, qkeys binary, qmat binary, lo binary, width long")
 
 
 def _kept(pairs: DataFrame, k: int) -> DataFrame:
@@ -177,14 +179,15 @@ def _kept(pairs: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` with ``is_query`` the k
     other rows with the highest integer inner product."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    rows = materialize(rows.withColumn("vec", quantized(F.col("vec"), scale)).where("vec is not null"), "vectors")
+    rows = vectors.select(column(id_col).cast("long").alias("id"), column(vector_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = rows.withColumn("vec", quantized(F.col("vec"), scale)).where("vec is not null")
+    rows = materialize(rows.withColumn("key", F.monotonically_increasing_id()), "vectors")
     asked = F.col("is_query") & F.col("id").isNotNull()
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
     n, n_queries, longest, asking = rows.agg(F.count("*"), F.coalesce(F.sum(asked.cast("int")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0)), F.coalesce(F.max(F.when(asked, norm)), F.lit(0.0))).first()
     blocks, q_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(n_queries / query_block))
     candidates = materialize(_blocked(rows, blocks, "block"), "vector-blocks").repartition(min(blocks, 2000), "dim", "block")
-    queries = _blocked(rows.where(asked), q_blocks, "qblock").withColumnsRenamed({"ids": "qids", "mat": "qmat"})
+    queries = _blocked(rows.where(asked), q_blocks, "qblock").withColumnsRenamed({"ids": "qids", "keys": "qkeys", "mat": "qmat"})
     # all scores lie in [-bound, bound], which the first histogram spans
     bound = min(_MOST, int(longest * asking * (1 + 1e-9)) + 2)
     passes = max(1, math.ceil(math.log2(2 * bound + 1) / BIN_BITS))
@@ -195,7 +198,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
             lows = [np.full(len(x.as_py()) // 8, -bound, np.int64).tobytes() for x in batch.column("qids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lows, pa.binary())], [*batch.schema.names, "lo"])
 
-    queries = queries.mapInArrow(begin, "dim int, qblock int, qids binary, qmat binary, lo binary")
+    queries = queries.mapInArrow(begin, "dim int, qblock int, qids binary, qkeys binary, qmat binary, lo binary")
     for _ in range(passes):
         queries = materialize(queries.withColumn("width", F.lit(width).cast("long")), "queries")
         queries = _narrowed(queries, materialize(_histogram(_pairs(queries, candidates, blocks), k), "histogram"), k)
