@@ -11,10 +11,10 @@ share of words it is expected to have.
 The CRF is trained by stochastic gradient ascent of the conditional likelihood on sequences
 that switch between languages: pieces of texts with one language are spliced, so the labels
 of words are known and transitions can be learned.  The sample is bounded: at most
-``SAMPLE_DOCS`` documents of each language with at most ``SAMPLE_CHARS`` characters, chosen by
-a hash.  The lexicon counts all documents that may be learned from; words are hashed into
-``LEXICON`` buckets, which bounds the broadcast model.  All other features are hashed into
-``FEATURES`` weights.
+``SAMPLE_DOCS`` documents of each language, of each a piece of at most ``SAMPLE_CHARS``
+characters, both chosen by a hash.  The lexicon counts all documents that may be learned from;
+words are hashed into ``LEXICON`` buckets.  All other features are hashed into ``FEATURES``
+weights.  Every language that occurs is learned; the model takes 1.5 MB for each.
 
 Scale: one pass counts the lexicon (tasks add up before the shuffle), one pass labels; no text
 is shuffled.  Forward-backward runs over all words of many texts at once: texts are cut into
@@ -37,17 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import fold_of, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, fold_of, materialize, sliced, text_bytes
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 12_000
-#: Languages that are learned at most, those with the most documents.
-LANGUAGES = 64
 LEXICON = 1 << 19
 FEATURES = 1 << 17
 SEGMENT = 32
-#: Training sequences, their words, and passes over them.
-SEQUENCES, LENGTH, EPOCHS = 6000, 48, 4
+#: Training sequences (at least, and for each language), their words, and passes over them.
+SEQUENCES, PER_LANGUAGE, LENGTH, EPOCHS = 6000, 100, 48, 4
 #: Words that are labelled at once, and word types that a task remembers.
 _WORDS, _HELD = 400_000, 300_000
 _FLUSH = 300_000
@@ -124,7 +122,7 @@ class Model:
 
 
 def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
     held = F.coalesce(fold_of(F.col("id"), FOLDS) == HELD_OUT, F.lit(False))
     return rows.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
@@ -139,9 +137,9 @@ def _lexicon(train: DataFrame, languages: list[str]) -> np.ndarray:
 
         def rows():
             both = np.array([*n.keys()], np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int32)), pa.array(both[:, 1].astype(np.int8)), pa.array([*n.values()], pa.int64())], ["bucket", "lang", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int32)), pa.array(both[:, 1].astype(np.int32)), pa.array([*n.values()], pa.int64())], ["bucket", "lang", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches, of="text"):
             for text, lang in zip(text_bytes(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
                 k = index.get(lang)
                 if k is None:
@@ -159,14 +157,31 @@ def _lexicon(train: DataFrame, languages: list[str]) -> np.ndarray:
                     n.clear()
         yield rows()
 
-    counts = train.select("text", "lang").mapInArrow(count, "bucket int, lang byte, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # at most a row for each bucket and language
-    n = np.zeros((LEXICON, len(languages)))
-    n[got.column("bucket").to_numpy(), got.column("lang").to_numpy()] = got.column("n").to_numpy()
-    share = (n + 0.1) / (n.sum(0) + 1)
-    share /= share.sum(1, keepdims=True)
-    trust = np.minimum(1, np.log1p(n.sum(1, keepdims=True)) / 4)
-    return (trust * np.log(share * len(languages))).astype(np.float16)
+    counts = train.select("text", "lang").mapInArrow(count, "bucket int, lang int, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "lexicon")
+    total = np.ones(len(languages))
+    for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        total[r["lang"]] += r["n"]
+
+    def scored(batches):
+        for batch in sliced(batches, rows=2000):
+            own = batch.column("own")
+            n = np.zeros((batch.num_rows, len(languages)))
+            at = np.repeat(np.arange(batch.num_rows), np.asarray(own.value_lengths()))
+            n[at, np.asarray(own.flatten().field("lang"))] = np.asarray(own.flatten().field("n"))
+            share = (n + 0.1) / total
+            share /= share.sum(1, keepdims=True)
+            trust = np.minimum(1, np.log1p(n.sum(1, keepdims=True)) / 4)
+            rows = (trust * np.log(share * len(languages))).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([x.tobytes() for x in rows], pa.binary())], ["bucket", "scores"])
+
+    # two bytes for each bucket and language come to the driver
+    rows = counts.groupBy("bucket").agg(F.collect_list(F.struct("lang", "n")).alias("own")).mapInArrow(scored, "bucket int, scores binary")
+    out = np.zeros((LEXICON, len(languages)), np.float16)
+    got = rows.toArrow()
+    for batch in got.to_batches():
+        out[batch.column("bucket").to_numpy()] = np.frombuffer(b"".join(batch.column("scores").to_pylist()), np.float16).reshape(-1, len(languages))
+    return out
 
 
 def _sequences(samples: list[tuple[str, bytes]], languages: list[str], seed: int) -> tuple[list[list[bytes]], np.ndarray]:
@@ -174,9 +189,9 @@ def _sequences(samples: list[tuple[str, bytes]], languages: list[str], seed: int
     rng = np.random.default_rng(seed)
     texts = {k: [w for lang, t in samples if lang == x and len(w := words_of(t)) > 2] for k, x in enumerate(languages)}
     texts = {k: v for k, v in texts.items() if v}
-    out, labels = [], np.zeros((SEQUENCES, LENGTH), np.int64)
+    out, labels = [], np.zeros((max(SEQUENCES, PER_LANGUAGE * len(texts)), LENGTH), np.int64)
     keys = sorted(texts)
-    for s in range(SEQUENCES if keys else 0):
+    for s in range(max(SEQUENCES, PER_LANGUAGE * len(keys)) if keys else 0):
         words: list[bytes] = []
         while len(words) < LENGTH:
             k = keys[rng.integers(len(keys))]
@@ -254,18 +269,18 @@ def train(samples: list[tuple[str, bytes]], languages: list[str], lexicon: np.nd
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from the documents outside the held-out fold that have a language."""
     known = _learnable(docs, id_col, text_col, lang_col)
-    top = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in top)
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((1, 0)), np.zeros((1, 0)), np.zeros((0, 0)), np.zeros((0, 0)))
     lexicon = _lexicon(known, languages)
-    ids = known.where(F.length("text") <= sample_chars).select("lang", F.xxhash64("id", "text").alias("h"))
     # the limit of each language's rank is applied in the tasks before the shuffle
     rank = Window.partitionBy("lang").orderBy("h")
-    chosen = ids.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample_docs).select("lang", "h").collect()
-    wanted = known.where(F.xxhash64("id", "text").isin([r["h"] for r in chosen]))
-    samples = sorted({(r["lang"], r["text"]) for r in wanted.select("lang", "text").collect() if r["lang"] in set(languages)})
-    return train([(lang, text.encode()) for lang, text in samples], languages, lexicon)
+    chosen = known.select("lang", F.xxhash64("id", "text").alias("h")).distinct().withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample_docs)
+    chosen = materialize(chosen.select(F.col("lang").alias("l"), "h"), "language-sample")
+    picked = known.join(broadcast_if_small(chosen, chosen.count()), (F.col("lang") == F.col("l")) & (F.xxhash64("id", "text") == F.col("h")), "left_semi")
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - sample_chars + 1, F.lit(1)).cast("long")) + 1
+    rows = picked.select("lang", F.substring("text", start.cast("int"), F.lit(sample_chars)).alias("text")).distinct().collect()
+    return train([(r["lang"], r["text"].encode()) for r in sorted(rows)], languages, lexicon)
 
 
 def expected(e: np.ndarray, lens: np.ndarray, switch: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
@@ -376,7 +391,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches):
         label = _labeller(sent.value)
-        for batch in batches:
+        for batch in sliced(batches, of="text"):
             names, scores = [], []
             texts = text_bytes(batch.column("text"))
             for i in range(0, len(texts), _TEXTS):
@@ -385,7 +400,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 scores += b
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
