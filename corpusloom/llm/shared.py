@@ -88,6 +88,16 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def filtered(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """``docs`` through ``keep``, a function of Arrow batches, in which the text is ``text``.
+
+    The other columns have names of their own there, so that any name is safe.
+    """
+    names = ["text" if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*names)
+    return rows.mapInArrow(keep, rows.schema).toDF(*docs.columns)
+
+
 #: Bytes of texts that a slice holds at most, where it has more than one row.
 SLICE_BYTES = 2_000_000
 

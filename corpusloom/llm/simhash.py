@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.shared import broadcast_if_small, materialize, sliced, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, text_bytes
 
 SHINGLE = 4
 RADIUS = 4
@@ -45,6 +45,8 @@ PREFIX_BITS = 8
 PREFIX_ROWS = 60_000
 #: Variants that a task sorts at once, about.
 SLICE = 1 << 22
+#: Rows that a task of the meeting gets, about.
+_ROWS = 50_000
 #: Shingles whose bits are added up at once.
 _CHUNK = 1 << 14
 
@@ -83,7 +85,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
@@ -225,7 +227,7 @@ def links(distinct: DataFrame, *, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
             yield found(rows)
 
     sent = distinct.mapInArrow(send, "prefix int, fp long, flips byte")
-    sent = sent.repartition(min(1 << bits, 2000), "prefix").sortWithinPartitions("prefix")
+    sent = sent.repartition(min(1 << bits, 1 + n * len(head) // _ROWS), "prefix").sortWithinPartitions("prefix")
     return sent.mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -279,9 +281,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that are equal in id and text are one document, of which one row stays.
     """
-    ident = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
-    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__doc"), ident.alias("__id"))
-    found = find(marked.select("__id", F.col("__doc")[text_col].alias("__text")), id_col="__id", text_col="__text", shingle=shingle)
+    ident = F.struct(column(id_col).isNull().alias("none"), column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("hash"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    marked = docs.select(F.struct(*[column(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("__doc"), ident.alias("__id"))
+    text = F.col("__doc")[names[docs.columns.index(text_col)]]
+    found = find(marked.select("__id", text.alias("__text")), id_col="__id", text_col="__text", shingle=shingle)
     found = materialize(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "near-dups")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
     n_gone, repeated = found.agg(F.sum((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")), F.max("n")).first()
@@ -290,4 +294,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     out = marked.join(broadcast_if_small(gone, n_gone or 0), same, "left_anti")
     if (repeated or 0) > 1:
         out = out.dropDuplicates(["__id"])
-    return out.select("__doc.*")
+    return out.select("__doc.*").toDF(*docs.columns)

@@ -1,5 +1,6 @@
 """SimHash, suffix dedup, the models and the pipeline against brute force or held-out data."""
 
+import hashlib
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import components, decontam, langid, linededup, mixing, queries, simhash, suffix, toxicity
+from corpusloom.llm import components, decontam, langid, linededup, mixing, queries, similar, simhash, suffix, toxicity
 
 DOC = "doc_id long, text string"
 
@@ -45,6 +46,13 @@ def test_simhash_equals_brute_force(spark, small):
     assert got == simhash.brute_force({r.doc_id: r.text for r in df.collect()})
 
 
+def test_keep_one_with_any_column_name(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", F.lit(1).alias("a.b"), F.lit(2).alias("fp"), F.lit(3).alias("__doc"))
+    for keep in (simhash.keep_one, similar.keep_one):
+        out = keep(df)
+        assert out.columns == df.columns and 0 < out.count() < df.count()
+
+
 def test_links_of_close_fingerprints(spark):
     random.seed(2)
     fps = set()
@@ -186,6 +194,17 @@ def test_words_of_switched_text_get_their_language(spark):
     assert np.mean([b == "en" for b in best[:40]]) > 0.9 and np.mean([b == "de" for b in best[40:]]) > 0.9
 
 
+def test_more_languages_than_a_few(spark):
+    rng = random.Random(1)
+    stems = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for _ in range(70)]
+    rows = [(i * 4 + 3, " ".join(rng.choice(stems[k]) for _ in range(60)), f"l{k:02}") for i, k in enumerate([*range(70)] * 4)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    long = [(9000 + i, " ".join(rng.choice(stems[0]) + "x" for _ in range(4000)), "long") for i in range(8)]
+    df = spark.createDataFrame(rows + long, DOC + ", lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.fit(df, sample_chars=2000)).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.95 and all(got[i] == "long" for i, *_ in long)
+
+
 def test_language_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 ?!"), (4, "¿… —"), (None, "the and of"), (5, "the " * 50_000)], DOC + "")
@@ -218,6 +237,31 @@ def test_toxicity_reads_no_held_out_label(spark):
     assert score(labels) == score(flipped)
 
 
+def test_log_ratios_equal_the_definition(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = [(text[i], t) for i, t in toxic.items() if fold(i) in (1, 2, 3)]
+    words = sorted({w for t in text.values() for w in toxicity.words_of(t)})
+    assert len(words) > 1000 and sum(t for _, t in known) >= 3
+    assert np.allclose(toxicity.ratios_of(words, model.arrays), toxicity.brute_force(known, words), atol=1e-4)
+
+
+def test_toxicity_of_a_model_that_is_not_broadcast(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string"))).withColumn("a.b", F.lit(1))
+    one, other = toxicity.fit(docs, labels), toxicity.fit(docs, labels, model_rows=0)
+    assert one.arrays is not None and other.arrays is None and (one.base, one.slope) == pytest.approx((other.base, other.slope))
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity.score(docs, m).collect()) for m in (one, other))
+    assert [i for i, _ in a] == [i for i, _ in b] and np.allclose([x for _, x in a], [x for _, x in b])
+    a, b = (toxicity.drop_toxic(docs, m) for m in (one, other))
+    assert a.columns == b.columns == docs.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, "bad awful " * 3 if i % 3 == 0 else "fine good words here") for i in range(200)] + [(500, None), (501, ""), (None, "bad"), (502, "x" * 5000)], DOC)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(None, 1), (3, None), (4, 0)], "doc_id long, toxic int")
@@ -245,17 +289,20 @@ def test_pipeline_stages(spark, small):
         elif k == 1:
             kept = linededup.brute_force([r.text for r in before])
             got = {r.doc_id: r for r in out.collect()}
-            assert [(len(got[r.doc_id].text.split("\n")), got[r.doc_id].n_chars) for r in before] == [(max(1, n - d), len(got[r.doc_id].text)) for r, (n, d, _) in zip(before, kept, strict=True)]
+            assert [hashlib.sha256(got[r.doc_id].text.encode()).hexdigest() for r in before] == [h for *_, h in kept]
+            assert all(len(r.text) == r.n_chars for r in got.values())
             want = None
         elif k == 2:
-            roots = simhash.brute_force({r.doc_id: r.text for r in before})
-            want = [r for r in before if roots[r.doc_id][1] == r.doc_id]
+            roots = similar.brute_force({r.doc_id: r.text for r in before})
+            want = [r for r in before if roots[r.doc_id] == r.doc_id]
         elif k == 3:
             items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
             want = [r for r in before if not decontam.brute_force(r.text, items)[1]]
         else:
             assert out.columns == [*docs.columns, "copies"]
-            copies = {r.doc_id: r.copies for r in mixing.plan_mix(docs).collect()}
+            draws = [(r.doc_id, (r.source, r.size, r.u)) for r in mixing._thin(docs, "doc_id", "text", "source").collect()]
+            goals = {r.source: (r.source_size, r.target) for r in mixing.plan_mix(docs).collect()}
+            copies = {draws[i][0]: n for i, n in mixing.brute_force([x for _, x in draws], goals).items()}
             assert {r.doc_id: r.copies for r in out.collect()} == {i: n for i, n in copies.items() if n}
             want = None
         if want is not None:
