@@ -88,24 +88,52 @@ def test_bands_find_all_near_pairs(spark, small):
     assert {(r.a, r.b) for r in dedup.near_pairs(fps).collect()} == want
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.text("ab. \n中", max_size=600), st.integers(4, 40), st.integers(1, 10))
-def test_chunks_keep_order_and_size(s, size, least):
-    chunks = chunking.chunks_of(s, size, least)
+def plain_pieces(s, size):
+    """The rules on strings, one part at a time; slow."""
+    tokens = chunking.estimated_tokens
+    if tokens(s) <= size:
+        return [s]
+    for sep in chunking.SEPARATORS:
+        out, now = [], ""
+        for part in s.split(sep) if sep in s else []:
+            if now and tokens(now + sep + part) <= size:
+                now += sep + part
+                continue
+            out += [now] if now else []
+            now = part
+            if tokens(part) > size:
+                inner = plain_pieces(part, size) or [""]
+                out, now = out + inner[:-1], inner[-1]
+        out = [x.strip() for x in out + [now] * bool(now)]
+        if len(out) > 1:
+            return [x for x in out if x]
+    return [" ".join(s.split()[: 2 * size])]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(["\n\n", "\n", ". ", " ", "a", "bcd", "中文", "\t", "   ", "word"]), max_size=150).map("".join), st.integers(2, 30), st.integers(1, 8))
+def test_chunks_equal_the_rules(s, size, least):
+    pieces = plain_pieces(s, size)
+    assert chunking.Splitter(s, size).pieces() == pieces
+    chunks, dropped, lost = chunking.chunks_of(s, size, least)
     assert all(chunking.estimated_tokens(c) >= least for _, c in chunks)
     assert [i for i, _ in chunks] == sorted({i for i, _ in chunks})
-    words = s.split()
-    assert all(w in "".join(words) for _, c in chunks for w in c.split())
+    small = [p for p in pieces if chunking.estimated_tokens(p) < least]
+    assert dropped <= len(small) and lost >= 0
+    words = "".join(s.split())
+    assert all(w in words for _, c in chunks for w in c.split())
 
 
 def test_chunk_rules():
     long = "a" * 400
-    assert chunking.pieces("short", 10) == ["short"]
-    assert chunking.pieces("aaaa aaaa\nbbbb bbbb", 3) == ["aaaa aaaa", "bbbb bbbb"]
-    assert chunking.pieces(long, 10) == [long]  # nothing cuts it
+    pieces = lambda s, size: chunking.Splitter(s, size).pieces()
+    assert pieces("short", 10) == ["short"]
+    assert pieces("aaaa aaaa\nbbbb bbbb", 3) == ["aaaa aaaa", "bbbb bbbb"]
+    assert pieces(long, 10) == [long]  # nothing cuts it
     small = "x" * 40
-    assert chunking.chunks_of("\n".join([long, small]), 100, 20) == [(0, long + "\n\n" + small)]
-    assert chunking.chunks_of(small, 100, 20) == []
+    assert chunking.chunks_of("\n".join([long, small]), 100, 20)[0] == [(0, long + "\n\n" + small)]
+    assert chunking.chunks_of(small, 100, 20) == ([], 1, 0)
+    assert chunking.chunks_of("\t".join("w" * 30), 3, 1)[2] == 24  # six words stay
 
 
 def test_chunk_table_function(spark):
@@ -113,6 +141,104 @@ def test_chunk_table_function(spark):
     got = chunking.recursive_chunks(rows, 100, 10).collect()
     assert {r.doc_id for r in got} == {1} and all(10 <= r.token_count <= 150 for r in got)
     assert got[0].chunk_id == "1_chunk_0"
+    assert sorted(map(tuple, chunking.losses(rows, 100, 10).collect()))[1:] == [(2, 0, 1, 0), (3, 0, 1, 0)]
+    spark.udtf.register("chunk_text", chunking.ChunkText)
+    again = spark.sql("SELECT d.doc_id, c.* FROM {rows} d, LATERAL chunk_text(d.text, 100, 10) c", rows=rows).collect()
+    assert sorted((r.doc_id, r.chunk_index, r.chunk_text) for r in again) == sorted((r.doc_id, r.chunk_index, r.text) for r in got)
+
+
+def test_retrieval_with_text_ids_and_blocks(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    asked = spark.read.parquet(f"{small}/benchmark.parquet").select(F.concat(F.lit("q"), "item_id").alias("query_id"), "text")
+    rows = lambda: sorted((r.query_id, r.id, r.rank, round(r.score, 5)) for r in retrieve.bm25(asked, docs, 4).collect())
+    whole = rows()
+    monkeypatch.setattr(retrieve, "QUERY_ROWS", 9)
+    monkeypatch.setattr(retrieve, "ROWS", 17)
+    assert rows() == whole and len(whole) == 4 * asked.count()
+    assert retrieve.bm25(asked.limit(0), docs).count() == retrieve.bm25(asked, docs.limit(0)).count() == 0
+    vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [2.0, 0.1])], "id string, vec array<double>")
+    got = retrieve.dense(vecs.where("id <> 'b'").select(F.col("id").alias("query_id"), "vec"), vecs, 2)
+    assert sorted((r.query_id, r.id, r.rank) for r in got.collect()) == [("a", "a", 1), ("a", "d", 2), ("d", "a", 2), ("d", "d", 1)]
+
+
+def test_documents_that_hold_an_item(spark):
+    docs = [(1, "x one two three four five six seven y"), (2, "prone two three four five six sevens"), (3, "one  two three four five six seven"), (4, "ab"), (5, None), (6, "one two\nthree"), (7, "")]
+    items = [(10, "one two three four five six seven"), (11, "ab"), (12, "one two"), (13, "two\nthr"), (14, ""), (15, None), (16, "one two three")]
+    got = evaluate.containing(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(items, "query_id int, item string"))
+    want = {(q, i) for q, x in items if x for i, t in docs if t and x in t}
+    assert {(r.query_id, r.id) for r in got.collect()} == want
+
+
+def test_running_maximum(spark):
+    from corpusloom.streaming import windows
+
+    values = [(i, (i * 7919) % 101) for i in range(3, 400, 3)]
+    got = {r.k: r.top for r in windows.running_max(spark.createDataFrame(values, "k long, v int"), "k", "v", "top", block=5).collect()}
+    assert got == {k: max((v for j, v in values if j < k), default=None) for k, _ in values}
+
+
+def test_index_is_declared_once_and_checks_vectors(spark):
+    name = "declared_index"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    assert index.declare(spark, name, 2) and not index.declare(spark, name, 3)
+    assert index.declared(spark, name) == {"vector_size": "2", "distance": "cosine"}
+    rows = spark.createDataFrame([(1, [1.0, 2.0])], "k int, embedding array<float>")
+    assert index.checked(rows, 2).first().embedding == [1.0, 2.0]
+    for bad in (rows, spark.createDataFrame([(1, None)], rows.schema)):
+        with pytest.raises(Exception, match="vector of 3 expected"):
+            index.checked(bad, 3).collect()
+    with pytest.raises(ValueError):
+        index.declare(spark, "other_index", 2, "odd")
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_model_is_asked_again_unless_the_error_is_final(spark):
+    from corpusloom.plans import model
+
+    def call(prompt):
+        if prompt == "value":
+            raise ValueError("no")
+        if prompt == "down":
+            raise TimeoutError
+        return f'{{"answer": "{prompt}!", "confidence": "high"}}'
+
+    rows = spark.createDataFrame([("a",), ("value",), ("down",), (None,)], "prompt string")
+    got = {r.prompt: (r.reply.answer, r.reply.ok) for r in model.asked(rows, "prompt", model.calling(call), F.lit("rule")).collect()}
+    assert got == {"a": ("a!", True), "value": ("rule", False), "down": ("rule", False), None: ("rule", False)}
+
+
+def test_tools(spark):
+    from corpusloom.operators import tools
+
+    own = tools.standard(lambda q: F.concat(F.lit("found "), q)).register("calculator", "new", lambda x: F.lit("42"))
+    assert own.names() == ["retrieve", "calculator", "datetime"] and [x["function"]["name"] for x in own.schema()] == own.names()
+    rows = spark.createDataFrame([("retrieve", "x"), ("calculator", "1+1"), ("odd", "y"), (None, None)], "name string, argument string")
+    assert [r.v for r in rows.select(own.call(F.col("name"), F.col("argument")).alias("v")).collect()] == ["found x", "42", tools.UNKNOWN + "odd", tools.UNKNOWN]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from corpusloom.operators import tables
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"  # noqa: N815
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = type("C", (), {"get": staticmethod(lambda k, d: None)})
+
+    with pytest.raises(ValueError):
+        tables.scratch(Session())
+    Context.master = "local[2]"
+    assert tables.scratch(Session())
+    one = tables.written(spark.range(3), "t")
+    path = one.inputFiles()[0]
+    tables.dropped(one)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
 
 
 def test_registry_versions_and_updates(spark):
