@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import signals
+from corpusloom.operators.tables import written
 
 MOST_ROUNDS = 5
+#: What kind of step each node of the loop is, and that of others.
+STEPS = {"think": "thought", "act": "action", "observe": "observation", "retrieve": "action", "finish": "final", "max_iter": "warning"}
+OTHER_STEP = "thought"
+
+
+def step_type(node: Column) -> Column:
+    """The kind of step that a node's event shows."""
+    known = F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.coalesce(node, F.lit(""))), F.lit(OTHER_STEP))
 
 
 def accumulated(rounds: list[DataFrame]) -> DataFrame:
@@ -23,13 +33,14 @@ def run(questions: DataFrame, think: Callable[[DataFrame, int], DataFrame], retr
 
     ``think(open questions, round)`` adds action and confidence; ``retrieve`` returns chunks
     (query_id, …) for questions whose next node is retrieve.  Returns (query_id, node, round)
-    of each question's end, and all chunks.  The plan has at most ``rounds`` rounds.
+    of each question's end, and all chunks.  The plan has at most ``rounds`` rounds; each is
+    written, so that a model is asked once for each open question and round.
     """
     opened, ended, found = questions, [], []
     for k in range(rounds + 1):
         node = signals.react_next(F.col("action"), F.col("confidence"), F.lit(k), F.lit(False), rounds)
-        thought = think(opened, k).withColumn("node", node)
+        thought = written(think(opened, k).withColumn("node", node), f"round-{k}")
         ended.append(thought.where("node in ('finish', 'max_iter')").select("query_id", "node", F.lit(k).alias("round")))
-        found.append(retrieve(thought.where("node = 'retrieve'")))
+        found.append(written(retrieve(thought.where("node = 'retrieve'")), f"found-{k}"))
         opened = thought.where("node not in ('finish', 'max_iter')").select(*questions.columns)
     return accumulated(ended), accumulated(found)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tables import written
+
 #: Characters in a gram, bits that near-duplicates may differ in.
 GRAM, MAX_BITS = 3, 3
 #: Distinct grams whose votes a task remembers.
@@ -64,15 +67,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """(a, b, distance) of distinct fingerprints up to ``most`` bits apart: with most + 1
-    bands at least one band of the bits is equal, so an equi-join on bands finds all.
+    """(a, b, distance) of distinct fingerprints up to ``most`` bits apart.
 
-    Equal fingerprints are joined once, by their smallest document.
+    The 64 bits are cut into 2 * ``most`` blocks.  At most ``most`` of them differ, so some
+    ``most`` blocks are equal: an equi-join on each choice of ``most`` blocks finds all pairs.
+    With 3 bits that is 20 rows a fingerprint and buckets of 32 bits, few of which are shared
+    by chance.  Equal fingerprints are joined once, by their smallest document.
     """
-    # both sides of the join read this thin table; it is kept, so that texts are hashed once
-    one = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).persist()
-    width = 64 // (most + 1)
-    bands = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1).alias("bits")) for k in range(most + 1)]
+    one = written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fingerprints")
+    count = max(1, 2 * most)
+    cuts = [64 * i // count for i in range(count + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    choices = [signed(sum(some)) for some in combinations(masks, max(1, most))]
+    bands = [F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(choices)]
     rows = one.select("doc_id", "fp", F.explode(F.array(*bands)).alias("k")).select("doc_id", "fp", "k.band", "k.bits")
     left = rows.withColumnsRenamed({"doc_id": "a", "fp": "fa"})
     right = rows.withColumnsRenamed({"doc_id": "b", "fp": "fb"})

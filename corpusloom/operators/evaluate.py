@@ -32,6 +32,49 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame
     )
 
 
+def containing(docs: DataFrame, items: DataFrame, inner: int = 5) -> DataFrame:
+    """(query_id, id) of the documents (id, text) that hold the whole text of an item
+    (query_id, item).
+
+    An item that stands in a text has its words there one after the other; its first and last
+    may be parts of longer words, those between are whole.  So ``inner`` words after the first
+    are the key of an equi-join with all runs of as many words, and what meets is verified.  An
+    item of fewer than three words has no whole word; such items are looked for one by one.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    runs = lambda ws, k: F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, k), " ")))
+    marked = items.where("item is not null and item <> ''").withColumn("ws", words(F.col("item"))).withColumn("k", F.least(F.lit(inner), F.size("ws") - 2))
+    keys = marked.where("k > 0").select("query_id", "item", "k", F.xxhash64(F.array_join(F.slice("ws", F.lit(2), F.col("k")), " ")).alias("key"))
+    lengths = [r["k"] for r in keys.select("k").distinct().collect()]  # at most ``inner`` numbers
+    found = None
+    for k in lengths:
+        own = docs.where("text is not null").select("id", "text", words(F.col("text")).alias("ws")).where(F.size("ws") >= k)
+        thin = own.select("id", F.explode(F.array_distinct(runs(F.col("ws"), k))).alias("key"))
+        some = keys.where(F.col("k") == k).select("query_id", "item", F.col("key").alias("own"))
+        met = thin.join(some, F.col("key") == F.col("own")).select("query_id", "id", "item")
+        part = met.join(docs.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).where(F.contains("text", "item")).select("query_id", "id")
+        found = part if found is None else found.unionByName(part)
+    short = marked.where("k <= 0").select("query_id", "item").collect()
+    for r in short:
+        part = docs.where(F.contains("text", F.lit(r["item"]))).select(F.lit(r["query_id"]).alias("query_id"), "id")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return items.select("query_id").crossJoin(docs.select("id").limit(0)).limit(0)
+    return found.distinct()
+
+
+def stored_runs(runs: DataFrame, new: DataFrame, extra: tuple[str, ...] = ("prompt_version", "prompt_hash", "git_commit")) -> DataFrame:
+    """Runs (run_id, …, metadata map) after ``new`` ones are stored.
+
+    A known run is replaced.  The ``extra`` columns that are not empty are merged into the
+    metadata, where keys that are there already stay as they are.
+    """
+    given = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    pairs = F.map_filter(F.create_map(*[x for c in extra for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull() & (v != "") & ~F.map_contains_key(given, k))
+    fresh = new.withColumn("metadata", F.map_concat(given, pairs))
+    return runs.join(new.select("run_id"), "run_id", "left_anti").unionByName(fresh)
+
+
 def case_report(scores: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """(case_id, passed, mean, weakest) from (case_id, metric, score); null scores are absent.
 

@@ -5,10 +5,11 @@ Parquet has no in-place update, so an upsert appends a row and readers take the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions import vectors
+from corpusloom.operators import retrieve
 
 #: States of a document, thresholds and life times.
 STATES = ("queued", "processing", "indexed", "failed")
@@ -56,20 +57,29 @@ def history(messages: DataFrame, rewriting: int = 3, routing: int = 2) -> DataFr
     return rows.withColumn("cache_key", F.md5(key.cast("binary")))
 
 
-def cache_lookup(queries: DataFrame, entries: DataFrame, least: float = CACHE_SIMILARITY, days: int = CACHE_DAYS) -> DataFrame:
+def cache_lookup(queries: DataFrame, entries: DataFrame, least: float = CACHE_SIMILARITY, days: int = CACHE_DAYS, *, others: bool = False) -> DataFrame:
     """(query_id, hit, similarity): the most similar entry of the same tenant that is not
     expired, if it reaches ``least``; ties go to the smaller id.
 
     queries: query_id, tenant_id, vec, asked_at; entries: id, tenant_id, vec, created_at.
-    The equi-join on tenant and the time range keep the pairs within a tenant; only the best
-    of each query is kept by a partial aggregation.
+    Entries are scanned in ``retrieve.dense``'s blocks, where tenant and age are checked, so no
+    tenant's pairs meet in one task.  With ``others`` an entry with the query's id is left out.
     """
-    e = entries.withColumnsRenamed({"vec": "evec", "tenant_id": "etenant"})
-    alive = (F.col("created_at") <= F.col("asked_at")) & (F.col("created_at") > F.col("asked_at") - F.expr(f"interval {days} days"))
-    pairs = queries.join(e, (F.col("tenant_id") == F.col("etenant")) & alive)
-    scored = pairs.select("query_id", F.round(vectors.cosine(F.col("vec"), F.col("evec")), 6).alias("s"), "id").where(F.col("s") >= least)
-    best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("s")).alias("n"), "id")).alias("b"))
-    return best.select("query_id", F.col("b.id").alias("hit"), (-F.col("b.n")).alias("similarity"))
+    seconds = days * 86400
+    asked = queries.select("query_id", "tenant_id", "vec", F.col("asked_at").cast("timestamp").cast("double").alias("t"))
+    rows = entries.select("id", "tenant_id", "vec", F.col("created_at").cast("timestamp").cast("double").alias("t"))
+
+    def allowed(q, c):
+        codes: dict = {}
+        code = lambda column: np.array([codes.setdefault(x, len(codes)) for x in column.to_pylist()])
+        at, made = np.asarray(q.column("t"))[:, None], np.asarray(c.column("t"))[None, :]
+        mask = (code(q.column("tenant_id"))[:, None] == code(c.column("tenant_id"))[None, :]) & (made <= at) & (made > at - seconds)
+        if others:
+            mask &= code(q.column("query_id"))[:, None] != code(c.column("id"))[None, :]
+        return mask
+
+    best = retrieve.dense(asked, rows, 1, allowed=allowed).withColumn("similarity", F.round("score", 6))
+    return best.where(F.col("similarity") >= least).select("query_id", F.col("id").alias("hit"), "similarity")
 
 
 def alive(created: Column, now: Column, days: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import signals
 from corpusloom.operators import prompt, retrieve
+from corpusloom.operators.tables import written
 from corpusloom.sources.settings import prompts
 
 
@@ -33,9 +34,9 @@ def answers(questions: DataFrame, docs: DataFrame, corpus: DataFrame, version: s
     hint = signals.complexity_hint(*[F.col(c) for c in ("has_pronoun", "is_multi_hop", "entity_count", "query_length")])
     asked = marked.select("query_id", "text", "vec", hint.alias("complexity"))
     fused = retrieve.hybrid(asked, docs.select("id", "text"), corpus).select("query_id", "id", "rrf_score")
-    found = fused.join(docs, "id")
+    found = written(fused.join(docs, "id"), "answers-found")
     scored = found.join(retrieve.coverage(asked.select("query_id", "text"), found), ["query_id", "id"])
-    top = retrieve.reranked(scored).withColumns({"doc_id": F.col("id"), "chunk_id": F.col("id").cast("string"), "section_path": F.col("source")})
+    top = written(retrieve.reranked(scored), "answers-top").withColumns({"doc_id": F.col("id"), "chunk_id": F.col("id").cast("string"), "section_path": F.col("source")})
     parts = prompt.citations(top).join(prompt.context(top), "query_id")
     first = top.where("rank = 1").select("query_id", F.col("text").alias("best"), F.col("final_score").alias("score"))
     rows = asked.join(parts, "query_id", "left").join(first, "query_id", "left")
@@ -48,3 +49,17 @@ def answers(questions: DataFrame, docs: DataFrame, corpus: DataFrame, version: s
         signals.confidence_level(F.coalesce("score", F.lit(0.0))).alias("confidence"),
         prompt.prompt(F.col("text"), context, **templates).alias("prompt"),
     )
+
+
+def answer_stream(questions: DataFrame, docs: DataFrame, corpus: DataFrame, out: str, checkpoint: str, version: str = "v1"):
+    """Answers to a stream of questions (query_id, text, vec): each micro-batch goes through the
+    same plan and is appended to the Parquet folder ``out``.  Returns the running query.
+
+    A batch that is run again after a failure replaces its own folder, so no question is
+    answered twice.
+    """
+
+    def batch(some: DataFrame, batch_id: int) -> None:
+        answers(written(some, "questions"), docs, corpus, version).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return questions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

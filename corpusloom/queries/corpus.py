@@ -39,14 +39,13 @@ def _(t):
     return dedup.first_of_copies(rows, ["source", "content_hash"], "doc_id").select("doc_id", "is_duplicate")
 
 
-@query("upload_admission", """with u as (select page_id as file_id, 't' || page_id % 3 as tenant_id, sha256(substr(html, 1, 15 + (page_id % 20)::int)) as h, case when page_id % 11 = 0 then '.exe' else '.html' end as ext, length(html) as size from pages),
-f as (select * from u where ext in ('.html', '.md') and size <= 100000), r as (select * from u where file_id % 10 = 0 and file_id % 20 = 0),
+@query("upload_admission", """with u as (select page_id as file_id, 't' || page_id % 3 as tenant_id, sha256(html) as h, case when page_id % 11 = 0 then '.exe' else '.html' end as ext, length(html) as size from pages),
+f as (select * from u where ext in ('.html', '.md') and size <= 100000), r as (select * from u where file_id % 20 = 0),
 n as (select f.*, row_number() over (partition by f.tenant_id, f.h order by f.file_id) as rn from f anti join r on f.tenant_id = r.tenant_id and f.h = r.h)
 select file_id, tenant_id, h as content_hash from n where rn = 1""")
 def _(t):
-    cut = F.expr("substr(html, 1, 15 + cast(page_id % 20 as int))")
-    ups = t.pages.select(F.col("page_id").alias("file_id"), F.expr("'t' || page_id % 3").alias("tenant_id"), text.content_hash(cut).alias("content_hash"), F.when(F.col("page_id") % 11 == 0, ".exe").otherwise(".html").alias("ext"), F.length("html").alias("size"))
-    registry = ups.where("file_id % 10 = 0").withColumn("status", F.when(F.col("file_id") % 20 == 0, "indexed").otherwise("failed"))
+    ups = t.pages.select(F.col("page_id").alias("file_id"), F.expr("'t' || page_id % 3").alias("tenant_id"), text.content_hash(F.col("html")).alias("content_hash"), F.when(F.col("page_id") % 11 == 0, ".exe").otherwise(".html").alias("ext"), F.length("html").alias("size"))
+    registry = ups.withColumn("status", F.when(F.col("file_id") % 20 == 0, "indexed").otherwise("failed"))
     return dedup.admitted(ups, registry, extensions=[".html", ".md"], max_bytes=100_000).select("file_id", "tenant_id", "content_hash")
 
 
@@ -55,6 +54,11 @@ def _(t):
     return chunking.recursive_chunks(t.documents)
 
 
+@query("chunk_losses")
+def _(t):
+    return chunking.losses(t.documents)
+
+
 _CHUNKS = """c0 as (select doc_id, source as tenant_id, unnest(string_split(text, chr(10))) as text, unnest(range(0, len(string_split(text, chr(10))))) as i from documents),
 c as (select doc_id || '_chunk_' || i as chunk_id, doc_id, tenant_id, i::int as chunk_index, text, floor(length(text) * 0.25::double)::bigint as token_count from c0)"""
 
@@ -78,9 +82,9 @@ def _(t):
     return chunking.stats(_chunks(t), 60)
 
 
-@query("contextual_text", rf"with {_CHUNKS}, s as (select doc_id, trim(array_to_string(string_split(substr(text, 1, 8000), '. ')[1:2], '. ')) as summary from documents where doc_id % 3 <> 0) select chunk_id, md5('[Document Context]' || chr(10) || coalesce(summary, '') || chr(10) || chr(10) || '[Content]' || chr(10) || text) as h from c left join s using (doc_id)")
+@query("contextual_text", rf"with {_CHUNKS}, s as (select doc_id, trim(array_to_string(string_split(substr(text, 1, 8000), '. ')[1:2], '. ')) as summary from documents) select chunk_id, md5('[Document Context]' || chr(10) || coalesce(summary, '') || chr(10) || chr(10) || '[Content]' || chr(10) || text) as h from c left join s using (doc_id)")
 def _(t):
-    summaries = t.documents.where("doc_id % 3 <> 0").select("doc_id", text.lead(F.col("text")).alias("summary"))
+    summaries = t.documents.select("doc_id", text.lead(F.col("text")).alias("summary"))
     return chunking.contextual(_chunks(t), summaries).select("chunk_id", F.md5(F.col("content").cast("binary")).alias("h"))
 
 
@@ -201,21 +205,22 @@ def _(t):
     return _hybrid(t).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), F.array_join("sources", "+").alias("sources"), "rank")
 
 
-_LISTS = """l as (select event_type as s, user_id as id, row_number() over (partition by event_type order by max(value) desc, user_id) as rank, max(value) as score from events group by event_type, user_id)"""
+_LISTS = """l as (select epoch(ts)::bigint // 86400 as query_id, event_type as s, user_id as id, row_number() over (partition by epoch(ts)::bigint // 86400, event_type order by max(value) desc, user_id) as rank, max(value) as score from events group by 1, event_type, user_id)"""
 
 
 def _event_lists(t):
     from pyspark.sql import Window
 
-    best = t.events.groupBy("event_type", "user_id").agg(F.max("value").alias("score"))
-    order = Window.partitionBy("event_type").orderBy(F.col("score").desc(), "user_id")
+    day = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("long")
+    best = t.events.groupBy(day.alias("query_id"), "event_type", "user_id").agg(F.max("value").alias("score"))
+    order = Window.partitionBy("query_id", "event_type").orderBy(F.col("score").desc(), "user_id")
     rows = best.withColumn("rank", F.row_number().over(order))
-    return rows.select(F.lit(1).alias("query_id"), F.col("event_type").alias("source"), F.ascii("event_type").alias("pos"), F.col("user_id").alias("id"), "rank", "score")
+    return rows.select("query_id", F.col("event_type").alias("source"), F.ascii("event_type").alias("pos"), F.col("user_id").alias("id"), "rank", "score")
 
 
-@query("rrf_fusion", f"with {_LISTS} select id, round(sum(1.0::double / (60 + rank)), 8) as rrf_score, string_agg(s, '+' order by ascii(s), s) as sources, (row_number() over (order by round(sum(1.0::double / (60 + rank)), 9) desc, id))::int as rank from l group by id")
+@query("rrf_fusion", f"with {_LISTS} select query_id, id, round(sum(1.0::double / (60 + rank)), 8) as rrf_score, string_agg(s, '+' order by ascii(s), s) as sources, (row_number() over (partition by query_id order by round(sum(1.0::double / (60 + rank)), 9) desc, id))::int as rank from l group by query_id, id")
 def _(t):
-    return retrieve.fused(_event_lists(t)).select("id", F.round("rrf_score", 8).alias("rrf_score"), F.array_join("sources", "+").alias("sources"), "rank")
+    return retrieve.fused(_event_lists(t)).select("query_id", "id", F.round("rrf_score", 8).alias("rrf_score"), F.array_join("sources", "+").alias("sources"), "rank")
 
 
 @query("rrf_dynamic_k", "select event_id, case event_id % 6 when 0 then 30 when 1 then 60 when 2 then 90 when 3 then 60 when 4 then 60 else 60 end as k, 60 as fixed from events")
@@ -224,10 +229,10 @@ def _(t):
     return t.events.select("event_id", retrieve.fusion_k(c).alias("k"), retrieve.fusion_k(c, dynamic=False).alias("fixed"))
 
 
-@query("dedup_candidates", f"with {_LISTS} select id::varchar as chunk_id, s, rank::int as rank from l where id % 7 <> 0 qualify row_number() over (partition by id order by ascii(s), rank, s) = 1")
+@query("dedup_candidates", f"with {_LISTS} select query_id, id::varchar as chunk_id, s, rank::int as rank from l where id % 7 <> 0 qualify row_number() over (partition by query_id, id order by ascii(s), rank, s) = 1")
 def _(t):
     rows = _event_lists(t).select("query_id", F.when(F.col("id") % 7 == 0, "").otherwise(F.col("id").cast("string")).alias("chunk_id"), F.col("pos").alias("source_pos"), F.struct("rank", "source").alias("rank"))
-    return retrieve.deduplicated(rows).select("chunk_id", F.col("rank.source").alias("s"), F.col("rank.rank").alias("rank"))
+    return retrieve.deduplicated(rows).select("query_id", "chunk_id", F.col("rank.source").alias("s"), F.col("rank.rank").alias("rank"))
 
 
 _RERANK = rf"""cand as (select hy.query_id, hy.id, hy.rrf, hy.rank, d.text as full_text, list_distinct(regexp_extract_all(lower(substr(d.text, 1, 2000)), '[\p{{L}}\p{{N}}]+')) as ws from hy join documents d on d.doc_id = hy.id where hy.rank <= 20),
@@ -252,6 +257,13 @@ def _(t):
     return retrieve.reranked(_scored(t)).select("query_id", "id", F.round("rerank_score", 4).alias("rerank_score"), "rank")
 
 
+@query("rerank_model", f"with {_DENSE}, {_BM25}, {_FUSED}, m as (select hy.query_id, hy.id, rrf, case when hy.id % 3 = 0 then null else round(length(substr(d.text, 1, 2000)) / (1.0::double + length(b.text)), 6) end as s from hy join documents d on d.doc_id = hy.id join benchmark b on b.item_id = hy.query_id where hy.rank <= 20) select query_id, id, round(coalesce(s, rrf), 6) as final_score, (row_number() over (partition by query_id order by round(coalesce(s, rrf), 6) desc, id))::int as rank from m qualify rank <= 5")
+def _(t):
+    score = lambda q, d: F.when(F.col("id") % 3 != 0, F.round(F.length(d) / (1.0 + F.length(q)), 6))
+    rows = retrieve.scored_by(_bench(t).select("query_id", "text"), _candidates(t), score)
+    return retrieve.reranked(rows).select("query_id", "id", F.round("final_score", 6).alias("final_score"), "rank")
+
+
 @query("rerank_fallback", f"with {_DENSE}, {_BM25}, {_FUSED} select query_id, id, round(rrf, 6) as final_score, (row_number() over (partition by query_id order by round(rrf, 6) desc, id))::int as rank from hy qualify rank <= 5")
 def _(t):
     rows = _hybrid(t).drop("rank").withColumn("rerank_score", F.lit(None).cast("double"))

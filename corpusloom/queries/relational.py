@@ -22,7 +22,7 @@ def _(t):
 
 @query("j_left", "select c_custkey, n_name, count(o_orderkey) as n from customer join nation on n_nationkey = c_nationkey left join orders on o_custkey = c_custkey group by all")
 def _(t):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey", "n_name").agg(F.count("o_orderkey").alias("n"))
 
 
@@ -33,9 +33,9 @@ def _(t):
     return a.join(b, "k", "full")
 
 
-@query("j_range", "with r as (select p_partkey, p_retailprice as low, p_retailprice + 5 as high from part where p_partkey % 20 = 0) select p_partkey, count(*) as n from events join r on value * 20 >= low and value * 20 < high group by p_partkey")
+@query("j_range", "with r as (select p_partkey, p_retailprice as low, p_retailprice + 5 as high from part) select p_partkey, count(*) as n from events join r on value * 20 >= low and value * 20 < high group by p_partkey")
 def _(t):
-    ranges = t.part.where("p_partkey % 20 = 0").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 5).alias("high"))
+    ranges = t.part.select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 5).alias("high"))
     points = t.events.select((F.col("value") * 20).alias("at"))
     return relational.in_range(points, ranges, "at", "low", "high", 10.0).groupBy("p_partkey").agg(F.count("*").alias("n"))
 

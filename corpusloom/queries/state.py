@@ -28,9 +28,9 @@ def _(t):
     return _records(t).select("file_id", "tenant_id", "event_id", "status", "size")
 
 
-@query("registry_update", f"with {_VERSIONS}, u as (select c_custkey as id, 'indexed' as status, case when c_custkey % 2 = 0 then null else c_acctbal end as size from customer where c_custkey % 3 = 0) select file_id, coalesce(u.status, r.status) as status, coalesce(u.size, r.size) as size from r left join u on id = file_id")
+@query("registry_update", f"with {_VERSIONS}, u as (select c_custkey as id, case when c_custkey % 3 = 0 then 'indexed' end as status, case when c_custkey % 2 = 0 then null else c_acctbal end as size from customer) select file_id, coalesce(u.status, r.status) as status, coalesce(u.size, r.size) as size from r left join u on id = file_id")
 def _(t):
-    ups = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("file_id"), F.lit("indexed").alias("status"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_acctbal")).alias("size"))
+    ups = t.customer.select(F.col("c_custkey").alias("file_id"), F.when(F.col("c_custkey") % 3 == 0, "indexed").alias("status"), F.when(F.col("c_custkey") % 2 != 0, F.col("c_acctbal")).alias("size"))
     return registry.updated(_records(t), ups, "file_id", ["status", "size"]).select("file_id", "status", "size")
 
 
@@ -69,16 +69,16 @@ def _(t):
 
 
 _CACHE = """e as (select vec_id, label % 5 as tenant, embedding::double[] as e, timestamp '2024-01-01' + to_hours((vec_id % 400)::int) as created from embeddings),
-q as (select vec_id as query_id, tenant, e as v, timestamp '2024-01-12' as asked from e where vec_id % 10 = 0),
-s as (select query_id, vec_id as id, round(list_inner_product(v, e) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(e, e))), 6) as s from q join e on e.tenant = q.tenant and vec_id % 10 <> 0 and created <= asked and created > asked - interval 7 days)"""
+q as (select vec_id as query_id, tenant, e as v, timestamp '2024-01-12' as asked from e where vec_id % 20 = 0),
+s as (select query_id, vec_id as id, round(list_inner_product(v, e) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(e, e))), 6) as s from q join e on e.tenant = q.tenant and vec_id <> query_id and created <= asked and created > asked - interval 7 days)"""
 
 
 @query("semantic_cache_lookup", f"with {_CACHE} select query_id, id as hit, round(s, 4) as similarity from s where s >= 0.3 qualify row_number() over (partition by query_id order by s desc, id) = 1")
 def _(t):
     at = F.expr("timestamp'2024-01-01' + make_dt_interval(0, cast(vec_id % 400 as int))")
     rows = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("label") % 5).alias("tenant_id"), F.col("embedding").alias("vec"), at.alias("created_at"))
-    asked = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), "tenant_id", F.transform("vec", lambda x: x).alias("vec"), F.expr("timestamp'2024-01-12'").alias("asked_at"))
-    found = registry.cache_lookup(asked, rows.where("id % 10 <> 0"), 0.3)
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "tenant_id", F.transform("vec", lambda x: x).alias("vec"), F.expr("timestamp'2024-01-12'").alias("asked_at"))
+    found = registry.cache_lookup(asked, rows, 0.3, others=True)
     return found.select("query_id", "hit", F.round("similarity", 4).alias("similarity"))
 
 
@@ -120,8 +120,7 @@ select query_id, $columns from n left join h using (query_id)"""
 
 
 def _ir(t):
-    # items in documents by containment: the benchmark is small, one row for each pair found
-    rel = t.documents.join(F.broadcast(t.benchmark.withColumnRenamed("text", "item")), F.expr("contains(text, item)")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")).distinct()
+    rel = evaluate.containing(_docs(t), t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")))
     from corpusloom.operators import retrieve
 
     ranked = retrieve.bm25(_bench(t).select("query_id", "text"), _docs(t)).select("query_id", "id", "rank")
@@ -284,9 +283,9 @@ f as (select user_id, rn, t, true as ok, [t] as held from e where rn = 1 union a
 select e.user_id, e.rn, e.t, len(list_filter(f.held, lambda x: x > e.t - 86400)) < 3, case when len(list_filter(f.held, lambda x: x > e.t - 86400)) < 3 then list_append(list_filter(f.held, lambda x: x > e.t - 86400), e.t) else list_filter(f.held, lambda x: x > e.t - 86400) end from f join e on e.user_id = f.user_id and e.rn = f.rn + 1)
 select user_id, count(*) filter (ok) as accepted, count(*) as n from f group by user_id""")
 def _(t):
-    times = F.transform(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))), lambda x: x / F.lit(1e6))
-    rows = t.events.groupBy("user_id").agg(times.alias("ts")).select("user_id", windows.accepted(F.col("ts"), 86400, 3).alias("a"))
-    return rows.select("user_id", F.size(F.filter("a", lambda x: x["ok"])).cast("long").alias("accepted"), F.size("a").cast("long").alias("n"))
+    rows = t.events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"))
+    out = state.rate_limited(rows, "user_id", most=3, seconds=86400)
+    return out.groupBy("user_id").agg(F.count_if("accepted").alias("accepted"), F.count("*").alias("n"))
 
 
 @query("stream_dedup", "select event_id, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
@@ -302,20 +301,25 @@ def _(t):
 
 @query("late_drop", "with m as (select event_id, ts, max(ts) over (order by event_id rows between unbounded preceding and 1 preceding) as seen from events) select event_id from m where ts >= seen - interval 10 days or seen is null")
 def _(t):
-    from pyspark.sql import Window
-
-    # one order over all events, as arrival is one order; each day's maximum first, so that
-    # only a row for each block is ordered in one task
-    size = 1000
-    block = F.floor(F.col("event_id") / size)
-    tops = t.events.groupBy(block.alias("b")).agg(F.max("ts").alias("top"))
-    tops = tops.select("b", F.max("top").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    inside = Window.partitionBy("b").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = t.events.withColumn("b", block).withColumn("here", F.max("ts").over(inside)).join(tops, "b")
-    seen = F.greatest("here", "before")
-    return rows.where(seen.isNull() | (F.col("ts") >= seen - F.expr("interval 10 days"))).select("event_id")
+    rows = windows.running_max(t.events, "event_id", "ts", "seen")
+    return rows.where(F.col("seen").isNull() | (F.col("ts") >= F.col("seen") - F.expr("interval 10 days"))).select("event_id")
 
 
 @query("sse_encode", "select 'data: ' || json_object('stage', event_type, 'id', event_id)::varchar || chr(10) || chr(10) as event from events")
 def _(t):
     return windows.encoded(t.events.select(F.col("event_type").alias("stage"), F.col("event_id").alias("id")))
+
+
+@query("run_upsert", """with o as (select user_id as run_id, min(event_id) as started, map {'origin': 'old'} as metadata from events group by user_id),
+n as (select c_custkey as run_id, c_custkey * 10 as started, case when c_custkey % 3 = 0 then map {'prompt_hash': 'own'} else map {'origin': 'new'} end as metadata, 'h' || c_custkey as prompt_hash, case when c_custkey % 2 = 0 then '' else c_mktsegment end as git_commit from customer),
+a as (select run_id, started, 'old' as origin, null as prompt_hash, null as git_commit from o where run_id not in (select run_id from n)
+union all select run_id, started, case when run_id % 3 = 0 then null else 'new' end, case when run_id % 3 = 0 then 'own' else prompt_hash end, nullif(git_commit, '') from n)
+select run_id, started, origin, prompt_hash, git_commit from a""")
+def _(t):
+    text = F.lit(None).cast("string")
+    old = t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.min("event_id").alias("started")).withColumns({"metadata": F.create_map(F.lit("origin"), F.lit("old")), "prompt_hash": text, "git_commit": text})
+    key = F.col("c_custkey")
+    meta = F.when(key % 3 == 0, F.create_map(F.lit("prompt_hash"), F.lit("own"))).otherwise(F.create_map(F.lit("origin"), F.lit("new")))
+    new = t.customer.select(key.alias("run_id"), (key * 10).alias("started"), meta.alias("metadata"), F.concat(F.lit("h"), key).alias("prompt_hash"), F.when(key % 2 == 0, "").otherwise(F.col("c_mktsegment")).alias("git_commit"))
+    rows = evaluate.stored_runs(old, new, ("prompt_hash", "git_commit"))
+    return rows.select("run_id", "started", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("origin", "prompt_hash", "git_commit")])

@@ -131,18 +131,19 @@ def _(t):
     return t.documents.select("doc_id", text.lead(F.col("text")).alias("summary"))
 
 
-_Q = "substr(text, 1, 20 + (doc_id % 60)::int)"
+#: A word's bounds count letters of all scripts: other ones stand for them where bounds matter.
+_BOUNDED = r"regexp_replace(regexp_replace(q, '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
 _EN = "I|you|he|she|it|they|we|this|that|these|those|such|said"
 _HOP = "and then|after|afterward|combine|compare|contrast|impact|relationship|cross|merge|synthesize"
-_SIGNALS = rf"""s as (select doc_id, q, regexp_matches(q, '(?i)\b({_EN})\b') as has_pronoun, regexp_matches(q, '(?i)({_HOP})') as is_multi_hop,
-  contains(q, '"') or contains(q, chr(39)) as has_quote, len(list_distinct(regexp_extract_all(q, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}\b')))::int as entity_count, length(q)::int as query_length
-  from (select doc_id, {_Q} || case doc_id % 7 when 0 then ' compare' when 1 then ' "x"' else '' end as q from documents where lang = 'en'))"""
+_SIGNALS = rf"""s as (select doc_id, q, regexp_matches(b, '(?i)\b({_EN})\b') as has_pronoun, regexp_matches(q, '(?i)({_HOP})') as is_multi_hop,
+  contains(q, '"') or contains(q, chr(39)) as has_quote, len(list_distinct(regexp_extract_all(b, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}\b')))::int as entity_count, length(q)::int as query_length
+  from (select doc_id, q, {_BOUNDED} as b from (select doc_id, text || case doc_id % 7 when 0 then ' compare' when 1 then ' "x"' else '' end as q from documents)))"""
 _HINT = "case when is_multi_hop and (entity_count >= 2 or query_length >= 30) then 'complex' when has_pronoun and query_length < 30 then 'moderate' when query_length <= 15 and entity_count <= 1 then 'simple' else 'moderate' end"
 
 
 def _questions(t):
-    q = F.concat(F.expr("substr(text, 1, 20 + cast(doc_id % 60 as int))"), F.when(F.col("doc_id") % 7 == 0, " compare").when(F.col("doc_id") % 7 == 1, ' "x"').otherwise(""))
-    rows = t.documents.where("lang = 'en'").select("doc_id", q.alias("q"))
+    q = F.concat("text", F.when(F.col("doc_id") % 7 == 0, " compare").when(F.col("doc_id") % 7 == 1, ' "x"').otherwise(""))
+    rows = t.documents.select("doc_id", q.alias("q"))
     return rows.withColumns(signals.signals(F.col("q")))
 
 
@@ -180,13 +181,12 @@ def _(t):
 _REPLY = """case doc_id % 6 when 0 then null when 1 then 'no json' when 2 then '{"rewritten": "new", "confidence": 0.9}' when 3 then '{"rewritten": "new", "confidence": 0.5}' when 4 then '{"rewritten": "new"}' else '{"confidence": 0.95}' end"""
 
 
-@query("rewrite_accept", f"""with r as (select doc_id, substr(text, 1, 30) as q, {_REPLY} as reply from documents),
+@query("rewrite_accept", f"""with r as (select doc_id, text as q, {_REPLY} as reply from documents),
 p as (select *, case when reply is null or not json_valid(reply) then 0.0::double else coalesce((reply::json ->> '$.confidence')::double, 0.8) end as confidence from r),
 o as (select doc_id, q, confidence, case when confidence < 0.7 then q else coalesce(reply::json ->> '$.rewritten', q) end as rewritten from p)
 select doc_id, rewritten, rewritten <> q as was_rewritten, confidence from o""")
 def _(t):
-    q = F.substring("text", 1, 30)
-    return t.documents.select("doc_id", signals.rewrite_accepted(q, F.expr(_REPLY)).alias("r")).select("doc_id", "r.*")
+    return t.documents.select("doc_id", signals.rewrite_accepted(F.col("text"), F.expr(_REPLY)).alias("r")).select("doc_id", "r.*")
 
 
 _ROUTE = """case doc_id % 6 when 0 then null when 1 then 'no json' when 2 then '{"complexity": "simple", "confidence": 0.4}' when 3 then '{"complexity": "moderate", "confidence": 0.3}' when 4 then '{"complexity": "odd", "confidence": 0.9}' else '{"complexity": "beyond_kb", "confidence": 0.2}' end"""
@@ -243,3 +243,57 @@ def _(t):
 def _(t):
     v = F.col("value")
     return t.events.select("event_id", calc.compiled("(value + 3) * 2 - max(value, 5) / 4 + 2 ** 3", value=v).alias("result"), calc.compiled("math.sqrt(abs(value))", value=v).alias("root"))
+
+
+_SAID = """case conv_id % 5 when 0 then '{"answer": "' || turn || '", "citations": [1, 2], "confidence": "high"}' when 1 then '{"answer": "a", "confidence": "sure"}' when 2 then 'no json' when 3 then null else '{"answer": "b", "confidence": "low"}' end"""
+
+
+@query("model_answer", f"""with r as (select conv_id, turn, text, {_SAID} as reply from conversations),
+o as (select *, case when reply is not null and json_valid(reply) then reply end as j from r),
+k as (select *, coalesce(trim(j::json ->> '$.answer') <> '' and (j::json ->> '$.confidence') in ('high', 'medium', 'low', 'insufficient'), false) as ok from o)
+select conv_id, turn, case when ok then j::json ->> '$.answer' else text end as answer, case when ok and conv_id % 5 = 0 then 2 else 0 end as cited, case when ok then j::json ->> '$.confidence' else 'insufficient' end as confidence, ok from k""")
+def _(t):
+    from corpusloom.plans import model
+
+    rows = model.asked(t.conversations.withColumn("reply_in", F.expr(_SAID)), "reply_in", lambda prompt: prompt, F.col("text"))
+    return rows.select("conv_id", "turn", "reply.answer", F.size("reply.citations").alias("cited"), "reply.confidence", "reply.ok")
+
+
+_THOUGHT = """case event_id % 5 when 0 then '{"action": "retrieve", "confidence": 0.7}' when 1 then '{"confidence": 0.9}' when 2 then 'no json' when 3 then null else '{"action": "finish"}' end"""
+
+
+@query("think_step", f"""with r as (select event_id, {_THOUGHT} as reply, case event_id % 4 when 0 then 'retrieve' when 1 then 'calculator' end as called from events)
+select event_id, case when reply is null or not json_valid(reply) then 'finish' else coalesce(reply::json ->> '$.action', 'think') end as action, case when reply is null or not json_valid(reply) then 0.0::double else coalesce((reply::json ->> '$.confidence')::double, 0.5) end as confidence,
+case when called is null then 'finish' when called = 'retrieve' then 'retrieve' else 'tool_call' end as native_action, case when called is null then 0.8::double else 0.6::double end as native_confidence from r""")
+def _(t):
+    from corpusloom.plans import model
+
+    called = F.when(F.col("event_id") % 4 == 0, "retrieve").when(F.col("event_id") % 4 == 1, "calculator")
+    rows = t.events.select("event_id", model.thought(F.expr(_THOUGHT)).alias("a"), model.thought(F.lit(None), called).alias("b"))
+    return rows.select("event_id", "a.action", "a.confidence", F.col("b.action").alias("native_action"), F.col("b.confidence").alias("native_confidence"))
+
+
+@query("tool_call", """select event_id, case event_id % 4 when 0 then (event_id + user_id)::double::varchar when 1 then (event_id * 2)::double::varchar when 2 then strftime(ts, '%Y-%m-%d %A') else '未找到工具: odd' end as result from events""")
+def _(t):
+    from corpusloom.operators import tools
+
+    k = F.col("event_id") % 4
+    name = F.when(k <= 1, "calculator").when(k == 2, "datetime").otherwise("odd")
+    argument = F.when(k == 0, F.concat_ws(" + ", "event_id", "user_id")).when(k == 1, F.concat(F.col("event_id"), F.lit("*2"))).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return t.events.select("event_id", tools.standard().call(name, argument).alias("result"))
+
+
+@query("step_type", "select event_id, case event_type when 'view' then 'thought' when 'click' then 'action' when 'signup' then 'action' when 'purchase' then 'final' else 'thought' end as step from events")
+def _(t):
+    from corpusloom.operators import agent
+
+    node = F.when(F.col("event_type") == "view", "think").when(F.col("event_type") == "click", "act").when(F.col("event_type") == "signup", "retrieve").when(F.col("event_type") == "purchase", "finish").otherwise(F.col("event_type"))
+    return t.events.select("event_id", agent.step_type(node).alias("step"))
+
+
+@query("retry_rule", "select event_id, event_id % 5 not in (0, 1, 2) and event_id % 4 < 2 as again, substr(repeat(event_type, 200), 1, 500) as error from events")
+def _(t):
+    from corpusloom.plans import model
+
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("ValueError", "TypeError", "KeyError", "TimeoutError", "ConnectionError")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return t.events.select("event_id", model.retries(kind, F.col("event_id") % 4).alias("again"), model.error_text(F.repeat("event_type", 200)).alias("error"))

@@ -29,19 +29,31 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
 
 
+def _with_text(files: DataFrame, binary_parser) -> DataFrame:
+    rows = files.withColumn("parser", text.parser_of(F.col("path")))
+    plain = text.decoded(F.col("content"))
+    body = F.when(F.col("parser") == "markdown", plain).when(F.col("parser") == "html", text.html_to_text(plain))
+    if binary_parser is not None:
+        body = body.when(F.col("parser").isNotNull(), binary_parser(F.col("content")))
+    return rows.withColumn("text", F.when(F.col("length") <= MAX_BYTES, body))
+
+
+def unparsed(files: DataFrame, binary_parser=None) -> DataFrame:
+    """(path, length, reason) of the files that ``parsed`` leaves out: too large, no parser for
+    their kind, or the parser found no text."""
+    known = F.col("parser").isin("markdown", "html") | (F.lit(binary_parser is not None) & F.col("parser").isNotNull())
+    reason = F.when(F.col("length") > MAX_BYTES, "too large").when(~F.coalesce(known, F.lit(False)), "no parser").otherwise("no text")
+    return _with_text(files, binary_parser).where("text is null").select("path", "length", reason.alias("reason"))
+
+
 def parsed(files: DataFrame, binary_parser=None) -> DataFrame:
     """doc_id, source_path, title, content, text_units, parser, headings, file_size_bytes.
 
     Markdown and HTML are parsed by column functions.  For PDF and Word files a function of
-    the content column that gives their text may be passed; without one they are left out, as
-    files over the size limit are.
+    the content column that gives their text, or null where it can't, may be passed.  Files that
+    are not parsed are in ``unparsed`` with the reason.
     """
-    rows = files.where(F.col("length") <= MAX_BYTES).withColumn("parser", text.parser_of(F.col("path")))
-    plain = text.decoded(F.col("content"))
-    body = F.when(F.col("parser") == "markdown", plain).when(F.col("parser") == "html", text.html_to_text(plain))
-    if binary_parser is not None:
-        body = body.otherwise(binary_parser(F.col("content")))
-    rows = rows.withColumn("text", body).where("text is not null")
+    rows = _with_text(files, binary_parser).where("text is not null")
     parent = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
     return rows.select(
         text.document_key(parent, stem(F.col("path"))).alias("doc_id"),

@@ -32,6 +32,19 @@ class Settings:
         return out
 
 
+def from_yaml(path: str, env: Mapping[str, str] | None = None) -> Settings:
+    """Settings of a YAML file, top-level keys or those of a section; a missing file gives the
+    defaults.  Needs a YAML reader."""
+    import yaml
+
+    if not os.path.exists(path):
+        return Settings.load({}, env)
+    with open(path, encoding="utf-8") as f:
+        tree = yaml.safe_load(f) or {}
+    flat = {k: v for part in tree.values() if isinstance(part, dict) for k, v in part.items()}
+    return Settings.load(flat | {k: v for k, v in tree.items() if not isinstance(v, dict)}, env)
+
+
 #: Prompt templates by version.
 PROMPTS: dict[str, dict[str, str]] = {
     "v1": {

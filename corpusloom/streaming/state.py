@@ -76,6 +76,31 @@ def breaker_states(events: DataFrame, key: str, **limits) -> DataFrame:
     return rows.mapInPandas(run, kind)
 
 
+def rate_limited(events: DataFrame, key: str, most: int = RATE, seconds: float = RATE_SECONDS) -> DataFrame:
+    """(key, event_id, accepted) of events (key, event_id, at double), by time.
+
+    An event is accepted if fewer than ``most`` accepted ones lie in the last ``seconds``;
+    rejected ones don't count.  A key's batches are streamed in order, so a task holds at most
+    ``most`` times.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = object(), []
+        for pdf in batches:
+            out = []
+            for k, i, at in zip(pdf[key], pdf["event_id"], pdf["at"], strict=True):
+                if k != now:
+                    now, held = k, []
+                held = [x for x in held if x > at - seconds]
+                out.append((k, i, len(held) < most))
+                if out[-1][2]:
+                    held.append(at)
+            yield pd.DataFrame(out, columns=[key, "event_id", "accepted"])
+
+    rows = events.select(key, "event_id", "at").repartition(key).sortWithinPartitions(key, "at", "event_id")
+    return rows.mapInPandas(run, f"{key} {events.schema[key].dataType.simpleString()}, event_id long, accepted boolean")
+
+
 class RateLimiter(StatefulProcessor):
     """Accepts an event if its key has fewer than ``most`` accepted ones in ``seconds``."""
 

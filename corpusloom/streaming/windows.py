@@ -48,6 +48,26 @@ def accepted(times: Column, seconds: float, most: int) -> Column:
     return F.aggregate(times, start, step, lambda acc: acc["out"])
 
 
+def running_max(events: DataFrame, order: str, value: str, name: str, block: int = 1000, levels: int = 3) -> DataFrame:
+    """Each event with the largest ``value`` of all events before it by ``order``, an integer.
+
+    Arrival is one order over all events, so the maximum is carried over blocks: within a block
+    of ``block`` events, over the blocks of a larger one, and so on; only a row for each
+    ``block ** levels`` events is ordered in one task.
+    """
+    ids = [F.floor(F.col(order) / block**k).cast("long") for k in range(1, levels + 1)]
+    rows = events.withColumns({f"__b{k}": c for k, c in enumerate(ids, 1)})
+    before = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__m0", F.max(value).over(before(["__b1"], order)))
+    for k in range(1, levels + 1):
+        parents = [f"__b{k + 1}"] if k < levels else []
+        tops = events.withColumns({f"__b{i}": c for i, c in enumerate(ids, 1)}).groupBy(f"__b{k}", *parents).agg(F.max(value).alias("__top"))
+        tops = tops.select(F.col(f"__b{k}").alias("__b"), F.max("__top").over(before(parents, f"__b{k}")).alias(f"__m{k}"))
+        rows = rows.join(tops, F.col(f"__b{k}") == F.col("__b")).drop("__b")
+    parts = [f"__m{k}" for k in range(levels + 1)]
+    return rows.withColumn(name, F.greatest(*parts)).drop(*parts, *[f"__b{k}" for k in range(1, levels + 1)])
+
+
 def failure_streaks(events: DataFrame, key: str, failed: Column, order: str = "event_id") -> DataFrame:
     """(key, start, length) of runs of consecutive failures."""
     by = Window.partitionBy(key).orderBy("ts", order)

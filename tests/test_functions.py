@@ -157,6 +157,16 @@ def test_settings():
     assert prompts("missing") == prompts("v1")
 
 
+def test_settings_of_a_file(tmp_path):
+    pytest.importorskip("yaml")
+    from corpusloom.sources.settings import from_yaml
+
+    path = tmp_path / "own.yaml"
+    path.write_text("top_k: 9\nchunking:\n  chunk_size: 300\n  odd: x\n")
+    got = from_yaml(str(path), {"CORPUSLOOM_CHUNK_SIZE": "301"})
+    assert (got.top_k, got.chunk_size) == (9, 301) and from_yaml(str(tmp_path / "none.yaml"), {}) == Settings()
+
+
 def test_exposition(spark):
     df = spark.createDataFrame([("a", 0.05), ("a", 3.0), ("a", 99.0)], "kind string, v double")
     lines = [r.line for r in metrics.exposition(metrics.histogram(df, "v", ["kind"], (0.1, 5.0)), "latency", "kind").collect()]

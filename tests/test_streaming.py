@@ -99,5 +99,23 @@ def test_files_are_parsed(spark, tmp_path):
     assert set(got) == {"a.md", "c.html"}
     assert got["a.md"].title == "Title" and [tuple(h) for h in got["a.md"].headings] == [(1, "Title"), (2, "Two")]
     assert got["c.html"].content == "H body" and got["c.html"].title == "c"
+    assert [(r.path.rsplit("/", 1)[1], r.reason) for r in files.unparsed(found).orderBy("path").collect()] == [("b.HTML", "no text"), ("e.pdf", "no parser")][-files.unparsed(found).count() :]
     with_pdf = files.parsed(found, lambda c: F.hex(c))
     assert with_pdf.where("parser = 'pdf'").first().content == "25504446"
+    large = found.withColumn("length", F.when(F.col("path").endswith("a.md"), files.MAX_BYTES + 1).otherwise(F.col("length")))
+    assert [r.reason for r in files.unparsed(large, lambda c: F.hex(c)).collect()] == ["too large"]
+
+
+def test_answers_to_a_stream_of_questions_equal_the_batch(spark, small, tmp_path):
+    from corpusloom.plans import answer
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "source")
+    corpus = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).join(docs, "id", "left_semi")
+    asked = spark.read.parquet(f"{small}/benchmark.parquet").where("item_id < 6").join(corpus, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), "text", "vec")
+    asked.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+    run = answer.answer_stream(stream, docs, corpus, str(tmp_path / "out"), str(tmp_path / "at"))
+    assert run.awaitTermination(120)
+    rows = lambda df: sorted(map(str, df.select("query_id", "answer", "confidence", "prompt").collect()))
+    got = rows(spark.read.parquet(str(tmp_path / "out")))
+    assert got == rows(answer.answers(asked, docs, corpus)) and len(got) == asked.count() > 0
