@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,24 +31,43 @@ def scratch(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables that each open ``temporary`` block has written.
+_open: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     A lost executor costs no more than the tasks after the table, since the table's files
-    outlive it.
+    outlive it.  Within ``temporary`` the table goes at the end of the block, or with ``keep``
+    at the end of the block around it, if there is one.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """A block whose tables are deleted at its end; what it returns must not read them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` wrote."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/corpusloom/" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hadoop).delete(p, True)
+            _delete(df.sparkSession, path)
