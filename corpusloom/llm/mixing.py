@@ -42,7 +42,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import broadcast_if_small, column, materialize
+from corpusloom.llm.shared import broadcast_if_small, column, materialize, temporary
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -196,12 +196,13 @@ def _changes(sampled: DataFrame, sources: DataFrame, cuts: DataFrame, near: int)
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], max_copies: int, tilt: float, near: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The thin table, the sources with their cuts, the changed keys and their number."""
-    thin = materialize(_thin(docs, id_col, text_col, source_col), "mix-sizes")
-    sources = _sources(thin, weights, max_copies, tilt)
-    sampled = _with_keys(thin, sources, sources.count(), tilt).where("key is not null").select("source", "size", "key")
-    cuts = _cuts(sampled, sources)
-    changed = materialize(_changes(sampled, sources, cuts, near).select(F.col("s").alias("cs"), F.explode("changed").alias("ck")).distinct(), "mix-changed")
-    sources = materialize(sources.join(cuts, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-figures")
+    with temporary(docs.sparkSession):
+        thin = materialize(_thin(docs, id_col, text_col, source_col), "mix-sizes", keep=True)
+        sources = _sources(thin, weights, max_copies, tilt)
+        sampled = _with_keys(thin, sources, sources.count(), tilt).where("key is not null").select("source", "size", "key")
+        cuts = _cuts(sampled, sources)
+        changed = materialize(_changes(sampled, sources, cuts, near).select(F.col("s").alias("cs"), F.explode("changed").alias("ck")).distinct(), "mix-changed", keep=True)
+        sources = materialize(sources.join(cuts, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-figures", keep=True)
     return thin, sources, changed, changed.count()
 
 

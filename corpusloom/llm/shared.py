@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folder of sessions that name none, by application (tests, single machines).
-_own_scratch: dict[str, str] = {}
+from corpusloom.operators.tables import dropped as drop_table
+from corpusloom.operators.tables import scratch, temporary
+from corpusloom.operators.tables import written as materialize
+
+__all__ = ["scratch", "temporary", "materialize", "drop_table"]
 
 #: ASCII upper case to lower case; all other bytes stay.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,44 +19,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 4_000_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset (a
-    test on one machine) a temporary folder of this machine takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = tempfile.mkdtemp(prefix="corpusloom-")
-    return _own_scratch[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no more than the tasks after
-    the table, since the table's files outlive it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/corpusloom/" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hadoop).delete(p, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -11,7 +11,8 @@ variants under 1 + p + p(p-1)/2 prefixes of p bits; it is sent once to each of t
 variants under that prefix are made there, so 2081 variants cost a few dozen thin rows and
 not 2081.  The prefix is lengthened until no prefix has more than ``PREFIX_ROWS`` rows to
 expect, using the bits that split the fingerprints best.  Inside a task the variants of a
-prefix are taken in slices of at most about ``SLICE`` and sorted; equal neighbours are
+prefix are made in slices of at most about ``SLICE``, by halving at the next bits, so that each
+variant is made once however many fingerprints a prefix has, and sorted; equal neighbours are
 deduplicated to one link from each fingerprint to the smallest it meets.
 
 Components of the links and the smallest document of each are found by joins of thin tables
@@ -34,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, temporary, text_bytes
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: Bits of the shortest prefix.
 PREFIX_BITS = 8
-#: Fingerprints under one prefix that are expected at most, where more bits can split them.
-PREFIX_ROWS = 60_000
+#: Fingerprints under one prefix that are expected at most, which more bits, up to
+#: ``MOST_BITS``, see to.
+PREFIX_ROWS, MOST_BITS = 60_000, 40
 #: Variants that a task sorts at once, about.
 SLICE = 1 << 22
 #: Rows that a task of the meeting gets, about.
@@ -123,6 +125,30 @@ def ball(fps: np.ndarray, radius: int = RADIUS // 2) -> np.ndarray:
     return fps[:, None] ^ masks[None, :]
 
 
+def _slices(tails: np.ndarray, flips: np.ndarray, free: int):
+    """(positions, flips, width) of the fingerprints that have variants in one slice of a
+    prefix; all variants of the slice have equal bits above the lowest ``width``.
+
+    A slice with too many variants is halved by its next bit: a fingerprint goes on with its
+    own half as it is, and with the other half one flip further, while it has flips left.
+    """
+    radius = RADIUS // 2
+    todo = [(np.arange(len(tails), dtype=np.int64), flips.astype(np.int8), free)]
+    while todo:
+        at, f, width = todo.pop()
+        sizes = [1, 1 + width, 1 + width + width * (width - 1) // 2]
+        total = sum(int((f == x).sum()) * sizes[radius - x] for x in range(radius + 1))
+        if total <= SLICE or not width:
+            if len(at) > 1:
+                yield at, f, width
+            continue
+        bit = (tails[at] >> np.uint64(width - 1)).astype(np.int8) & 1
+        for side in (0, 1):
+            then = f + (bit != side)
+            stay = then <= radius
+            todo.append((at[stay], then[stay], width - 1))
+
+
 def _meet(fps: np.ndarray, flips: np.ndarray, prefix_bits: int) -> np.ndarray:
     """Links among the (permuted, distinct) fingerprints of one prefix, from their
     variants under it.
@@ -131,24 +157,16 @@ def _meet(fps: np.ndarray, flips: np.ndarray, prefix_bits: int) -> np.ndarray:
     rows (larger, smaller) so that fingerprints with a common variant are connected.
     """
     free = 64 - prefix_bits
-    masks = _masks(0, free, RADIUS // 2)
-    per = [np.concatenate(masks[: RADIUS // 2 - f + 1]) for f in range(RADIUS // 2 + 1)]
     tails = fps & np.uint64((1 << free) - 1)
-    total = sum(int((flips == f).sum()) * len(own) for f, own in enumerate(per))
-    cut = (total // SLICE).bit_length()  # 2 ** cut slices by the next bits of the variants
     pairs = []
-    for part in range(1 << cut):
+    for at, f, width in _slices(tails, flips, free):
+        masks = _masks(0, width, RADIUS // 2)
+        low = tails[at] & np.uint64((1 << width) - 1)
         variants, owners = [], []
-        for f, own in enumerate(per):
-            at = np.flatnonzero(flips == f).astype(np.int32)
-            for some in np.array_split(at, 1 + len(at) * len(own) // SLICE):
-                v = (tails[some][:, None] ^ own[None, :]).ravel()
-                who = np.repeat(some, len(own))
-                if cut:
-                    here = (v >> np.uint64(free - cut)) == np.uint64(part)
-                    v, who = v[here], who[here]
-                variants.append(v)
-                owners.append(who)
+        for k in range(RADIUS // 2 + 1):
+            own, which = np.concatenate(masks[: RADIUS // 2 - k + 1]), np.flatnonzero(f == k)
+            variants.append((low[which][:, None] ^ own[None, :]).ravel())
+            owners.append(np.repeat(at[which].astype(np.int32), len(own)))
         variants, owners = np.concatenate(variants), np.concatenate(owners)
         turn = np.argsort(variants)
         variants, owners = variants[turn], owners[turn]
@@ -158,7 +176,7 @@ def _meet(fps: np.ndarray, flips: np.ndarray, prefix_bits: int) -> np.ndarray:
         met = np.flatnonzero(~new)
         one, other = owners[met].astype(np.int64), owners[np.flatnonzero(new)[group[met]]].astype(np.int64)
         pairs.append(np.unique(one * len(fps) + other))
-    keys = np.unique(np.concatenate(pairs))
+    keys = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
     one, other = keys // len(fps), keys % len(fps)
     near = np.bitwise_count(fps[one] ^ fps[other]) <= RADIUS
     return _forest(fps, one[near], other[near])
@@ -192,7 +210,7 @@ def links(distinct: DataFrame, *, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """
     order, n = _order(distinct)
     bits = PREFIX_BITS
-    while bits < 20 and n * (1 + bits + bits * (bits - 1) // 2) >> bits > prefix_rows:
+    while bits < MOST_BITS and n * (1 + bits + bits * (bits - 1) // 2) >> bits > prefix_rows:
         bits += 1
     back = [63 - order.index(63 - j) for j in range(64)]  # undoes the order of bits
     head = np.concatenate(_masks(64 - bits, 64, RADIUS // 2))
@@ -202,7 +220,7 @@ def links(distinct: DataFrame, *, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
         for batch in batches:
             fps = _permuted(batch.column(0).to_numpy().astype(np.int64).view(np.uint64), order)
             for some in np.array_split(fps, max(1, len(fps) * len(head) // SLICE)):
-                to = ((some[:, None] ^ head[None, :]) >> np.uint64(64 - bits)).astype(np.int32)
+                to = ((some[:, None] ^ head[None, :]) >> np.uint64(64 - bits)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(to.ravel()), pa.array(np.repeat(some, len(head)).view(np.int64)), pa.array(np.tile(flips, len(some)))], ["prefix", "fp", "flips"])
 
     def meet(batches):
@@ -226,19 +244,20 @@ def links(distinct: DataFrame, *, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
         if rows:
             yield found(rows)
 
-    sent = distinct.mapInArrow(send, "prefix int, fp long, flips byte")
+    sent = distinct.mapInArrow(send, "prefix long, fp long, flips byte")
     sent = sent.repartition(min(1 << bits, 1 + n * len(head) // _ROWS), "prefix").sortWithinPartitions("prefix")
     return sent.mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that can be reached over links."""
-    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps-distinct")
-    roots = materialize(connected_components(links(distinct.select("fp"))), "fps-roots")
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
-    classes = materialize(placed.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "fps-classes")
+    with temporary(docs.sparkSession):
+        fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fps", keep=True)
+        distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps-distinct")
+        roots = materialize(connected_components(links(distinct.select("fp"))), "fps-roots")
+        placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        least = placed.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
+        classes = materialize(placed.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "fps-classes", keep=True)
     return fps.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import simhash
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, temporary, text_bytes
 
 SHINGLE = 5
 #: The least similarity, NEAR / OF.
@@ -346,15 +346,17 @@ def links(sets: DataFrame, docs: DataFrame, *, shingle: int = SHINGLE, prefix_ro
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """(doc_id, component_id): the smallest doc_id that can be reached over links."""
-    sets = materialize(_sets(docs, id_col, text_col, shingle), "near-sketches")
-    one = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-distinct")
-    # a set of which all ids are null is made again from any of them
-    texts = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
-    roots = materialize(connected_components(links(one, texts, shingle=shingle, prefix_rows=prefix_rows)).withColumnRenamed("node", "x"), "near-roots")
-    placed = one.select("node", "low").join(roots, F.col("node") == F.col("x"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
-    classes = materialize(placed.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("x"), "component_id"), "near-classes")
-    return sets.select("doc_id", "node").join(classes, F.col("node") == F.col("x")).select("doc_id", "component_id")
+    with temporary(docs.sparkSession):
+        sets = materialize(_sets(docs, id_col, text_col, shingle), "near-sketches")
+        named = materialize(sets.select("doc_id", "node"), "near-named", keep=True)
+        one = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-distinct")
+        # a set of which all ids are null is made again from any of them
+        texts = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+        roots = materialize(connected_components(links(one, texts, shingle=shingle, prefix_rows=prefix_rows)).withColumnRenamed("node", "x"), "near-roots")
+        placed = one.select("node", "low").join(roots, F.col("node") == F.col("x"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+        least = placed.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
+        classes = materialize(placed.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("x"), "component_id"), "near-classes", keep=True)
+    return named.join(classes, F.col("node") == F.col("x")).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

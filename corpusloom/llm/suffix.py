@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, temporary, text_bytes
 
 THRESHOLD = 400
 GRAM = 64
@@ -447,9 +447,10 @@ def spans_of(packed: list[int], threshold: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, spans (removed [start, end) bytes) and kept (the bytes left)."""
-    found = repeated_runs(docs, id_col=id_col, text_col=text_col, threshold=threshold, group=group)
-    per = found.groupBy(F.col("rid").alias("r"), F.col("alt").alias("a")).agg(F.array_distinct(F.collect_list("pos")).alias("runs"))
-    per = materialize(per, "suffix-runs")
+    with temporary(docs.sparkSession):
+        found = repeated_runs(docs, id_col=id_col, text_col=text_col, threshold=threshold, group=group)
+        per = found.groupBy(F.col("rid").alias("r"), F.col("alt").alias("a")).agg(F.array_distinct(F.collect_list("pos")).alias("runs"))
+        per = materialize(per, "suffix-runs", keep=True)
     rows = _named(docs, id_col, text_col)
     rows = rows.join(per, (F.col("rid") == F.col("r")) & (F.col("alt") == F.col("a")), "left").select("doc_id", "text", "runs")
     kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"

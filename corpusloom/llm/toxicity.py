@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import broadcast_if_small, column, filtered, fold_of, materialize, sliced, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, filtered, fold_of, materialize, sliced, temporary, text_bytes
 
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 DISCOUNT, SHARED_DISCOUNT = 0.9, 0.75
@@ -252,6 +252,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration: int = CALIBRATION, model_rows: int = MODEL_ROWS) -> Model:
     """Learn from the labelled rows outside the held-out fold."""
+    with temporary(docs.sparkSession):
+        return _fit(docs, labels, id_col, text_col, label_col, calibration, model_rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, calibration: int, model_rows: int) -> Model:
     known = _labelled(docs, labels, id_col, text_col, label_col)
     types = materialize(_word_types(known.where(F.col("fold") != CALIBRATE).select("text", "toxic")), "word-types")
 
@@ -278,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return F.when(F.col(f"all_{c}") > 0, own).otherwise(F.col("p"))
 
     back = F.when(F.col("all_t") > 0, F.ln(freed("t"))).otherwise(0.0) - F.when(F.col("all_o") > 0, F.ln(freed("o"))).otherwise(0.0)
-    nodes = materialize(nodes.select("ctx", "key", F.ln(p("t") / p("o")).cast("float").alias("r"), back.cast("float").alias("b")), "toxicity-model")
+    nodes = materialize(nodes.select("ctx", "key", F.ln(p("t") / p("o")).cast("float").alias("r"), back.cast("float").alias("b")), "toxicity-model", keep=True)
     arrays = None
     if nodes.count() <= model_rows:
         got = nodes.toArrow()
