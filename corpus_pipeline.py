@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it k
 
 1. toxicity: documents that the model rejects go.
 2. line dedup: lines that ten or more documents hold go; the documents stay.
-3. near-dedup: of each group of documents linked by five-word Jaccard similarity (at least
-   0.8, candidates by MinHash) one stays.
+3. SimHash near-dedup: of each group of documents linked by five-word Jaccard similarity (at
+   least 0.8; candidates by ball hashing of SimHash fingerprints) one stays.
 4. benchmark decontamination: documents with a benchmark window go.
 5. mixing: the documents of a mix of the sources, with ``copies``, how often each is taken.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, jaccard, linededup, mixing, shared, toxicity
+from corpusloom.llm import decontam, linededup, mixing, shared, similar, toxicity
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", reject_toxic),
     ("line dedup", drop_repeated_lines),
-    ("near-dedup", drop_near_duplicates),
+    ("simhash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]
@@ -55,8 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` through all stages, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = shared.materialize(docs, f"stage-{k + 1}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = shared.materialize(stage(spark, docs, sf_dir), f"stage-{k + 1}")
+        if k:
+            shared.drop_table(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
