@@ -35,8 +35,8 @@ def counters(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
     return rows.groupBy(*labels).agg(F.count("*").alias("n"))
 
 
-def quantiles(rows: DataFrame, value: str, ts: str, every: str = "5 minutes", *, exact: bool = True) -> DataFrame:
-    """(start, n, p50, p95, p99) for each window of time; approximate ones need bounded memory."""
+def quantiles(rows: DataFrame, value: str, ts: str, every: str = "5 minutes", *, exact: bool = False) -> DataFrame:
+    """(start, n, p50, p95, p99) for each window of time; exact ones hold a window's values in memory."""
     find = F.percentile if exact else F.percentile_approx
     out = rows.groupBy(F.window(ts, every).alias("w")).agg(F.count("*").alias("n"), find(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
     return out.select(F.col("w.start").alias("start"), "n", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 95, 99))])

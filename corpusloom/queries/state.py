@@ -244,7 +244,7 @@ def _(t):
 
 @query("latency_quantiles", "select time_bucket(interval 1 day, ts) as start, count(*) as n, round(quantile_cont(value, 0.5), 5) as p50, round(quantile_cont(value, 0.95), 5) as p95, round(quantile_cont(value, 0.99), 5) as p99 from events group by 1")
 def _(t):
-    out = metrics.quantiles(t.events, "value", "ts", "1 day")
+    out = metrics.quantiles(t.events, "value", "ts", "1 day", exact=True)
     return out.select("start", "n", *[F.round(c, 5).alias(c) for c in ("p50", "p95", "p99")])
 
 
