@@ -62,7 +62,7 @@ PREFIX_BITS, PREFIX_ROWS = 5, 200_000
 LAGS = 16
 _CHUNK = 1 << 13
 #: Rows that a task of a meeting gets, about.
-_ROWS = 200_000
+_ROWS = 100_000
 _BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
@@ -241,22 +241,23 @@ def _meetings(sets: DataFrame, count: int, rooted: bool, prefix_rows: int) -> Da
 
     def send(batches):
         head = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64 - bits, 64, dtype=np.uint64)])
-        flips = (np.arange(len(head)) > 0).astype(np.int8)
+        flips = (np.arange(len(head)) > 0).astype(np.int64)
         for batch in sliced(batches, rows=1000):
             fps = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, TABLES)
-            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+            sized = pa.array((2 * n[:, None] + flips[None, :]).ravel())
             root = batch.column("root").to_numpy(zero_copy_only=False)
             for t in range(TABLES):
                 to = ((fps[:, t][:, None] ^ head[None, :]) >> np.uint64(64 - bits)).astype(np.int64) + (t << bits)
                 each = lambda x: pa.array(np.repeat(x, len(head)))
-                arrays = [pa.array(to.ravel()), each(fps[:, t].view(np.int64)), each(node), each(n), pa.array(np.tile(flips, len(node)))]
+                arrays = [pa.array(to.ravel()), each(fps[:, t].view(np.int64)), each(node), sized]
                 more = [each(fps[:, (t + 1 + i) % TABLES].view(np.int64)) for i in range(BESIDE)]
                 yield pa.RecordBatch.from_arrays([*arrays, each(root), *more] if rooted else arrays, names)
 
     def meet(batches):
         def found(parts):
-            fps, node, n, flips, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = _pairs_of(fps.view(np.uint64), node, n.astype(np.int64), flips, bits, more[0] if rooted else None, [x.view(np.uint64) for x in more[1:]])
+            fps, node, sized, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, b = _pairs_of(fps.view(np.uint64), node, sized >> 1, sized & 1, bits, more[0] if rooted else None, [x.view(np.uint64) for x in more[1:]])
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
         at, parts = None, []
@@ -276,8 +277,8 @@ def _meetings(sets: DataFrame, count: int, rooted: bool, prefix_rows: int) -> Da
             yield found(parts)
 
     more = ["root", *[f"fp{i}" for i in range(BESIDE)]] if rooted else []
-    names = ["bucket", "fp", "node", "n", "flips", *more]
-    kind = ", ".join(["bucket long, fp long, node long, n int, flips byte", *[f"{c} long" for c in more]])
+    names = ["bucket", "fp", "node", "sized", *more]  # sized: twice the set's size, and whether a bit was flipped
+    kind = ", ".join(f"{c} long" for c in names)
     sent = sets.mapInArrow(send, kind).repartition(min(TABLES << bits, 1 + count * TABLES * (1 + bits) // _ROWS), "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(meet, "a long, b long").distinct()
 
