@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, langid, linededup, mixing, pii, simhash, suffix, topk, toxicity, warc
+from corpusloom.llm import decontam, langid, linededup, mixing, pii, simhash, suffix, topk, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
 OP1_SQL = """
 with p as (
   select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages
@@ -140,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_suffix": op10_suffix,
+        "op12_whitening": op12_whitening,
     }
 
 
