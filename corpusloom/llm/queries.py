@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, langid, linededup, mixing, pii, simhash, suffix, topk, toxicity, warc, whitening
+from corpusloom.llm import decontam, langid, linededup, mixing, packing, pii, simhash, suffix, topk, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whiten(_table(spark, sf_dir, "embeddings")))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
+
+
 OP1_SQL = """
 with p as (
   select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as d, strlen(coalesce(html, '')) as n from pages
@@ -145,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_suffix": op10_suffix,
         "op12_whitening": op12_whitening,
+        "op13_packing": op13_packing,
     }
 
 
