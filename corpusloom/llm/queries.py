@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, langid, linededup, mixing, packing, pii, simhash, suffix, topk, toxicity, warc, whitening
+from corpusloom.llm import decontam, langid, linededup, mixing, packing, pii, repair, simhash, suffix, topk, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.digest(repair.repair(repair.damage(rows)), rows)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whiten(_table(spark, sf_dir, "embeddings")))
 
@@ -135,6 +140,59 @@ select doc_id, n_lines::bigint as n_lines, n_dropped::bigint as n_dropped, sha25
 from d join g using (r)
 """
 
+#: The states of the pattern are 0 start, 1 s, 2 u, 3 a.  A path is its cost in twelve digits and its letters, so that
+#: the least string is the cheapest and then the ASCII-least path.  The crc32 is taken bit by bit.
+OP11_SQL = r"""
+with recursive t as (
+  select dense_rank() over (order by conv_id) as c, row_number() over () as own, *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations
+), h as (
+  select *, xor(list_reduce(list_transform(string_split(name, ''), lambda x: ascii(x)::bigint), lambda crc, byte: list_reduce(range(8), lambda v, i:
+    case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(crc, byte)), 4294967295), 4294967295) % 20 as kind from t
+), d as (
+  select c, own, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role, unnest(case when kind = 3 then [1, 2] else [1] end) as copy,
+    case when kind = 1 then '' when kind = 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text
+  from h where kind <> 0
+), f as (
+  select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by c, role, text order by turn nulls first, own, copy) > 1 as again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') as cut, left(role, 1) as ini,
+    row_number() over (partition by c order by turn nulls first, role, sha256(length(role) || ':' || role || text), own, copy) as i
+  from d
+), r as (
+  select *, case when blank then 'b' when again then 'd' when cut then 't' else 'k' end as fault, lag(ini) over (partition by c order by i) || ini as pair from f
+), stats as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+    count(*) filter (fault = 't') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  from r group by c
+), ins(p, q, w, l) as (
+  values (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')
+), edit(ini, p, q, w, l) as (
+  values ('', 0, 0, 4, 'D'), ('', 1, 1, 4, 'D'), ('', 2, 2, 4, 'D'), ('', 3, 3, 4, 'D'), ('', 0, 2, 3, 'R'), ('', 1, 2, 3, 'R'), ('', 2, 3, 3, 'R'), ('', 3, 2, 3, 'R'),
+    ('s', 0, 1, 0, 'K'), ('u', 0, 2, 0, 'K'), ('u', 1, 2, 0, 'K'), ('u', 3, 2, 0, 'K'), ('a', 2, 3, 0, 'K')
+), dp as (
+  select c, 0::bigint as i, 0 as s, '000000000000' as v from stats
+  union all
+  select dp.c, dp.i + 1 as i, edit.q as s, min(printf('%012d', dp.v[:12]::bigint + ins.w + edit.w + case when r.cut and edit.l <> 'D' then 3 else 0 end) || dp.v[13:] || ins.l || edit.l) as v
+  from dp join r on r.c = dp.c and r.i = dp.i + 1 join ins on ins.p = dp.s join edit on edit.p = ins.q and (edit.l = 'D' or r.fault in ('t', 'k') and (edit.l = 'R' or edit.ini = r.ini))
+  group by dp.c, dp.i + 1, edit.q
+), best as (
+  select c, min(printf('%012d', v[:12]::bigint + w) || v[13:] || l) as v
+  from dp join stats using (c) join ins on p = s where i = n and q in (0, 3) group by c
+), letters as (
+  select c, unnest(string_split(v[13:], '')) as l, unnest(range(1, length(v) - 11)) as k from best
+), placed as (
+  select *, count(*) filter (l <> 'I') over w as i, count(*) filter (l <> 'D') over w as pos from letters window w as (partition by c order by k)
+), lines as (
+  select placed.c, k, case when l = 'K' then role when (pos - max(case when l = 'K' and ini = 's' then 1 else 0 end) over (partition by placed.c)) % 2 = 1 then 'user' else 'assistant' end
+    || ':' || case when l = 'I' then '' else text end as line
+  from placed join r on r.c = placed.c and r.i = greatest(placed.i, 1) where l <> 'D'
+), hashes as (
+  select c, sha256(string_agg(line, chr(10) order by k)) as h from lines group by c
+)
+select ids.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(v[:12]::bigint, 0) as cost, coalesce(v[13:], '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct c, conv_id from t) ids left join stats using (c) left join best using (c) left join hashes using (c)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -148,6 +206,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_suffix": op10_suffix,
+        "op11_repair": op11_repair,
         "op12_whitening": op12_whitening,
         "op13_packing": op13_packing,
     }
@@ -159,4 +218,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_topk": OP2_SQL,
         "op5_decontamination": OP5_SQL,
         "op6_line_dedup": OP6_SQL,
+        "op11_repair": OP11_SQL,
     }
