@@ -251,7 +251,8 @@ def test_packing_query(spark, small):
     check_pieces(queries.op13_packing(spark, small).collect(), [(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_packing_edges(spark):
+def test_packing_edges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LONG_TEXT", 40)
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdeé ") for _ in range(rnd.randint(0, 60)))
     docs = [(i, word(), 0) for i in range(80)] + [(90, None, 0), (91, "", 0), (92, "one two " * 9000, 0), (93, "<|endoftext|> \x00", 0)] + [(None, "a null id", 0)] + [(5, "the same row", 0)] * 40
