@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.plans import answer
 from corpusloom.queries import registry
 
-MODULES = ("text", "corpus", "state", "relational")
+MODULES = ("text", "corpus", "state", "relational", "answers")
 
 
 def _load() -> None:

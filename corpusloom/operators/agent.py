@@ -28,19 +28,34 @@ def accumulated(rounds: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def run(questions: DataFrame, think: Callable[[DataFrame, int], DataFrame], retrieve: Callable[[DataFrame], DataFrame], rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def run(
+    questions: DataFrame,
+    think: Callable[[DataFrame, int], DataFrame],
+    retrieve: Callable[[DataFrame], DataFrame],
+    rounds: int = MOST_ROUNDS,
+    observe: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Loop all questions (query_id, text) until they finish or ``rounds`` are over.
 
-    ``think(open questions, round)`` adds action and confidence; ``retrieve`` returns chunks
-    (query_id, …) for questions whose next node is retrieve.  Returns (query_id, node, round)
-    of each question's end, and all chunks.  The plan has at most ``rounds`` rounds; each is
-    written, so that a model is asked once for each open question and round.
+    ``think(open questions, round)`` adds action and confidence, and may change the text that is
+    looked for; ``retrieve`` returns chunks (query_id, …) for questions whose next node is
+    retrieve.  With ``observe`` the next round's questions have ``observation``: what it makes of
+    the chunks, (query_id, observation), null in the first round and where nothing was found.
+    Returns (query_id, node, round, confidence) of each question's end, and all chunks with their
+    round.  The plan has at most ``rounds`` rounds and ends when no question is open; each is written,
+    so that a model is asked once for each open question and round.
     """
     opened, ended, found = questions, [], []
+    if observe is not None:
+        opened = questions.withColumn("observation", F.lit(None).cast("string"))
     for k in range(rounds + 1):
         node = signals.react_next(F.col("action"), F.col("confidence"), F.lit(k), F.lit(False), rounds)
         thought = written(think(opened, k).withColumn("node", node), f"round-{k}")
-        ended.append(thought.where("node in ('finish', 'max_iter')").select("query_id", "node", F.lit(k).alias("round")))
-        found.append(written(retrieve(thought.where("node = 'retrieve'")), f"found-{k}"))
+        ended.append(thought.where("node in ('finish', 'max_iter')").select("query_id", "node", F.lit(k).alias("round"), "confidence"))
+        found.append(written(retrieve(thought.where("node = 'retrieve'")).withColumn("round", F.lit(k)), f"found-{k}"))
         opened = thought.where("node not in ('finish', 'max_iter')").select(*questions.columns)
+        if opened.isEmpty():
+            break
+        if observe is not None:
+            opened = opened.join(observe(found[-1]), "query_id", "left")
     return accumulated(ended), accumulated(found)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +32,8 @@ def scratch(spark: SparkSession) -> str:
     return _own[app]
 
 
-#: Paths of the tables that each open ``temporary`` block has written.
-_open: list[list[str]] = []
+#: Paths of the tables that each open ``temporary`` block of this thread has written, outermost block first.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
@@ -45,19 +46,22 @@ def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if len(_open) > keep:
-        _open[-1 - keep].append(path)
+    blocks = _open.get()
+    if len(blocks) > keep:
+        blocks[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """A block whose tables are deleted at its end; what it returns must not read them."""
-    _open.append([])
+    own: list[str] = []
+    token = _open.set((*_open.get(), own))
     try:
         yield
     finally:
-        for path in _open.pop():
+        _open.reset(token)
+        for path in own:
             _delete(spark, path)
 
 

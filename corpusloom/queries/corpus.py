@@ -235,7 +235,7 @@ def _(t):
     return retrieve.deduplicated(rows).select("query_id", "chunk_id", F.col("rank.source").alias("s"), F.col("rank.rank").alias("rank"))
 
 
-_RERANK = rf"""cand as (select hy.query_id, hy.id, hy.rrf, hy.rank, d.text as full_text, list_distinct(regexp_extract_all(lower(substr(d.text, 1, 2000)), '[\p{{L}}\p{{N}}]+')) as ws from hy join documents d on d.doc_id = hy.id where hy.rank <= 20),
+_RERANK = rf"""cand as (select hy.query_id, hy.id, hy.rrf, hy.rank, d.text as full_text, list_distinct(regexp_extract_all(lower(substr(d.text, 1, 2000)), '[\p{{L}}\p{{N}}]+')) as ws from hy join documents d on d.doc_id = hy.id),
 cd as (select term, count(*) as df from (select unnest(ws) as term from cand) group by term),
 wt as (select query_id, term, ln(1 + (select count(*) from cand) / (coalesce(df, 0) + 1.0::double)) as w from qt left join cd using (term)),
 cov as (select cand.query_id, cand.id, any_value(rrf) as rrf, any_value(full_text) as full_text, sum(w) filter (list_contains(ws, term)) as hit, sum(w) as al from cand join wt using (query_id) group by cand.query_id, cand.id),
@@ -243,8 +243,7 @@ rr as (select query_id, id, rrf, full_text, coalesce(hit, 0) / al as score from
 
 
 def _candidates(t):
-    top = _hybrid(t).where("rank <= 20").select("query_id", "id", "rrf_score")
-    return top.join(_docs(t), "id")
+    return _hybrid(t).select("query_id", "id", "rrf_score").join(_docs(t), "id")
 
 
 def _scored(t):
@@ -257,7 +256,7 @@ def _(t):
     return retrieve.reranked(_scored(t)).select("query_id", "id", F.round("rerank_score", 4).alias("rerank_score"), "rank")
 
 
-@query("rerank_model", f"with {_DENSE}, {_BM25}, {_FUSED}, m as (select hy.query_id, hy.id, rrf, case when hy.id % 3 = 0 then null else round(length(substr(d.text, 1, 2000)) / (1.0::double + length(b.text)), 6) end as s from hy join documents d on d.doc_id = hy.id join benchmark b on b.item_id = hy.query_id where hy.rank <= 20) select query_id, id, round(coalesce(s, rrf), 6) as final_score, (row_number() over (partition by query_id order by round(coalesce(s, rrf), 6) desc, id))::int as rank from m qualify rank <= 5")
+@query("rerank_model", f"with {_DENSE}, {_BM25}, {_FUSED}, m as (select hy.query_id, hy.id, rrf, case when hy.id % 3 = 0 then null else round(length(substr(d.text, 1, 2000)) / (1.0::double + length(b.text)), 6) end as s from hy join documents d on d.doc_id = hy.id join benchmark b on b.item_id = hy.query_id) select query_id, id, round(coalesce(s, rrf), 6) as final_score, (row_number() over (partition by query_id order by round(coalesce(s, rrf), 6) desc, id))::int as rank from m qualify rank <= 5")
 def _(t):
     score = lambda q, d: F.when(F.col("id") % 3 != 0, F.round(F.length(d) / (1.0 + F.length(q)), 6))
     rows = retrieve.scored_by(_bench(t).select("query_id", "text"), _candidates(t), score)

@@ -280,8 +280,21 @@ def test_agent_loop_is_bounded(spark):
     questions = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, text string")
     think = lambda q, k: q.withColumns({"action": F.lit("retrieve"), "confidence": F.when((F.col("query_id") == 1) & (F.lit(k) > 0), 0.9).otherwise(0.1)})
     ended, found = agent.run(questions, think, lambda q: q.select("query_id"), rounds=3)
-    assert sorted(map(tuple, ended.collect())) == [(1, "finish", 1), (2, "max_iter", 3)]
-    assert sorted(r.query_id for r in found.collect()) == [1, 2, 2, 2]
+    assert sorted(map(tuple, ended.collect())) == [(1, "finish", 1, 0.9), (2, "max_iter", 3, 0.1)]
+    assert sorted((r.query_id, r.round) for r in found.collect()) == [(1, 0), (2, 0), (2, 1), (2, 2)]
+
+
+def test_agent_sees_what_it_found(spark):
+    questions = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, text string")
+
+    def think(q, k):
+        enough = F.col("observation") == "a found"
+        return q.withColumns({"action": F.when(enough, "finish").otherwise("retrieve"), "confidence": F.lit(0.5), "text": F.concat("text", F.lit(k))})
+
+    seen = lambda rows: rows.where("query_id = 1").select("query_id", F.lit("a found").alias("observation"))
+    ended, found = agent.run(questions, think, lambda q: q.select("query_id", "text"), 3, seen)
+    assert sorted((r.query_id, r.node, r.round) for r in ended.collect()) == [(1, "finish", 1), (2, "max_iter", 3)]
+    assert sorted((r.query_id, r.text) for r in found.collect()) == [(1, "a0"), (2, "b0"), (2, "b01"), (2, "b012")]
 
 
 def test_as_of_and_range(spark):
