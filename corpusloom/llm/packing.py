@@ -29,9 +29,11 @@ as it needs.  An empty table gives an empty result.  Only the two named columns
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -74,21 +76,32 @@ def _encoders(path: str):
 
 
 def encode(docs: DataFrame, *, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc, row, ids binary, n): the ids as little-endian numbers of two bytes, four for large vocabularies."""
+    """(doc, row, ids binary, terms binary, n): the ids, and the different ones, as little-endian numbers
+    of two bytes, four for large vocabularies."""
 
     def encoded(batches):
         slow, fast, size = _encoders(tokenizer)
-        kind = "<u2" if size <= 1 << 16 else "<u4"
+        kind, mark = np.dtype("<u2" if size <= 1 << 16 else "<u4"), np.zeros(size, np.int64)
+        code = "H" if kind.itemsize == 2 else "I"
+
+        def of(text: str) -> np.ndarray:
+            if len(text) >= LONG_TEXT:
+                return np.append(fast.encode_to_numpy(text, disallowed_special=()), end_id).astype(kind)
+            own = array(code, fast.encode_ordinary(text))
+            own.append(end_id)
+            return np.frombuffer(own, kind.newbyteorder("=")).astype(kind, copy=False)
+
         for batch in sliced(batches, of="text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [np.append(fast.encode_ordinary(t) if len(t) < LONG_TEXT else fast.encode_to_numpy(t, disallowed_special=()), end_id).astype(kind) for t in texts]
+            ids = [of(t) for t in texts]
             if slow.encode(texts[0], add_special_tokens=False).ids != ids[0][:-1].tolist():
                 raise ValueError("tokenizers and tiktoken give different ids for one text")
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array([a.tobytes() for a in ids], pa.binary()), pa.array([len(a) for a in ids], pa.int64())], ["doc", "row", "ids", "n"])
+            columns = [pa.array([a.tobytes() for a in ids], pa.binary()), pa.array([distinct(a, mark).tobytes() for a in ids], pa.binary()), pa.array([len(a) for a in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), *columns], ["doc", "row", "ids", "terms", "n"])
 
     rows = docs.select(column(id_col).alias("doc"), F.monotonically_increasing_id().alias("row"), column(text_col).cast("string").alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(encoded, f"doc {kind}, row long, ids binary, n long")
+    return rows.mapInArrow(encoded, f"doc {kind}, row long, ids binary, terms binary, n long")
 
 
 def distinct(ids: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -102,15 +115,14 @@ def frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     """In how many documents each id occurs, over all documents."""
 
     def counted(batches):
-        total, mark = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total[distinct(np.frombuffer(ids.as_buffer(), kind), mark)] += 1
+            total += np.bincount(np.frombuffer(b"".join(batch.column("terms").to_pylist()), kind), minlength=size)
         term = total.nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(total[term])], ["term", "df"])
 
     out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in tokens.select("terms").mapInArrow(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         out[r["term"]] = r["df"]
     return out
 
@@ -135,16 +147,15 @@ class Shard:
         docs = np.repeat(np.arange(self.count), sizes)
         norm = np.repeat(K1 * (1 - B + B * np.array([len(one) for one in ids]) / mean), sizes)
         order = np.argsort(terms, kind="stable")
-        self.docs = docs[order]
-        self.weights = (idf[here][terms] * tf * (K1 + 1) / (tf + norm))[order]
-        self.starts = np.searchsorted(terms[order], np.arange(len(here) + 1))
+        starts = np.searchsorted(terms[order], np.arange(1, len(here)))
+        self.docs = np.split(docs[order], starts)
+        self.weights = np.split((idf[here][terms] * tf * (K1 + 1) / (tf + norm))[order], starts)
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document for the terms of ``doc``."""
-        a, b = self.starts[self.terms[doc]], self.starts[self.terms[doc] + 1]
-        n = b - a
-        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
-        return np.bincount(self.docs[at], self.weights[at], minlength=self.count).round(DIGITS)
+        terms = self.terms[doc].tolist()
+        docs, weights = np.concatenate([self.docs[t] for t in terms]), np.concatenate([self.weights[t] for t in terms])
+        return np.bincount(docs, weights, minlength=self.count).round(DIGITS)
 
 
 def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -223,17 +234,15 @@ def pack(
     splits = np.maximum(1, np.ceil(df * mean / shard_tokens)).astype(np.int64)
     rank = df * size + np.arange(size)
 
-    def keyed(batches):
-        mark = np.zeros(size, np.int64)
-        for batch in batches:
-            each = [distinct(np.frombuffer(x.as_buffer(), kind), mark) for x in batch.column("ids")]
-            key = np.array([t[rank[t].argmin()] for t in each], np.int64)
-            row = batch.column("row").to_numpy().astype(np.uint64)
-            salt = ((row * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % splits[key]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "row", "ids")), pa.array(key), pa.array(salt)], ["doc", "row", "ids", "key", "salt"])
+    def keyed(terms: pd.Series, row: pd.Series) -> pd.DataFrame:
+        each = (np.frombuffer(t, kind) for t in terms)
+        key = np.array([t[rank[t].argmin()] for t in each], np.int64)
+        salt = ((row.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % splits[key]
+        return pd.DataFrame({"key": key, "salt": salt})
 
     doc = tokens.schema["doc"].dataType.simpleString()
-    dealt = tokens.mapInArrow(keyed, f"doc {doc}, row long, ids binary, key long, salt long")
+    place = F.pandas_udf(keyed, "key long, salt long")("terms", "row")
+    dealt = tokens.select("doc", "row", "ids", place.alias("place")).select("doc", "row", "ids", "place.key", "place.salt")
     dealt = dealt.repartition(max(1, -(-total // part_tokens)), "key", "salt").sortWithinPartitions("key", "salt", "row")
 
     def packed(batches):
