@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.queries.corpus import _BM25, _WS
+from corpusloom.queries.corpus import _BM25, _WS, _bench, _docs
 from corpusloom.queries.registry import query
 from corpusloom.queries.text import _BOUNDED, _EN, _HINT, _HOP
 
@@ -76,3 +76,81 @@ def _(t):
     out = orchestrate.orchestrate(asked, orchestrate.searching(docs, corpus), cache=cache, history=t.conversations, models=orchestrate.Models(rewrite=again, route=route), least=0.3)
     cited = F.array_join(F.transform("citations", lambda c: c["doc_id"]), ",")
     return out.select("query_id", "branch", "hit", "complexity", "was_rewritten", cited.alias("citations"), "confidence", "rounds")
+
+
+#: Cases: each item's five best documents by BM25 are its contexts, cut as in a prompt; the answer is their beginning or
+#: the item's; the truth is the item's text, which some cases lack.
+_CASES = f"""{_BM25}, c0 as (select query_id, rank, left(text, 500) as text from bm25 join documents on doc_id = id where rank <= 5),
+cases as (select item_id as case_id, split_part(b.text, '.', 1) as question, case when item_id % 3 = 0 then left(b.text, 120) else left((select text from c0 where query_id = item_id and rank = 1), 160) end as answer,
+  (select list(text order by rank) from c0 where query_id = item_id) as contexts, case when item_id % 8 <> 7 then b.text end as truth from benchmark b)"""
+_WORDS_OF = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_ALIGNED = rf"""ctx as (select case_id, unnest(range(0, len(contexts))) as pos, unnest(contexts) as text from cases),
+parts as (select case_id, 'context' as part, pos, {_WORDS_OF.format("text")} as ws from ctx
+  union all select case_id, 'answer', -1, {_WORDS_OF.format("coalesce(answer, '')")} from cases union all select case_id, 'truth', -1, {_WORDS_OF.format("coalesce(truth, '')")} from cases),
+sent as (select case_id, 'answer' as sd, unnest(regexp_split_to_array(coalesce(answer, ''), '[.!?\n。！？]+')) as s from cases union all select case_id, 'truth', unnest(regexp_split_to_array(coalesce(truth, ''), '[.!?\n。！？]+')) from cases),
+claims as (select case_id, sd, row_number() over () as claim, {_WORDS_OF.format("s")} as cw from sent where regexp_matches(s, '[\p{{L}}\p{{N}}]') union all select case_id, 'question', 0, {_WORDS_OF.format("question")} from cases),
+pdf as (select term, count(*) as df from (select unnest(list_distinct(ws)) as term from parts where part = 'context') group by term),
+ct as (select case_id, sd, claim, unnest(list_distinct(cw)) as term from claims),
+cwt as (select case_id, sd, claim, list(struct_pack(t := term, w := ln(1 + (select count(*) from parts where part = 'context') / (1.0::double + coalesce(df, 0))))) as terms from ct left join pdf using (term) group by all),
+pairs0 as (select *, list_sum(list_transform(list_filter(terms, lambda x: list_contains(ws, x.t)), lambda x: x.w)) as hit, list_sum(list_transform(terms, lambda x: x.w)) as al
+  from claims join parts using (case_id) left join cwt using (case_id, sd, claim) where (sd <> 'question' and part <> sd) or (sd = 'question' and part = 'answer')),
+pairs as (select *, coalesce(coalesce(hit, 0) / al, 0) as held, case when sd = 'question' then 0 else list_reduce(list_transform(cw, lambda w: list_transform(ws, lambda y: (w = y)::int)),
+  lambda above, m: list_transform([list_transform(range(1, len(m) + 1), lambda j: greatest(above[j + 1], case when m[j] = 1 then above[j] + 1 else 0 end))], lambda c: list_prepend(0, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j]))))[1],
+  list_transform(range(0, len(ws) + 1), lambda z: 0))[-1] / len(cw)::double end as inorder from pairs0),
+lev as (select *, case when sd = 'question' then held else (held + inorder) / 2 end as level from pairs),
+bst as (select case_id, sd, part, claim, max(level) as level from lev where sd <> 'question' group by all),
+shr as (select case_id, sd, part, avg((round(level, 9) >= 0.5::double)::int) as share from bst group by all),
+sh as (select case_id, max(share) filter (sd = 'answer' and part = 'context') as faithful, max(share) filter (sd = 'truth' and part = 'context') as recall, max(share) filter (sd = 'answer' and part = 'truth') as p, max(share) filter (sd = 'truth' and part = 'answer') as r from shr group by case_id),
+fit as (select case_id, pos, (round(max(level), 9) >= 0.5::double)::int as fits from lev join cases using (case_id) where part = 'context' and sd = case when trim(coalesce(truth, '')) <> '' then 'truth' else 'answer' end group by all),
+cum as (select *, sum(fits) over (partition by case_id order by pos) as hits, row_number() over (partition by case_id order by pos) as k from fit),
+prec as (select case_id, sum(fits * hits / k::double) / nullif(sum(fits), 0) as prec from cum group by case_id),
+m as (select case_id, case when exists (select 1 from claims c where c.case_id = cases.case_id and sd = 'answer') then coalesce(faithful, 0) end as faithfulness,
+  coalesce((select held from lev where sd = 'question' and lev.case_id = cases.case_id), 0) as answer_relevancy, coalesce(prec, 0) as context_precision,
+  case when trim(coalesce(truth, '')) <> '' then coalesce(recall, 0) end as context_recall, case when trim(coalesce(truth, '')) <> '' then coalesce(2 * p * r / nullif(p + r, 0), 0) end as answer_correctness
+  from cases left join sh using (case_id) left join prec using (case_id)),
+s as (unpivot m on faithfulness, answer_relevancy, context_precision, context_recall, answer_correctness into name metric value score)"""
+_LIMITS = "(values ('faithfulness', 0.85::double), ('answer_relevancy', 0.75), ('context_precision', 0.70), ('context_recall', 0.70), ('answer_correctness', 0.80)) l(metric, threshold)"
+_REPORTED = f"""c as (select case_id, bool_and(round(score, 9) >= threshold) as passed, avg(score) as mean, arg_min(metric, (round(score, 9), metric)) as weakest from s join {_LIMITS} using (metric) group by case_id),
+g as (select metric, any_value(threshold) as threshold, avg(score) as mean from s join {_LIMITS} using (metric) group by metric)"""
+
+
+def _aligned(t):
+    from corpusloom.operators import alignment, retrieve
+
+    best = retrieve.bm25(_bench(t).select("query_id", "text"), _docs(t), 5).select("query_id", "id", "rank")
+    found = best.join(_docs(t).select("id", F.left("text", F.lit(500)).alias("text")), "id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("f"))
+    rows = t.benchmark.join(found, F.col("item_id") == F.col("query_id"), "left")
+    item, contexts = F.col("item_id"), F.transform("f", lambda x: x["text"])
+    first = F.filter("f", lambda x: x["rank"] == 1)[0]["text"]
+    answer = F.when(item % 3 == 0, F.left("text", F.lit(120))).otherwise(F.left(first, F.lit(160)))
+    cases = rows.select(item.alias("case_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("question"), answer.alias("answer"), contexts.alias("contexts"), F.when(item % 8 != 7, F.col("text")).alias("truth"))
+    return alignment.scores(cases)
+
+
+def _rounded(t):
+    from corpusloom.operators import alignment
+
+    rows = alignment.long(_aligned(t)).where("score is not null")
+    return rows.withColumn("score", F.round("score", 9))
+
+
+@query("answer_metrics", f"with {_CASES}, {_ALIGNED} select case_id, round(faithfulness, 5) as faithfulness, round(answer_relevancy, 5) as answer_relevancy, round(context_precision, 5) as context_precision, round(context_recall, 5) as context_recall, round(answer_correctness, 5) as answer_correctness from m")
+def _(t):
+    from corpusloom.operators import alignment
+
+    return _aligned(t).select("case_id", *[F.round(c, 5).alias(c) for c in alignment.METRICS])
+
+
+@query("answer_case_report", f"with {_CASES}, {_ALIGNED}, {_REPORTED} select case_id, passed, round(mean, 5) as mean, weakest from c")
+def _(t):
+    from corpusloom.operators import evaluate
+
+    return evaluate.case_report(_rounded(t)).withColumn("mean", F.round("mean", 5))
+
+
+@query("answer_report", f"""with {_CASES}, {_ALIGNED}, {_REPORTED} select (select count(*) from c) as total, (select count(*) from c where passed) as passed, (select count(*) filter (passed) / count(*) from c) as pass_rate,
+  round((select avg(mean) from c), 5) as mean, (select bool_or(mean < threshold) from g) as regression, (select arg_min(metric, mean) from g) as weakest""")
+def _(t):
+    from corpusloom.operators import evaluate
+
+    return evaluate.batch_report(_rounded(t)).withColumn("mean", F.round("mean", 5))
