@@ -14,10 +14,9 @@ certain and taken out until all others are below it.  n is the sum of all p_i, r
 sample's size is fixed.
 
 A fixed number of documents has a random number of words.  So the words are brought to the
-target around the cut: the last ``NEAR`` documents taken and the next ``NEAR`` ones are gone
-through again in order, and each is taken if it still fits into the words that are left.  The
-miss of a large source is small before that (it falls with the root of n), that of a small
-source is corrected among all its documents.
+target around the cut: of the last ``NEAR`` documents taken and the next ``NEAR`` ones, one taken
+is exchanged for one not taken of another size, pair by pair, until no pair brings the words
+nearer.  The number of documents stays n in every source.
 
 Scale: a thin table (id, source, size, draw) is written once.  Classes of sizes are counted by
 partial aggregations, at most a few hundred rows a source.  The cut in the order is found by
@@ -29,16 +28,17 @@ each task before they meet.
 Edge cases: a null or blank text has size 0 and nothing is taken of it; the null source is a
 source of its own, last in order; null and repeated doc_ids are fine, since u_i also depends
 on the text.  Rows that are equal in id, source and text share one draw and are taken or left
-together.  Empty tables give empty results.  Only the named columns are read in ``plan_mix``;
+together; at the cut the sample may then have more rows than n.  Empty tables give empty results.  Only the named columns are read in ``plan_mix``;
 ``mix`` keeps all columns and adds ``copies`` (``copies_2`` and so on if there is such a
 column already).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,26 +172,58 @@ def _cuts(sampled: DataFrame, sources: DataFrame) -> DataFrame:
     return materialize(found.select("s", F.coalesce("prefix", F.lit(-1).cast("long")).alias("last")), "mix-cuts")
 
 
+def exchanged(inside: list[tuple], outside: list[tuple], short: float) -> list[int]:
+    """The keys that change sides so that ``short``, the words that the sample lacks (negative: has too
+    many), comes near 0.
+
+    inside, outside: (key, size, rows) of those taken and not taken, the nearest to the cut first.  One taken is
+    exchanged for one not taken of as many rows, always the pair that leaves the least, among
+    the 16 nearest on either side, then 64, 256 and so on; so the sample keeps its size.
+    """
+    sides = [np.array([x[1:] for x in side], float).reshape(-1, 2) for side in (inside, outside)]
+    free, changed, reach = [np.ones(len(x), bool) for x in sides], [], 16
+    while abs(short) >= 1:
+        best = None
+        for rows in np.intersect1d(sides[0][:reach, 1], sides[1][:reach, 1]):
+            i, j = (np.nonzero(f[:reach] & (x[:reach, 1] == rows))[0] for f, x in zip(free, sides, strict=True))
+            if not len(i) or not len(j):
+                continue
+            j = j[np.argsort(sides[1][j, 0], kind="stable")]
+            small, large = sides[0][i, 0], sides[1][j, 0]
+            at = np.searchsorted(large, small + short)
+            for k in (np.clip(at, 0, len(j) - 1), np.clip(at - 1, 0, len(j) - 1)):
+                left = short - (large[k] - small)
+                m = int(np.abs(left).argmin())
+                if best is None or abs(left[m]) < abs(best[0]):
+                    best = (left[m], int(i[m]), int(j[k[m]]))
+        if best is not None and abs(best[0]) < abs(short):
+            short, x, y = best
+            free[0][x] = free[1][y] = False
+            changed += [inside[x][0], outside[y][0]]
+        elif reach >= max(len(inside), len(outside)):
+            break
+        else:
+            reach *= 4
+    return changed
+
+
 def _changes(sampled: DataFrame, sources: DataFrame, cuts: DataFrame, near: int) -> DataFrame:
     """(s, changed): the keys around each source's cut that change sides for the words' sake."""
     here = broadcast_if_small(cuts.join(sources.select("source", "rest"), F.col("s").eqNullSafe(F.col("source"))).drop("source"), cuts.count())
     rows = sampled.join(here, F.col("source").eqNullSafe(F.col("s"))).select("s", "rest", "key", "size", (F.col("key") <= F.col("last")).alias("taken"))
-    words = rows.where("taken").groupBy(F.col("s").alias("t")).agg(F.sum("size").cast("double").alias("words"))
+    words = rows.groupBy(F.col("s").alias("t")).agg((F.max("rest") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("short"))
     inside, outside = Window.partitionBy("s").orderBy(F.col("key").desc()), Window.partitionBy("s").orderBy("key")
     last = rows.where("taken and key >= 0").withColumn("at", F.row_number().over(inside)).where(F.col("at") <= near)
     after = rows.where("not taken").withColumn("at", F.row_number().over(outside)).where(F.col("at") <= near)
-    around = last.unionByName(after).groupBy("s", "rest", "key", "taken").agg(F.sum("size").cast("double").alias("size"))
-    per = around.groupBy("s", "rest").agg(F.array_sort(F.collect_list(F.struct("key", "size", "taken"))).alias("around"), F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0.0)).alias("open"))
-    per = per.join(words, F.col("s").eqNullSafe(F.col("t")), "left")
-    room = F.col("rest") - F.coalesce("words", F.lit(0.0)) + F.col("open")
-    start = F.struct(room.alias("room"), F.array().cast("array<bigint>").alias("keys"))
+    around = last.unionByName(after).groupBy("s", "key", "taken").agg(F.sum("size").cast("double").alias("size"), F.count("*").cast("double").alias("rows"))
+    around = around.join(broadcast_if_small(words, cuts.count()), F.col("s").eqNullSafe(F.col("t"))).drop("t")
 
-    def step(acc, x):
-        fits = x["size"] <= acc["room"]
-        keys = F.when(fits != x["taken"], F.array_append(acc["keys"], x["key"])).otherwise(acc["keys"])
-        return F.struct((acc["room"] - F.when(fits, x["size"]).otherwise(0.0)).alias("room"), keys.alias("keys"))
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        sides = [group[group.taken].sort_values("key", ascending=False), group[~group.taken].sort_values("key")]
+        keys = exchanged(*[list(zip(x.key.tolist(), x["size"], x["rows"], strict=True)) for x in sides], group.short.iloc[0])
+        return pd.DataFrame({"s": group.s.iloc[:1], "changed": [keys]})
 
-    return materialize(per.select("s", F.aggregate("around", start, step)["keys"].alias("changed")), "mix-changes")
+    return materialize(around.groupBy("s").applyInPandas(each, f"s {sources.schema['source'].dataType.simpleString()}, changed array<long>"), "mix-changes")
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], max_copies: int, tilt: float, near: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -238,39 +270,3 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 def digest(plan: DataFrame) -> DataFrame:
     """The contract's columns from those of ``plan_mix``."""
     return plan.select("doc_id", "size", "source_size", "target", "taken")
-
-
-def brute_force(rows: list, figures: dict, tilt: float = TILT, near: int = NEAR) -> dict:
-    """{index: copies} of ``rows`` (source, size, u) by the definition, for tests.
-
-    ``figures``: source -> (source_size, target).  Draws are given, all else is done again.
-    """
-    copies = {}
-    for source, (total, target) in figures.items():
-        own = [(i, size, u) for i, (s, size, u) in enumerate(rows) if s == source]
-        whole = math.floor(target / total + 1e-12) if total else 0
-        copies |= {i: whole for i, *_ in own}
-        rest = target - whole * total
-        if rest <= 1e-9 * target:
-            continue
-        own = [(i, size, u, 2.0 ** (math.floor(math.log2(size) * STEPS + 1e-9) * tilt / STEPS)) for i, size, u in own if size > 0]
-        sure: set = set()
-        while True:  # documents that reach 1 are certain
-            free = [x for x in own if x[0] not in sure]
-            scale = (rest - sum(x[1] for x in own if x[0] in sure)) / sum(w * size for _, size, _, w in free)
-            more = {i for i, _, _, w in free if scale * w >= 1}
-            if not more:
-                break
-            sure |= more
-        n = round(len(sure) + scale * sum(w for *_, w in free)) - len(sure)
-        odds = lambda u, p: u / (1 - u) * (1 - p) / p
-        order = sorted((odds(u, scale * w), size, i) for i, size, u, w in free)
-        sample = {i for _, _, i in order[: max(0, n - near)]}
-        room = rest - sum(size for i, size, *_ in own if i in sure | sample)
-        for _, size, i in order[max(0, n - near) : n + near]:
-            if size <= room:
-                sample.add(i)
-                room -= size
-        for i in sample | sure:
-            copies[i] += 1
-    return copies

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, linededup, mixing, pii, queries, topk, warc
 from tests import compare
+from tests.llm import brute
 
 DOC = "doc_id long, text string"
 
@@ -349,8 +350,7 @@ def test_pareto_sample_equals_the_definition(spark, near):
     draws = {r.doc_id: r.u for r in mixing._thin(df, "doc_id", "text", "source").collect()}
     plan = {r.doc_id: r for r in mixing.plan_mix(df, near=near).collect()}
     figures = {r.source: (r.source_size, r.target) for r in plan.values()}
-    want = mixing.brute_force([(plan[i].source, plan[i].size, draws[i]) for i, *_ in rows], figures, near=near)
-    assert {i: r.copies for i, r in plan.items()} == want
+    brute.check_mix([(plan[i].source, plan[i].size, draws[i]) for i, *_ in rows], figures, {k: plan[i].copies for k, (i, *_) in enumerate(rows)}, near)
     # the probabilities add up to the sample's size, and that is what is taken
     thin = mixing._thin(df, "doc_id", "text", "source")
     sources = mixing._sources(thin, mixing.WEIGHTS, mixing.MAX_COPIES, 2.0)
@@ -358,15 +358,23 @@ def test_pareto_sample_equals_the_definition(spark, near):
         own = [(r.size, s.scale * 2 ** (int(np.log2(r.size) * mixing.STEPS + 1e-9) * 2.0 / mixing.STEPS)) for r in plan.values() if r.source == s.source]
         p = [min(1.0, x) for _, x in own]
         assert s.rest == 0 or (round(sum(p)) == s.n and sum(x >= 1 for _, x in own) == s.sure and sum(a * b for (a, _), b in zip(own, p, strict=True)) == pytest.approx(s.rest))
-    if not near:
-        fixed = {s.source: s.n for s in mixing._sources(thin, mixing.WEIGHTS, mixing.MAX_COPIES, mixing.TILT).collect()}
-        for s, (total, target) in figures.items():
-            assert sum(r.copies - int(target / total + 1e-12) for r in plan.values() if r.source == s) == fixed[s]
 
 
-def test_mix_is_near_its_targets_on_small_sources(spark):
-    rows = mixing.plan_mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
-    assert max(abs(r.taken - r.target) / r.target for r in rows) < 0.01
+def test_mix_of_small_sources_has_n_documents_near_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = mixing.plan_mix(docs)
+    draws = {r.doc_id: r.u for r in mixing._thin(docs, "doc_id", "text", "source").collect()}
+    rows = plan.collect()
+    brute.check_mix([(r.source, r.size, draws[r.doc_id]) for r in rows], {r.source: (r.source_size, r.target) for r in rows}, {k: r.copies for k, r in enumerate(rows)})
+    sums = plan.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert max(abs(r.taken - r.target) / r.target for r in sums) < 0.01
+
+
+def test_exchange_of_repeated_rows():
+    inside, outside = [(5, 20.0, 2.0), (4, 10.0, 1.0)], [(6, 30.0, 2.0), (7, 11.0, 1.0), (8, 18.0, 1.0)]
+    assert mixing.exchanged(inside, outside, 8.0) == [4, 8]
+    assert mixing.exchanged(inside, outside, 10.0) == [5, 6]
+    assert mixing.exchanged(inside, outside, 0.5) == [] == mixing.exchanged([], outside, 9.0)
 
 
 def test_mix_keeps_clashing_columns(spark):
