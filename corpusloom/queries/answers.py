@@ -154,3 +154,11 @@ def _(t):
     from corpusloom.operators import evaluate
 
     return evaluate.batch_report(_rounded(t)).withColumn("mean", F.round("mean", 5))
+
+
+@query("bm25_indexed", f"with {_BM25} select query_id, id, round(score, 4) as score, rank::int as rank from bm25")
+def _(t):
+    from corpusloom.operators import inverted
+
+    index = inverted.Index.build(_docs(t))
+    return index.search(_bench(t).select("query_id", "text")).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
