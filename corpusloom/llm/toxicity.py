@@ -21,11 +21,12 @@ length in words:
 
 Nothing is clipped; the plain difference (MIX = 1) is drowned by the noise of ordinary words
 (figures in the README).  A logistic function that is fitted on labelled documents which the
-counts have not seen turns the evidence into a score from 0 to 1.
+counts have not seen turns the evidence into a score from 0 to 1; MIX is that of ``MIXES`` under
+which these documents' labels are likeliest.
 
 Counts are numbers of documents that hold a word, over all labelled rows of the training
-folds; every beginning that a toxic document has seen is in the model.  The logistic function
-is fitted on at most ``CALIBRATION`` labelled rows.
+folds; every beginning that either class has seen is in the model.  MIX and the logistic function
+are fitted on at most ``CALIBRATION`` labelled rows of a fold of their own.
 
 Scale: word types and their beginnings are counted by partial aggregations; the labels are
 broadcast only while their counted number is within the bound, else both tables are shuffled
@@ -57,10 +58,10 @@ FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 DISCOUNT, SHARED_DISCOUNT = 0.9, 0.75
 #: Bytes that the shared backoff looks back.
 BACK = 4
-#: Share of the words of a toxic document that the toxic model says.
-MIX = 0.002
-#: Rows of the model (continuations of beginnings) that are broadcast at most: 24 bytes each.
-MODEL_ROWS = 1 << 22
+#: Shares of the words of a toxic document that the toxic model may say; the calibration chooses one.
+MIXES = (0.0003, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3)
+#: Rows of the model (continuations of beginnings) that are broadcast at most: 16 bytes each.
+MODEL_ROWS = 6_000_000
 CALIBRATION = 20_000
 #: Longer words are read in pieces of so many bytes.
 PIECE = 48
@@ -157,16 +158,6 @@ def _added(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list, list
     return [k[at] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
-def _beginnings(types: DataFrame) -> DataFrame:
-    """(k): the hashes of the beginnings that a toxic document has seen, and of none."""
-
-    def emit(words, _ordinary, _toxic):
-        keys = [np.array([_BEGIN], np.int64), *[after.view(np.int64) for _, _, after, _ in _spelled(words)]]
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], ["k"])
-
-    return types.where("toxic > 0").mapInArrow(lambda b: _gathered(b, emit), "k long").distinct()
-
-
 def _shared(types: DataFrame) -> DataFrame:
     """(code, p): the shared backoff's probability of a byte after the last ones."""
 
@@ -201,52 +192,72 @@ class Model:
     """Log-ratios of continuations and backoffs, and the logistic function.
 
     ``nodes`` (ctx, key, r, b): for the hash of a beginning and of it with one more byte the
-    log-ratio, and what it is for bytes that have no row.  ``arrays`` has the same, sorted, if
-    it is small enough: contexts, backoffs, keys, ratios.
+    log-ratio, and what it is for bytes that have no row.  ``arrays`` has the same if it is small
+    enough: sorted keys with their ratios and, where a key is a beginning of more, what its
+    unknown bytes give; the last array is that of the empty beginning.
     """
 
     nodes: DataFrame
     arrays: tuple[np.ndarray, ...] | None
     slope: float = 0.0
     base: float = -40.0
+    mix: float = MIXES[0]
 
     def odds(self, evidence: Column) -> Column:
-        x = F.lit(self.base) + F.lit(self.slope) * F.ln(evidence + 2 * MIX)
+        x = F.lit(self.base) + F.lit(self.slope) * F.ln(evidence + 2 * self.mix)
         return F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0))
 
 
+def _sorted(nodes: pa.Table) -> tuple[np.ndarray, ...]:
+    """``Model.arrays`` of the model's rows."""
+    ctx, key = nodes.column("ctx").to_numpy(), nodes.column("key").to_numpy()
+    order = np.argsort(key)
+    keys, ratios = key[order], nodes.column("r").to_numpy()[order]
+    backs, start = np.zeros(len(keys), np.float32), np.zeros(1, np.float32)
+    known, first = np.unique(ctx, return_index=True)
+    value = nodes.column("b").to_numpy()[first]
+    if len(keys):
+        at = np.searchsorted(keys, known).clip(max=len(keys) - 1)
+        inner = keys[at] == known
+        backs[at[inner]] = value[inner]
+        start[:] = value[known == _BEGIN]
+    return keys, ratios, backs, start
+
+
 def ratios_of(words: list[bytes], arrays: tuple[np.ndarray, ...]) -> np.ndarray:
-    """The log-likelihood ratio of each word."""
-    contexts, backoffs, keys, ratios = arrays
+    """The log-likelihood ratio of each word.
+
+    From the first byte on that no class has seen after its beginning both models spell alike.
+    """
+    keys, ratios, backs, start = arrays
     out = np.zeros(len(words))
-    if not len(contexts):
+    if not len(keys):
         return out
-    on = np.ones(len(words), bool)
-    for rows, before, after, _ in _spelled(words):
+    on, unknown = np.ones(len(words), bool), np.full(len(words), start[0], np.float32)
+    for rows, _, after, _ in _spelled(words):
         use = on[rows]
-        rows, before, after = rows[use], before[use].view(np.int64), after[use].view(np.int64)
-        at = np.searchsorted(contexts, before).clip(max=len(contexts) - 1)
-        known = contexts[at] == before
-        on[rows[~known]] = False
-        rows, after, at = rows[known], after[known], at[known]
+        rows, after = rows[use], after[use].view(np.int64)
         if not len(rows):
             break
         k = np.searchsorted(keys, after).clip(max=len(keys) - 1)
-        out[rows] += np.where(keys[k] == after, ratios[k], backoffs[at])
+        found = keys[k] == after
+        out[rows] += np.where(found, ratios[k], unknown[rows])
+        on[rows[~found]] = False
+        unknown[rows] = backs[k]
     return out
 
 
-def _said(ratios: np.ndarray) -> np.ndarray:
+def _said(ratios: np.ndarray, mix: float) -> np.ndarray:
     """What a word with a log-ratio adds to the evidence."""
-    return np.log1p(MIX * np.expm1(ratios))
+    return np.log1p(mix * np.expm1(ratios))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(text, toxic, fold) of the labelled documents outside the held-out fold."""
     fold = fold_of(F.col("d"), FOLDS)
-    marks = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("toxic")).where("d is not null and toxic in (0, 1)")
+    marks = labels.select(column(id_col).alias("d"), column(label_col).cast("int").alias("toxic")).where("d is not null and toxic in (0, 1)")
     marks = marks.groupBy("d").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold).where(F.col("fold") != HELD_OUT)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     return own.join(broadcast_if_small(marks, marks.count()), F.col("id") == F.col("d")).select("text", "toxic", "fold")
 
 
@@ -266,9 +277,7 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
         keys, sums = _added(cols[:3], cols[3:])
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, *sums)], ["ctx", "key", "code", "ordinary", "toxic"])
 
-    seen = materialize(_beginnings(types), "toxic-beginnings")
     nodes = types.mapInArrow(lambda b: _gathered(b, emit), "ctx long, key long, code long, ordinary long, toxic long")
-    nodes = nodes.join(broadcast_if_small(seen, seen.count()), F.col("ctx") == F.col("k"), "left_semi")
     nodes = nodes.groupBy("ctx", "key", "code").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
     nodes = nodes.join(_shared(types).withColumnRenamed("code", "c"), F.col("code") == F.col("c"))
     by = Window.partitionBy("ctx")
@@ -284,26 +293,20 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
 
     back = F.when(F.col("all_t") > 0, F.ln(freed("t"))).otherwise(0.0) - F.when(F.col("all_o") > 0, F.ln(freed("o"))).otherwise(0.0)
     nodes = materialize(nodes.select("ctx", "key", F.ln(p("t") / p("o")).cast("float").alias("r"), back.cast("float").alias("b")), "toxicity-model", keep=True)
-    arrays = None
-    if nodes.count() <= model_rows:
-        got = nodes.toArrow()
-        ctx, key = got.column("ctx").to_numpy(), got.column("key").to_numpy()
-        contexts, first = np.unique(ctx, return_index=True)
-        order = np.argsort(key)
-        arrays = (contexts, got.column("b").to_numpy()[first], key[order], got.column("r").to_numpy()[order])
-    model = Model(nodes, arrays)
+    model = Model(nodes, _sorted(nodes.toArrow()) if nodes.count() <= model_rows else None)
     sample = known.where(F.col("fold") == CALIBRATE).select("toxic", "text")
-    rows = _evidence(sample, model).orderBy(F.xxhash64("evidence", "toxic")).limit(calibration).toArrow()
-    model.base, model.slope = _logistic(rows.column("evidence").to_numpy(), rows.column("toxic").to_numpy())
+    rows = _evidence(sample, model, MIXES).orderBy(F.xxhash64("toxic", "e0", f"e{len(MIXES) - 1}")).limit(calibration).toArrow()
+    fits = [(*_logistic(rows.column(f"e{k}").to_numpy(), rows.column("toxic").to_numpy(), mix), mix) for k, mix in enumerate(MIXES)]
+    _, model.base, model.slope, model.mix = min(fits)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Base and slope over log(x + 2 * MIX), by Newton's method with a weak prior."""
+def _logistic(x: np.ndarray, y: np.ndarray, mix: float) -> tuple[float, float, float]:
+    """Loss, base and slope over log(x + 2 * mix), by Newton's method with a weak prior."""
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
-        return (-40.0 if share == 0 else 40.0), 0.0
-    f = np.stack([np.ones(len(x)), np.log(x + 2 * MIX)], 1)
+        return 0.0, (-40.0 if share == 0 else 40.0), 0.0
+    f = np.stack([np.ones(len(x)), np.log(x + 2 * mix)], 1)
     prior = np.array([0.0, 0.02])
 
     def loss(w):
@@ -321,10 +324,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         w = w - scale * step
         if np.abs(scale * step).max() < 1e-8:
             break
-    return float(w[0]), max(0.0, float(w[1]))
+    if w[1] < 0:  # evidence that speaks against itself says nothing
+        w = np.array([math.log(share / (1 - share)), 0.0])
+    return float(loss(w)), float(w[0]), float(w[1])
 
 
-def _weigher(arrays: tuple[np.ndarray, ...]):
+def _weigher(arrays: tuple[np.ndarray, ...], mix: float):
     """A function, built in the task, from texts to their evidence."""
     cache: dict[bytes, float] = {}
 
@@ -334,15 +339,14 @@ def _weigher(arrays: tuple[np.ndarray, ...]):
             cache.clear()
         new = [*set().union(*words).difference(cache)]
         if new:
-            cache.update(zip(new, _said(ratios_of(new, arrays)).tolist(), strict=True))
+            cache.update(zip(new, _said(ratios_of(new, arrays), mix).tolist(), strict=True))
         return np.array([sum(map(cache.__getitem__, w)) / len(w) if w else 0.0 for w in words])
 
     return weigh
 
 
-def _word_evidence(words: DataFrame, model: Model) -> DataFrame:
-    """(word, said): what each of the distinct ``words`` adds to the evidence, by a join of
-    their beginnings with the model."""
+def _word_ratios(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ratio) of each of the distinct ``words``, by a join of their beginnings with the model."""
 
     def spell(batches):
         for batch in sliced(batches, rows=20_000):
@@ -355,13 +359,12 @@ def _word_evidence(words: DataFrame, model: Model) -> DataFrame:
     seen = model.nodes.select(F.col("key").alias("k"), "r")
     # beginnings of a known beginning are known, so each word's known places are its first ones
     rows = places.join(contexts, F.col("before") == F.col("c")).join(seen, F.col("after") == F.col("k"), "left")
-    ratio = rows.groupBy("word").agg(F.sum(F.coalesce("r", "back").cast("double")).alias("ratio"))
-    return ratio.select("word", F.log1p(MIX * F.expm1("ratio")).alias("said"))
+    return rows.groupBy("word").agg(F.sum(F.coalesce("r", "back").cast("double")).alias("ratio"))
 
 
-def _evidence_by_joins(rows: DataFrame, model: Model) -> DataFrame:
-    """The other columns of ``rows`` and ``evidence`` of ``text``, for a model that is not
-    broadcast.  Equal texts are weighed once."""
+def _evidence_by_joins(rows: DataFrame, model: Model, mixes: tuple[float, ...]) -> DataFrame:
+    """The other columns of ``rows`` and ``e0`` and so on, the evidence of ``text`` for each of ``mixes``,
+    for a model that is not broadcast.  Equal texts are weighed once."""
     text = F.coalesce("text", F.lit(""))
     hashes = {"__t": F.xxhash64(text), "__u": F.xxhash64(F.lit(1), text)}
     ident = ("__t", "__u")
@@ -379,33 +382,35 @@ def _evidence_by_joins(rows: DataFrame, model: Model) -> DataFrame:
 
     held = rows.select("text").withColumns(hashes).mapInArrow(split, "__t long, __u long, word binary, n long")
     held = materialize(held.groupBy(*ident, "word").agg(F.max("n").alias("n")), "toxicity-words")
-    said = _word_evidence(held.select("word").distinct(), model).withColumnRenamed("word", "w")
-    per = held.join(said, F.col("word") == F.col("w"), "left").groupBy(*ident).agg((F.sum(F.col("n") * F.coalesce("said", F.lit(0.0))) / F.sum("n")).alias("evidence"))
+    said = _word_ratios(held.select("word").distinct(), model).withColumnRenamed("word", "w")
+    sums = [(F.sum(F.col("n") * F.log1p(mix * F.expm1(F.coalesce("ratio", F.lit(0.0))))) / F.sum("n")).alias(f"e{k}") for k, mix in enumerate(mixes)]
+    per = held.join(said, F.col("word") == F.col("w"), "left").groupBy(*ident).agg(*sums)
     per = materialize(per.withColumnsRenamed({"__t": "__a", "__u": "__b"}), "toxicity-texts")
     named = rows.withColumns(hashes).drop("text")
     both = named.join(per, (F.col("__t") == F.col("__a")) & (F.col("__u") == F.col("__b")), "left")
-    return both.select(*[column(c) for c in rows.columns if c != "text"], F.coalesce("evidence", F.lit(0.0)).alias("evidence"))
+    return both.select(*[column(c) for c in rows.columns if c != "text"], *[F.coalesce(f"e{k}", F.lit(0.0)).alias(f"e{k}") for k in range(len(mixes))])
 
 
-def _evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """The other columns of ``rows`` and ``evidence`` of ``text``."""
+def _evidence(rows: DataFrame, model: Model, mixes: tuple[float, ...]) -> DataFrame:
+    """The other columns of ``rows`` and ``e0`` and so on, the evidence of ``text`` for each of ``mixes``."""
     if model.arrays is None:
-        return _evidence_by_joins(rows, model)
+        return _evidence_by_joins(rows, model, mixes)
     sent = rows.sparkSession.sparkContext.broadcast(model.arrays)
-    others = [c for c in rows.columns if c != "text"]
-    kind = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in others], "evidence double"])
+    others, new = [c for c in rows.columns if c != "text"], [f"e{k}" for k in range(len(mixes))]
+    kind = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in others], *[f"{c} double" for c in new]])
 
     def run(batches):
-        weigh = _weigher(sent.value)
+        weighers = [_weigher(sent.value, mix) for mix in mixes]
         for batch in sliced(batches, of="text"):
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(weigh(text_bytes(batch.column("text"))))], [*others, "evidence"])
+            texts = text_bytes(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(weigh(texts)) for weigh in weighers]], [*others, *new])
 
     return rows.mapInArrow(run, kind)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, evidence, score) of every document."""
-    rows = _evidence(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), model)
+    rows = _evidence(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), model, (model.mix,)).withColumnRenamed("e0", "evidence")
     return rows.withColumn("score", 1 / (1 + F.exp(-model.odds(F.col("evidence")))))
 
 
@@ -419,58 +424,15 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
     """The documents with a score under 0.5, with all their columns."""
     if model.arrays is None:
         whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), column(text_col).alias("text"))
-        rows = _evidence(whole, model).where(model.odds(F.col("evidence")) < 0)
+        rows = _evidence(whole, model, (model.mix,)).where(model.odds(F.col("e0")) < 0)
         return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
     sent = docs.sparkSession.sparkContext.broadcast(model.arrays)
-    base, slope = model.base, model.slope
+    base, slope, mix = model.base, model.slope, model.mix
 
     def keep(batches):
-        weigh = _weigher(sent.value)
+        weigh = _weigher(sent.value, mix)
         for batch in sliced(batches, of="text"):
             evidence = weigh(text_bytes(batch.column("text")))
-            yield batch.filter(pa.array(base + slope * np.log(evidence + 2 * MIX) < 0))
+            yield batch.filter(pa.array(base + slope * np.log(evidence + 2 * mix) < 0))
 
     return filtered(docs, text_col, keep)
-
-
-def brute_force(labelled: list[tuple[bytes, int]], words: list[bytes]) -> list[float]:
-    """The log-ratio of each of ``words`` by the definition, from texts and labels; for tests."""
-    seen = [Counter(), Counter()]
-    for text, toxic in labelled:
-        seen[toxic].update(set(words_of(text)))
-    own: list[dict[bytes, Counter]] = [{}, {}]
-    low: dict[bytes, Counter] = {}
-    begin, end = bytes([_BEGIN]), bytes([_END])
-    for c in (0, 1):
-        for w, n in seen[c].items():
-            for i, byte in enumerate(w + end):
-                own[c].setdefault(w[:i], Counter())[byte] += n
-    for w in {*seen[0], *seen[1]}:
-        s = begin + w + end
-        for i in range(1, len(s)):
-            for back in range(BACK + 1):
-                if back <= i:
-                    low.setdefault(s[i - back : i], Counter())[s[i]] += 1
-
-    def shared(before: bytes, byte: int) -> float:
-        lower = shared(before[1:], byte) if before else 1 / 256
-        here = low[before]
-        return (max(here[byte] - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * len(here) * lower) / here.total()
-
-    def p(c: int, before: bytes, byte: int, lower: float) -> float:
-        here = own[c].get(before)
-        if not here:
-            return lower
-        return (max(here[byte] - DISCOUNT, 0) + min(DISCOUNT * len(here), here.total()) * lower) / here.total()
-
-    out = []
-    for w in words:
-        total = 0.0
-        for i, byte in enumerate(w + end):
-            if w[:i] not in own[1]:
-                break
-            known = any(own[c].get(w[:i], {}).get(byte) for c in (0, 1))
-            lower = shared((begin + w)[: i + 1][-BACK:], byte) if known else 1.0
-            total += math.log(p(1, w[:i], byte, lower) / p(0, w[:i], byte, lower))
-        out.append(total)
-    return out

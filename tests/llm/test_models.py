@@ -236,6 +236,7 @@ def test_toxicity_reads_no_held_out_label(spark):
     flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     score = lambda x: sorted(map(tuple, toxicity.score(docs, toxicity.fit(docs, x)).select("doc_id", "score").collect()))
     assert score(labels) == score(flipped)
+    assert toxicity.fit(docs, labels).mix == toxicity.fit(docs, flipped).mix
 
 
 def test_log_ratios_equal_the_definition(spark):
@@ -248,7 +249,16 @@ def test_log_ratios_equal_the_definition(spark):
     known = [(text[i], t) for i, t in toxic.items() if fold(i) in (1, 2, 3)]
     words = sorted({w for t in text.values() for w in toxicity.words_of(t)})
     assert len(words) > 1000 and sum(t for _, t in known) >= 3
-    assert np.allclose(toxicity.ratios_of(words, model.arrays), toxicity.brute_force(known, words), atol=1e-4)
+    want = brute.word_ratios(known, words)
+    assert np.allclose(toxicity.ratios_of(words, model.arrays), want, atol=1e-3)
+    ratios = dict(zip(words, want, strict=True))
+    for r in toxicity.score(docs, model).collect():
+        evidence = brute.evidence(text[r.doc_id], ratios, model.mix)
+        assert r.evidence == pytest.approx(evidence, abs=1e-6)
+        odds = min(40.0, max(-40.0, model.base + model.slope * np.log(evidence + 2 * model.mix)))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-4)
+    # an unseen toxic beginning backs off and the ratio goes on: words of the ordinary class speak against
+    assert min(want) < -8 and sum(x < -1 for x in want) > 100
 
 
 def test_toxicity_of_a_model_that_is_not_broadcast(spark):
@@ -256,7 +266,7 @@ def test_toxicity_of_a_model_that_is_not_broadcast(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string"))).withColumn("a.b", F.lit(1))
     one, other = toxicity.fit(docs, labels), toxicity.fit(docs, labels, model_rows=0)
-    assert one.arrays is not None and other.arrays is None and (one.base, one.slope) == pytest.approx((other.base, other.slope))
+    assert one.arrays is not None and other.arrays is None and one.mix == other.mix and (one.base, one.slope) == pytest.approx((other.base, other.slope), rel=1e-4)
     a, b = (sorted((r.doc_id, r.score) for r in toxicity.score(docs, m).collect()) for m in (one, other))
     assert [i for i, _ in a] == [i for i, _ in b] and np.allclose([x for _, x in a], [x for _, x in b])
     a, b = (toxicity.drop_toxic(docs, m) for m in (one, other))
