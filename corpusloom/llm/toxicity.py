@@ -194,7 +194,7 @@ class Model:
     ``nodes`` (ctx, key, r, b): for the hash of a beginning and of it with one more byte the
     log-ratio, and what it is for bytes that have no row.  ``arrays`` has the same if it is small
     enough: sorted keys with their ratios and, where a key is a beginning of more, what its
-    unknown bytes give; the last array is that of the empty beginning.
+    unknown bytes give; the same of the empty beginning; and where the keys of each first bits start.
     """
 
     nodes: DataFrame
@@ -208,20 +208,44 @@ class Model:
         return F.greatest(F.least(x, F.lit(40.0)), F.lit(-40.0))
 
 
-def _sorted(nodes: pa.Table) -> tuple[np.ndarray, ...]:
-    """``Model.arrays`` of the model's rows."""
-    ctx, key = nodes.column("ctx").to_numpy(), nodes.column("key").to_numpy()
-    order = np.argsort(key)
-    keys, ratios = key[order], nodes.column("r").to_numpy()[order]
-    backs, start = np.zeros(len(keys), np.float32), np.zeros(1, np.float32)
-    known, first = np.unique(ctx, return_index=True)
-    value = nodes.column("b").to_numpy()[first]
-    if len(keys):
-        at = np.searchsorted(keys, known).clip(max=len(keys) - 1)
-        inner = keys[at] == known
-        backs[at[inner]] = value[inner]
-        start[:] = value[known == _BEGIN]
-    return keys, ratios, backs, start
+#: Rows of the model that come to the driver at once.
+_SLICE = 500_000
+
+
+def _arrays(nodes: DataFrame, rows: int) -> tuple[np.ndarray, ...]:
+    """``Model.arrays`` of the model's rows, which come in slices of the range of keys."""
+    begins = nodes.select(F.col("ctx").alias("c"), "b").distinct()
+    joined = nodes.select("key", "r").join(begins, F.col("key") == F.col("c"), "left").select("key", "r", F.coalesce("b", F.lit(0.0)).cast("float").alias("b"))
+    own = materialize(joined, "model-rows")
+    cuts = np.linspace(-(2.0**63), 2.0**63, max(1, -(-rows // _SLICE)) + 1)[1:-1].astype(np.int64).tolist()
+    parts = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        some = own if low is None else own.where(F.col("key") >= low)
+        got = (some if high is None else some.where(F.col("key") < high)).toArrow()
+        order = np.argsort(got.column("key").to_numpy())
+        parts.append([got.column(c).to_numpy()[order] for c in ("key", "r", "b")])
+    keys, ratios, backs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first = begins.where(F.col("c") == _BEGIN).select("b").collect()
+    bits = min(22, max(4, len(keys).bit_length()))
+    places = np.searchsorted(keys >> (64 - bits), np.arange(-(1 << bits - 1), (1 << bits - 1) + 1)).astype(np.int32)
+    return keys, ratios, backs, np.array([r["b"] for r in first] or [0.0], np.float32), places
+
+
+def _places(wanted: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where the ``wanted`` stand among the sorted ``keys``, -1 if they don't; the keys of each beginning of
+    bits start at its place."""
+    bits = len(places).bit_length() - 1
+    prefix = (wanted >> (64 - bits)) + (1 << bits - 1)
+    at, end = places[prefix], places[prefix + 1]
+    out, open_ = np.full(len(wanted), -1, np.int32), np.flatnonzero(at < end)
+    while len(open_):
+        here, mine = at[open_], wanted[open_]
+        key = keys[here]
+        met = key == mine
+        out[open_[met]] = here[met]
+        open_ = open_[(key < mine) & (here + 1 < end[open_])]
+        at[open_] += 1
+    return out
 
 
 def ratios_of(words: list[bytes], arrays: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -229,7 +253,7 @@ def ratios_of(words: list[bytes], arrays: tuple[np.ndarray, ...]) -> np.ndarray:
 
     From the first byte on that no class has seen after its beginning both models spell alike.
     """
-    keys, ratios, backs, start = arrays
+    keys, ratios, backs, start, places = arrays
     out = np.zeros(len(words))
     if not len(keys):
         return out
@@ -239,8 +263,8 @@ def ratios_of(words: list[bytes], arrays: tuple[np.ndarray, ...]) -> np.ndarray:
         rows, after = rows[use], after[use].view(np.int64)
         if not len(rows):
             break
-        k = np.searchsorted(keys, after).clip(max=len(keys) - 1)
-        found = keys[k] == after
+        k = _places(after, keys, places)
+        found = k >= 0
         out[rows] += np.where(found, ratios[k], unknown[rows])
         on[rows[~found]] = False
         unknown[rows] = backs[k]
@@ -293,7 +317,8 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
 
     back = F.when(F.col("all_t") > 0, F.ln(freed("t"))).otherwise(0.0) - F.when(F.col("all_o") > 0, F.ln(freed("o"))).otherwise(0.0)
     nodes = materialize(nodes.select("ctx", "key", F.ln(p("t") / p("o")).cast("float").alias("r"), back.cast("float").alias("b")), "toxicity-model", keep=True)
-    model = Model(nodes, _sorted(nodes.toArrow()) if nodes.count() <= model_rows else None)
+    count = nodes.count()
+    model = Model(nodes, _arrays(nodes, count) if count <= model_rows else None)
     sample = known.where(F.col("fold") == CALIBRATE).select("toxic", "text")
     rows = _evidence(sample, model, MIXES).orderBy(F.xxhash64("toxic", "e0", f"e{len(MIXES) - 1}")).limit(calibration).toArrow()
     fits = [(*_logistic(rows.column(f"e{k}").to_numpy(), rows.column("toxic").to_numpy(), mix), mix) for k, mix in enumerate(MIXES)]
