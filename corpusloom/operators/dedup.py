@@ -89,6 +89,50 @@ def near_pairs(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return near.select("a", "b", "distance").distinct()
 
 
+def kept_first(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, kept, of): documents in the order of their ids, each kept unless it is near one that is kept.
+
+    ``pairs``: a, b with a < b.  A document that is near only to dropped ones stays, as in a pass over the documents one by
+    one.  ``of`` is the first kept one that a dropped document is near.  Rounds over the pairs: whoever has no earlier open
+    neighbour is kept, and drops its later neighbours; the pairs of decided documents go.  A round is
+    two aggregations; their number is the longest chain of open neighbours with rising ids, in
+    practice a few.
+    """
+    edges = written(pairs.select("a", "b").distinct(), "near-pairs")
+    state = None  # doc_id, kept
+    open_ = edges
+    while not open_.isEmpty():
+        held = open_.select(F.col("b").alias("doc_id")).distinct()
+        free = open_.select(F.col("a").alias("doc_id")).distinct().join(held, "doc_id", "left_anti")
+        gone = open_.join(free, F.col("a") == F.col("doc_id")).select(F.col("b").alias("doc_id")).distinct()
+        now = written(free.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))), "decided")
+        state = now if state is None else state.unionByName(now)
+        out = now.where("not kept").select("doc_id")
+        kept = now.where("kept").select("doc_id")
+        left = open_.join(kept, F.col("a") == F.col("doc_id"), "left_anti").join(out, F.col("a") == F.col("doc_id"), "left_anti")
+        open_ = written(left.join(out, F.col("b") == F.col("doc_id"), "left_anti"), "open-pairs")
+    if state is None:
+        return ids.select("doc_id", F.lit(True).alias("kept"), F.lit(None).cast(ids.schema["doc_id"].dataType).alias("of"))
+    state = state.groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    rows = ids.select("doc_id").join(state, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
+    # a document whose pairs all went with dropped neighbours is kept, which is the default above
+    alive = written(rows, "kept")
+    near = edges.join(alive.where("kept").select(F.col("doc_id").alias("a")), "a").groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("of"))
+    return alive.join(near, "doc_id", "left").select("doc_id", "kept", F.when(~F.col("kept"), F.col("of")).alias("of"))
+
+
+def kept_documents(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """``kept_first`` of documents (doc_id, fp) by near fingerprints, through the first document of each.
+
+    Later documents of a fingerprint never stay: they are near the first one or what that is near.
+    """
+    firsts = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "first-documents")
+    decided = kept_first(firsts.select(F.col("first").alias("doc_id")), near_pairs(fps, most)).withColumnsRenamed({"doc_id": "first_", "kept": "first_kept"})
+    rows = fps.join(firsts, "fp").join(decided, F.col("first") == F.col("first_"))
+    is_first = F.col("doc_id") == F.col("first")
+    return rows.select("doc_id", (is_first & F.col("first_kept")).alias("kept"), F.when(~is_first & F.col("first_kept"), F.col("first")).otherwise(F.col("of")).alias("of"))
+
+
 def first_of_copies(docs: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(…, is_duplicate): rows after the first of each key, by ``order``."""
     by = Window.partitionBy(*keys).orderBy(order)

@@ -42,6 +42,33 @@ def quantiles(rows: DataFrame, value: str, ts: str, every: str = "5 minutes", *,
     return out.select(F.col("w.start").alias("start"), "n", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 95, 99))])
 
 
+def bucket_quantiles(histogram_: DataFrame, labels: Sequence[str], quantiles_: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(labels…, n, p50, …) from the cumulative counts (labels…, le, n) of a histogram.
+
+    The quantile lies in the first bucket whose count reaches its share of the total, at the place
+    that a linear course between the bucket's bounds gives; the lowest bucket begins at 0, or
+    is its own bound if that is not positive.  In the open bucket it is the highest bound.  Without
+    values, or without the open bucket, it is null.  Histograms of the same labels may come in several rows for a
+    bound, of several servers say; their counts are added.
+    """
+    bound = F.when(F.col("le").isin("+Inf", "Inf", "inf"), F.lit(float("inf"))).otherwise(F.col("le").try_cast("double"))
+    sums = histogram_.groupBy(*labels, bound.alias("le")).agg(F.sum("n").cast("double").alias("n"))
+    rows = sums.groupBy(*labels).agg(F.sort_array(F.collect_list(F.struct("le", "n"))).alias("b"))
+    total = F.element_at("b", -1)["n"]
+    whole = (F.element_at("b", -1)["le"] == float("inf")) & (total > 0) & (F.size("b") > 1)
+
+    def at(q: float) -> Column:
+        rank = F.lit(q) * total
+        k = F.size(F.filter("b", lambda x: x["n"] < rank))  # buckets before the quantile's
+        here, before = F.get("b", k), F.get("b", k - 1)
+        low = F.when(k == 0, F.lit(0.0)).otherwise(before["le"])
+        under = F.when(k == 0, F.lit(0.0)).otherwise(before["n"])
+        inside = low + (here["le"] - low) * F.coalesce(F.try_divide(rank - under, here["n"] - under), F.lit(1.0))
+        return F.when(whole, F.when(k >= F.size("b") - 1, F.get("b", F.size("b") - 2)["le"]).when((k == 0) & (here["le"] <= 0), here["le"]).otherwise(inside))
+
+    return rows.select(*labels, total.cast("long").alias("n"), *[at(q).alias(f"p{q * 100:g}") for q in quantiles_])
+
+
 def rates(rows: DataFrame, ts: str, labels: Sequence[str], every: str = "5 minutes") -> DataFrame:
     """(start, labels…, n, per_second) for each window of time."""
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")

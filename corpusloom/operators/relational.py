@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,45 @@ def salted_sum(rows: DataFrame, key: str, value: str, salts: int = 16) -> DataFr
     """(key, total) for a skewed key: partial sums by a salt, then their sum."""
     part = rows.groupBy(key, F.pmod(F.xxhash64(value), F.lit(salts)).alias("__salt")).agg(F.sum(value).alias("__part"))
     return part.groupBy(key).agg(F.sum("__part").alias("total"))
+
+
+def _reaching(least: Column):
+    return lambda level: level >= least
+
+
+def overlapping(left: DataFrame, right: DataFrame, low: str, high: str, keys: tuple[str, ...] = (), unit: float = 1.0) -> DataFrame:
+    """Pairs of intervals [low, high) that overlap, as an equi-join: (keys…, a, b), the rows as structs.
+
+    Each interval belongs to the level whose cells, ``unit`` times a power of two wide, are the
+    narrowest that are at least as long as it, and so touches two cells at most.  It looks into
+    the cells of its own level and, for the partners that are longer, into those of all wider levels that occur; so a
+    long interval is not spread over many cells.  A pair that meets in two cells counts in the one that
+    holds the later beginning.  Empty intervals and nulls overlap nothing.  ``unit`` only sets the narrowest cell.
+    """
+
+    def marked(rows: DataFrame, name: str) -> DataFrame:
+        whole = rows.select(*keys, F.struct(*rows.columns).alias(name), F.col(low).cast("double").alias(f"__{name}l"), F.col(high).cast("double").alias(f"__{name}h"))
+        whole = whole.where(F.col(f"__{name}l") < F.col(f"__{name}h"))
+        length = F.col(f"__{name}h") - F.col(f"__{name}l")
+        return whole.withColumn(f"__{name}level", F.greatest(F.lit(0), F.ceil(F.log2(length / unit))).cast("int"))
+
+    def cells(rows: DataFrame, name: str, levels: Column) -> DataFrame:
+        size = lambda k: F.lit(unit) * F.pow(F.lit(2.0), k)
+        at = lambda c, k: F.floor(F.col(c) / size(k)).cast("long")
+        each = F.transform(levels, lambda k: F.transform(F.sequence(at(f"__{name}l", k), at(f"__{name}h", k)), lambda c: F.struct(k.alias("__level"), c.alias("__cell"))))
+        return rows.withColumn("__at", F.explode(F.flatten(each))).select("*", "__at.__level", "__at.__cell").drop("__at")
+
+    a, b = marked(left, "a"), marked(right, "b")
+    found = []
+    # the one of a pair that is not shorter stays at its level, the other one looks there
+    for short, long_, x, y, wider in ((a, b, "a", "b", False), (b, a, "b", "a", True)):
+        levels = sorted(r[0] for r in long_.select(f"__{y}level").distinct().collect())  # a few dozen numbers
+        all_levels = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
+        least = F.col(f"__{x}level") + int(wider)
+        look = F.filter(all_levels, _reaching(least))
+        here, there = cells(short, x, look), cells(long_, y, F.array(F.col(f"__{y}level")))
+        both = here.join(there, [*keys, "__level", "__cell"])
+        later = F.greatest("__al", "__bl")
+        once = F.floor(later / (F.lit(unit) * F.pow(F.lit(2.0), F.col("__level")))).cast("long") == F.col("__cell")
+        found.append(both.where((F.col("__al") < F.col("__bh")) & (F.col("__bl") < F.col("__ah")) & once).select(*keys, "a", "b"))
+    return found[0].unionByName(found[1])

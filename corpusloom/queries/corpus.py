@@ -33,6 +33,17 @@ def _(t):
     return dedup.near_pairs(dedup.fingerprints(t.documents))
 
 
+@query("near_dup_kept", "with recursive " + _FP.format(most=1 << 40) + """, f as (select d.doc_id as id, ('0x' || substr(coalesce(fp, '0000000000000000'), 1, 8))::bigint as hi, ('0x' || substr(coalesce(fp, '0000000000000000'), 9, 8))::bigint as lo from documents d left join fp using (doc_id)),
+pairs as (select a.id as a, b.id as b from f a join f b on a.id < b.id and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3),
+nodes as (select b as id, list(a) as earlier, row_number() over (order by b) as i from pairs group by b),
+run as (select 0::bigint as i, []::bigint[] as dropped union all
+  select run.i + 1, case when len(list_filter(earlier, lambda x: not list_contains(dropped, x))) > 0 then list_append(dropped, id) else dropped end from run join nodes on nodes.i = run.i + 1),
+gone as (select unnest(dropped) as id from run where i = (select max(i) from run))
+select f.id as doc_id, gone.id is null as kept, case when gone.id is not null then (select min(a) from pairs where b = f.id and a not in (select id from gone)) end as of from f left join gone using (id)""")
+def _(t):
+    return dedup.kept_documents(dedup.fingerprints(t.documents))
+
+
 @query("content_hash_dup", "select doc_id, row_number() over (partition by source, sha256(text) order by doc_id) > 1 as is_duplicate from documents")
 def _(t):
     rows = t.documents.select("doc_id", "source", text.content_hash(F.col("text")).alias("content_hash"))

@@ -47,6 +47,21 @@ def _(t):
     return relational.as_of(left, right, "user_id", "ts", "value").select("event_id", "value")
 
 
+_SPANS = """v as (select event_id, user_id, event_type, epoch_us(ts) / 1e6 as low, epoch_us(ts) / 1e6 + case when event_type = 'signup' then 864000 else value * 60 end as high from events)"""
+
+
+def _spans(t):
+    low = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return t.events.select("event_id", "user_id", "event_type", low.alias("low"), (low + F.when(F.col("event_type") == "signup", 864000).otherwise(F.col("value") * 60)).alias("high"))
+
+
+@query("j_overlap", f"with {_SPANS} select a.event_id as a, count(*) as n, min(b.event_id) as first, max(b.event_id) as last from v a join v b on a.user_id = b.user_id and a.event_type = 'purchase' and b.event_type in ('signup', 'view') and a.low < b.high and b.low < a.high group by 1")
+def _(t):
+    rows = _spans(t)
+    pairs = relational.overlapping(rows.where("event_type = 'purchase'"), rows.where("event_type in ('signup', 'view')"), "low", "high", ("user_id",), 60.0)
+    return pairs.groupBy(F.col("a.event_id").alias("a")).agg(F.count("*").alias("n"), F.min("b.event_id").alias("first"), F.max("b.event_id").alias("last"))
+
+
 _SUM = "round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n"
 
 
@@ -118,3 +133,31 @@ def _(t):
     rows = t.lineitem.where("l_shipdate <= timestamp_ntz'1998-09-02'")
     disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(disc), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+@query("sketch_days", "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, true as users_near, true as value_near from events group by 1, 2")
+def _(t):
+    from corpusloom.operators import sketches
+
+    days = sketches.states(t.events, [F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type"], "user_id", "value")
+    exact = t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(F.lit(0.45), F.lit(0.55))).alias("p"))
+    both = sketches.read(days, (0.5,)).join(exact, ["day", "event_type"])
+    near = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(1.0), 0.05 * F.col("users"))
+    return both.select("day", "event_type", "n", near.alias("users_near"), F.col("quantiles")[0].between(F.col("p")[0], F.col("p")[1]).alias("value_near"))
+
+
+@query("sketch_rollup", "select event_type, count(*) as n, true as users_near, true as median_near, true as same_as_whole from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20' group by rollup (event_type)")
+def _(t):
+    from corpusloom.operators import sketches
+
+    day = F.date_format("ts", "yyyy-MM-dd")
+    days = sketches.states(t.events, [day.alias("day"), "event_type"], "user_id", "value")
+    some = days.where("day >= '2024-01-10' and day < '2024-01-20'")
+    merged = sketches.read(sketches.merged(some, ["event_type"], rollup=True), (0.5,))
+    raw = t.events.where((day >= "2024-01-10") & (day < "2024-01-20"))
+    exact = raw.rollup("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(F.lit(0.47), F.lit(0.53))).alias("p"))
+    whole = sketches.read(sketches.states(raw, ["event_type"], "user_id", "value").unionByName(sketches.states(raw, [F.lit(None).cast("string").alias("event_type")], "user_id", "value")), (0.5,))
+    exact, whole = (x.withColumnsRenamed({c: f"{p}_{c}" for c in x.columns}) for p, x in (("e", exact), ("w", whole)))
+    both = merged.join(exact, F.col("event_type").eqNullSafe(F.col("e_event_type"))).join(whole, F.col("event_type").eqNullSafe(F.col("w_event_type")))
+    near = F.abs(F.col("distinct") - F.col("e_users")) <= F.greatest(F.lit(1.0), 0.05 * F.col("e_users"))
+    return both.select("event_type", "n", near.alias("users_near"), F.col("quantiles")[0].between(F.col("e_p")[0], F.col("e_p")[1]).alias("median_near"), ((F.col("distinct") == F.col("w_distinct")) & (F.col("n") == F.col("w_n"))).alias("same_as_whole"))

@@ -248,6 +248,24 @@ def _(t):
     return out.select("start", "n", *[F.round(c, 5).alias(c) for c in ("p50", "p95", "p99")])
 
 
+_COUNT_LES = "(values (1), (2), (5), (10), (20), (50), (100), ('inf'::double)) b(le)"
+
+
+def _interpolated(q):
+    return f"""round(case when list_filter(b, lambda x: x.n >= {q} * total)[1].le = 'inf'::double then 100 else coalesce(list_filter(b, lambda x: x.n < {q} * total)[-1].le, 0)
+  + (list_filter(b, lambda x: x.n >= {q} * total)[1].le - coalesce(list_filter(b, lambda x: x.n < {q} * total)[-1].le, 0)) * ({q} * total - coalesce(list_filter(b, lambda x: x.n < {q} * total)[-1].n, 0))
+  / (list_filter(b, lambda x: x.n >= {q} * total)[1].n - coalesce(list_filter(b, lambda x: x.n < {q} * total)[-1].n, 0)) end, 5)"""
+
+
+@query("latency_quantiles_buckets", f"""with h as (select strftime(ts, '%Y-%m-%d') as day, event_type, le, count(*) filter (value / 3 <= le) as n from events, {_COUNT_LES} group by 1, 2, le),
+g as (select day, event_type, max(n) as total, list(struct_pack(le := le::double, n := n::double) order by le) as b from h group by 1, 2)
+select day, event_type, total as n, {_interpolated("0.5::double")} as p50, {_interpolated("0.95::double")} as p95, {_interpolated("0.99::double")} as p99 from g""")
+def _(t):
+    rows = t.events.withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "third": F.col("value") / 3})
+    out = metrics.bucket_quantiles(metrics.histogram(rows, "third", ["day", "event_type"], metrics.COUNT_BUCKETS), ["day", "event_type"])
+    return out.select("day", "event_type", "n", *[F.round(c, 5).alias(c) for c in ("p50", "p95", "p99")])
+
+
 @query("error_rate_5m", "select time_bucket(interval 5 minutes, ts) as start, event_type, count(*) as n, round(count(*) / 300.0::double, 8) as per_second from events where event_type = 'error' group by 1, 2")
 def _(t):
     return metrics.rates(t.events.where("event_type = 'error'"), "ts", ["event_type"])
