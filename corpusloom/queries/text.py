@@ -239,6 +239,16 @@ def _(t):
     return t.events.select("event_id", signals.self_rag(F.expr(_V), (e % 20) / F.lit(20.0), F.lit("correct"), second).alias("r")).select("event_id", "r.*")
 
 
+@query("docx_text", r"""with l as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as units from documents)
+select doc_id, len(units)::int as n_units, md5(array_to_string(units, chr(10) || chr(10))) as h from l""")
+def _(t):
+    from corpusloom.sources import docx
+
+    files_ = t.documents.select("doc_id", docx.written("text").alias("content"))
+    rows = files_.select("doc_id", docx.parsed(F.col("content")).alias("content"))
+    return rows.select("doc_id", F.size(text.text_units(F.col("content"))).alias("n_units"), F.md5(F.col("content").cast("binary")).alias("h"))
+
+
 @query("calc", "select event_id, (value + 3) * 2 - greatest(value, 5) / 4 + 2.0::double ** 3 as result, sqrt(abs(value)) as root from events")
 def _(t):
     v = F.col("value")

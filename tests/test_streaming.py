@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.sources import files
+from corpusloom.sources import docx, files
 from corpusloom.streaming import state, windows
 
 
@@ -94,16 +94,52 @@ def test_files_are_parsed(spark, tmp_path):
     (tmp_path / "c.html").write_text("<h1>H</h1><p>body</p>")
     (tmp_path / "d.txt").write_text("no")
     (tmp_path / "e.pdf").write_bytes(b"%PDF")
+    (tmp_path / "f.docx").write_bytes(docx.packed("# Top\n\nfirst & <second>\n## Two\n"))
+    (tmp_path / "g.docx").write_bytes(docx.packed("one")[:-30])
+    (tmp_path / "h.doc").write_bytes(b"old")
+    (tmp_path / "i.docx").write_bytes(docx.packed(" \n "))
     found = files.read_folder(spark, str(tmp_path))
     got = {r.source_path.rsplit("/", 1)[1]: r for r in files.parsed(found).collect()}
-    assert set(got) == {"a.md", "c.html"}
+    assert set(got) == {"a.md", "c.html", "f.docx"}
+    assert got["f.docx"].content == "# Top\n\nfirst & <second>\n\n## Two" and got["f.docx"].title == "Top" and got["f.docx"].text_units[1] == "first & <second>"
+    assert [tuple(h) for h in got["f.docx"].headings] == [(1, "Top"), (2, "Two")]
     assert got["a.md"].title == "Title" and [tuple(h) for h in got["a.md"].headings] == [(1, "Title"), (2, "Two")]
     assert got["c.html"].content == "H body" and got["c.html"].title == "c"
-    assert [(r.path.rsplit("/", 1)[1], r.reason) for r in files.unparsed(found).orderBy("path").collect()] == [("b.HTML", "no text"), ("e.pdf", "no parser")][-files.unparsed(found).count() :]
+    left = {r.path.rsplit("/", 1)[1]: r.reason for r in files.unparsed(found).collect()}
+    assert left == {"e.pdf": "no parser", "g.docx": "damaged", "h.doc": "damaged", "i.docx": "no text"} | ({"b.HTML": left["b.HTML"]} if "b.HTML" in left else {})
     with_pdf = files.parsed(found, lambda c: F.hex(c))
     assert with_pdf.where("parser = 'pdf'").first().content == "25504446"
     large = found.withColumn("length", F.when(F.col("path").endswith("a.md"), files.MAX_BYTES + 1).otherwise(F.col("length")))
-    assert [r.reason for r in files.unparsed(large, lambda c: F.hex(c)).collect()] == ["too large"]
+    assert sorted(r.reason for r in files.unparsed(large, {"pdf": lambda c: F.hex(c)}).collect() if r.path.rsplit("/", 1)[1][0] in "ae") == ["too large"]
+
+
+def test_word_files_of_other_shapes():
+    import io
+    import zipfile
+
+    def word(body):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{docx._W[1:-1]}"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    run = lambda t: f"<w:r><w:rPr><w:b/></w:rPr><w:t>{t}</w:t></w:r>"
+    row = lambda *cells: "<w:tr>" + "".join(f"<w:tc><w:p>{run(c)}</w:p></w:tc>" for c in cells) + "</w:tr>"
+    body = f'<w:p>{run("one ")}<w:hyperlink>{run("link")}</w:hyperlink><w:del><w:r><w:delText>gone</w:delText></w:r></w:del><w:r><w:tab/><w:t>x</w:t></w:r></w:p><w:tbl>{row("a", "b")}{row("", "")}{row("c", "")}</w:tbl><w:sdt><w:sdtContent><w:p>{run("in a box")}</w:p></w:sdtContent></w:sdt>'
+    assert docx.text_of(word(body)) == "one link\tx\n\na | b\n\nc | \n\nin a box"
+    assert docx.text_of(word("")) == "" and docx.text_of(None) is None and docx.text_of(b"PK") is None
+    assert docx.text_of(word("<w:p>")) is None
+
+
+def test_word_files_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.docx").write_bytes(docx.packed("one\ntwo"))
+    stream = files.parsed(files.watch_folder(spark, str(tmp_path / "in")))
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    batch = files.parsed(files.read_folder(spark, str(tmp_path / "in")))
+    same = lambda df: sorted(map(str, df.select("doc_id", "content", "text_units").collect()))
+    assert same(spark.read.parquet(str(tmp_path / "out"))) == same(batch) and batch.first().text_units == ["one", "two"]
 
 
 def test_answers_to_a_stream_of_questions_equal_the_batch(spark, small, tmp_path):
