@@ -13,14 +13,15 @@ integers, so no link is below the threshold.
 Sets are deduplicated first (exact copies are one set).  Pairs are taken in two steps, so that
 a large group of near copies does not make all its pairs:
 
-1. in each prefix of each table a set goes on with the one closest to it of those it meets;
-   the verified links give first components;
-2. the sets that met any are sent again with their component and ``BESIDE`` more of their
-   fingerprints, and all pairs that meet, lie in different components and are close in those
-   too go on.
+1. in each prefix of each table a set goes on with the one closest to it of the ``LAGS`` that stand
+   next to it among those it meets; the verified links give first components;
+2. the sets that met any, and all those of groups too large for step 1 to compare each with
+   each, are sent again with their component and ``BESIDE`` more of their fingerprints, and all
+   pairs that meet, lie in different components and are close in those too go on.
 
 A pair that is left out is connected already, so the components are those of all pairs that
-meet.  Nothing is capped: step 2 grows with the pairs that meet and are not near copies.
+meet.  Nothing is capped: what step 1 doesn't compare step 2 does, which grows with the pairs that
+meet and are not near copies.
 
 A pair at similarity s meets in a table if at most ``RADIUS`` of ``KEY`` bits differ: with
 probability 0.12 at 0.8, 0.2 at 0.85, 0.34 at 0.9, so in one of 32 tables with 0.98, 0.999 and
@@ -58,7 +59,7 @@ SEED = 42
 DIRECTIONS = 256
 #: Bits of the shortest prefix, and sets under one prefix that are expected at most.
 PREFIX_BITS, PREFIX_ROWS = 5, 200_000
-#: Neighbours in a variant's group that a set is compared with in the first step.
+#: Neighbours in a variant's group that a set is compared with in the first step; larger groups are compared in the second.
 LAGS = 16
 _CHUNK = 1 << 13
 #: Rows that a task of a meeting gets, about.
@@ -184,7 +185,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 
 def _pairs_of(fps: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, flips: np.ndarray, bits: int, roots: np.ndarray | None, beside: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs that meet under one prefix of ``bits`` bits; with ``roots`` all
-    pairs of different ones, else for each its closest."""
+    pairs of different ones, else for each its closest, and with itself each that stood in a group
+    in which not all were compared."""
     free = KEY - bits
     tails = (fps >> np.uint64(64 - KEY)) & np.uint64((1 << free) - 1)
     straight = np.flatnonzero(flips == 0)
@@ -200,6 +202,7 @@ def _pairs_of(fps: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, flips: np.n
     if roots is not None:
         ends = np.cumsum(size) - 1
         many &= roots[who[ends]] != roots[who[ends - size + 1]]
+    crowded = np.unique(who[size[group] > LAGS + 1]) if roots is None else np.empty(0, np.int64)
     v, who = v[many[group]], who[many[group]]
     found: list[np.ndarray] = []
     longest = int(size[many].max()) if many.any() else 0
@@ -230,11 +233,13 @@ def _pairs_of(fps: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, flips: np.n
         first = np.ones(len(order), bool)
         first[1:] = a[order][1:] != a[order][:-1]
         a, b = a[order][first], b[order][first]
-    return a, b
+    return np.concatenate([a, crowded]), np.concatenate([b, crowded])
 
 
 def _meetings(sets: DataFrame, count: int, rooted: bool, prefix_rows: int) -> DataFrame:
-    """(a, b) nodes, a < b, of ``sets`` (node, n, sketch, root) that meet; each pair once."""
+    """(a, b) nodes, a < b, of ``sets`` (node, n, sketch, root) that meet; each pair once.
+
+    Without roots also a = b of sets that did not meet all of their groups."""
     bits = PREFIX_BITS
     while bits < KEY and count * (1 + bits) >> bits > prefix_rows:
         bits += 1
@@ -334,11 +339,12 @@ def links(sets: DataFrame, docs: DataFrame, *, shingle: int = SHINGLE, prefix_ro
     """
     sets = sets.where("n > 0")
     plain = sets.select("node", "n", "sketch", F.lit(None).cast("long").alias("root"))
-    met = materialize(_meetings(plain, sets.count(), False, prefix_rows), "near-met")
+    seen = materialize(_meetings(plain, sets.count(), False, prefix_rows), "near-met")
+    met = seen.where("a < b")
     placed, known = sets.select("node", "low"), sets.select("node", "sketch")
     first = _verified(_alike(met, known), placed, docs, shingle)
     roots = materialize(connected_components(first).select(F.col("node").alias("x"), "root"), "near-roots")
-    nodes = materialize(met.select(F.col("a").alias("y")).union(met.select("b")).distinct(), "near-nodes")
+    nodes = materialize(seen.select(F.col("a").alias("y")).union(seen.select("b")).distinct(), "near-nodes")
     again = sets.join(nodes, F.col("node") == F.col("y"), "left_semi").join(roots, F.col("node") == F.col("x"), "left")
     again = again.select("node", "n", "sketch", F.coalesce("root", "node").alias("root"))
     rest = _meetings(again, nodes.count(), True, prefix_rows).join(met, ["a", "b"], "left_anti")

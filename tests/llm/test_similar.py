@@ -47,6 +47,23 @@ def test_short_prefixes_and_long_ones_agree(spark):
     assert one == other
 
 
+def test_sets_of_a_large_group_are_all_compared():
+    """500 unrelated sets under one key; two with equal fingerprints stand far apart in the group."""
+    rnd = np.random.default_rng(7)
+    key = np.uint64(0xABCD1234) << np.uint64(32)
+    fps = key | rnd.integers(0, 1 << 32, 500, dtype=np.uint64)
+    fps[300] = fps[3]
+    nodes, sizes, flips = np.arange(500, dtype=np.int64), np.full(500, 100, np.int64), np.zeros(500, np.int64)
+    a, b = similar._pairs_of(fps, nodes, sizes, flips, 8, None, [])
+    assert set(a[a == b]) == set(range(500))  # the second step gets them all
+    a, b = similar._pairs_of(fps, nodes, sizes, flips, 8, nodes, [])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    want = {(i, j) for i, j in zip(*np.nonzero(apart <= similar.REST_BITS), strict=True) if i < j}
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == want and (3, 300) in want
+    a, b = similar._pairs_of(fps[:10], nodes[:10], sizes[:10], flips[:10], 8, None, [])
+    assert not (a == b).any()
+
+
 def test_sets_equal_the_definition():
     texts = [*texts_of_groups(), "a\x0bb\tc\r\nd  e f", "\u00a0x y z w v u", "w " * 400_000]
     got = similar.shingle_sets([None if t is None else t.encode() for t in texts])
