@@ -229,7 +229,10 @@ def _cut(text: bytes, pos: int, threshold: int) -> bytes:
 
 
 def _with_bytes(open_runs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Adds ``seg``, the run's bytes, from the texts of the documents that have open runs."""
+    """Adds ``seg``, the run's bytes, from the texts of the documents that have open runs.
+
+    Of rows that are equal in id and text one stands for all: they have the same runs, and that
+    they repeat each other is settled before."""
     kind = _ROW + ", members long, seg binary"
     names = ["key", "span", "rid", "alt", "pos", "done", "members", "seg"]
     types = {"done": pa.bool_(), "seg": pa.binary()}
@@ -246,7 +249,7 @@ def _with_bytes(open_runs: DataFrame, texts: DataFrame, threshold: int) -> DataF
 
     per = open_runs.groupBy(F.col("rid").alias("r"), F.col("alt").alias("a")).agg(F.collect_list(F.struct("key", "span", "pos", F.col("settled").alias("done"), "members")).alias("runs"))
     rows = texts.join(per, (F.col("rid") == F.col("r")) & (F.col("alt") == F.col("a")))
-    return rows.select("text", "rid", "alt", "runs").mapInArrow(cut, kind)
+    return rows.select("text", "rid", "alt", "runs").dropDuplicates(["rid", "alt"]).mapInArrow(cut, kind)
 
 
 def _children(threshold: int, gram: int, width: int):
@@ -449,7 +452,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_bytes, spans (removed [start, end) bytes) and kept (the bytes left)."""
     with temporary(docs.sparkSession):
         found = repeated_runs(docs, id_col=id_col, text_col=text_col, threshold=threshold, group=group)
-        per = found.groupBy(F.col("rid").alias("r"), F.col("alt").alias("a")).agg(F.array_distinct(F.collect_list("pos")).alias("runs"))
+        per = found.groupBy(F.col("rid").alias("r"), F.col("alt").alias("a")).agg(F.collect_set("pos").alias("runs"))
         per = materialize(per, "suffix-runs", keep=True)
     rows = _named(docs, id_col, text_col)
     rows = rows.join(per, (F.col("rid") == F.col("r")) & (F.col("alt") == F.col("a")), "left").select("doc_id", "text", "runs")

@@ -142,12 +142,28 @@ def test_suffixes_of_a_hot_passage(spark):
 
 
 def test_suffixes_at_400_bytes(spark, small):
-    df = spark.read.parquet(f"{small}/documents.parquet").limit(120)
+    df = spark.read.parquet(f"{small}/documents.parquet")
     rows = df.collect()
-    got = {r.doc_id: tuple(r)[1:] for r in suffix.digest(suffix.remove_repeats(spark.createDataFrame(rows, df.schema))).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.digest(suffix.remove_repeats(df)).collect()}
     assert [got[r.doc_id] for r in rows] == suffix.brute_force([r.text for r in rows])
 
 
+def test_suffixes_of_a_row_that_is_repeated_very_often(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    common = word(600)
+    rows = [(1, word(700) + common + word(300))] * 5000 + [(2, word(400) + common + word(500)), (3, word(900))]
+    df = spark.createDataFrame(rows, DOC)
+    texts = suffix._named(df, "doc_id", "text")
+    level = suffix._sorted_out(texts.mapInArrow(suffix._first_rows(400, 64), suffix._ROW), [], 1000)
+    open_ = suffix._with_bytes(level.where("onward").select("key", "span", "rid", "alt", "pos", "settled", "members"), texts, 400)
+    most = open_.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert 1 <= most <= 10  # and not 5001
+    got = suffix.digest(suffix.remove_repeats(df)).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    want = suffix.brute_force([rows[0][1], rows[0][1], rows[5000][1], rows[5001][1]])
+    assert {(r.doc_id, *tuple(r)[1:5]): r["count"] for r in got} == {(1, *want[0]): 5000, (2, *want[2]): 1, (3, *want[3]): 1}
+
+
 def test_suffixes_of_long_texts(spark):
     random.seed(4)
     long = "".join(random.choice("abcdefghij") for _ in range(1_300_000))
