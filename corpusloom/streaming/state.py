@@ -179,3 +179,130 @@ def broken(events: DataFrame) -> DataFrame:
 def remembered(events: DataFrame, seconds: int) -> DataFrame:
     """(key, before, value) of a stream (key, event_id, at, value) with a time to live."""
     return events.groupBy("key").transformWithStateInPandas(LastValue(seconds), "key long, before double, value double", "append", "processingTime")
+
+
+def _millis(at: float) -> int:
+    return int(at * 1000 // 1)
+
+
+class InOrder(StatefulProcessor):
+    """Handles each key's events in the order of their times, however they arrive.
+
+    An event waits in the state under its millisecond, with a timer there.  Timers go off in order
+    once the watermark has passed them, so they are what sorts: no batch of a key is sorted or
+    held in memory, only the events of one millisecond.  Events later than the watermark are dropped
+    by Spark.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint", "ids array<bigint>, times array<double>, marks array<boolean>")
+        self.prepare(handle)
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        """Declare more state."""
+
+    def event(self, at: float, event_id: int, mark: bool) -> list[tuple]:
+        """The rows that an event gives."""
+        raise NotImplementedError
+
+    def due(self, now: float) -> list[tuple]:
+        """The rows that the passing of time up to ``now`` gives, before the events of that time."""
+        return []
+
+    def rows(self, key, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *x) for x in out], columns=["key", *self.columns])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for pdf in rows:
+            marks = pdf["failed"] if "failed" in pdf else [False] * len(pdf)
+            for at, i, mark in zip(pdf["at"], pdf["event_id"], marks, strict=True):
+                ms = _millis(at)
+                ids, times, bad = self.waiting.getValue((ms,)) if self.waiting.containsKey((ms,)) else ([], [], [])
+                self.waiting.updateValue((ms,), ([*ids, int(i)], [*times, float(at)], [*bad, bool(mark)]))
+                self.handle.registerTimer(ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        out = self.due(ms / 1000)
+        if self.waiting.containsKey((ms,)):
+            ids, times, marks = self.waiting.getValue((ms,))
+            self.waiting.removeKey((ms,))
+            for at, i, mark in sorted(zip(times, ids, marks, strict=True)):
+                out += self.event(at, i, mark)
+        if out:
+            yield self.rows(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+class TimedBreakers(InOrder):
+    """A circuit breaker for each key; it becomes half open by a timer, without waiting for a call."""
+
+    columns = ("event_id", "allowed", "state")
+
+    def __init__(self, **limits):
+        self.limits = limits
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("breaker", "state string, bad int, good int, tried int, since double")
+
+    def _breaker(self) -> Breaker:
+        breaker = Breaker(**self.limits)
+        return breaker.load(tuple(self.state.get())) if self.state.exists() else breaker
+
+    def event(self, at: float, event_id: int, mark: bool) -> list[tuple]:
+        breaker = self._breaker()
+        done = breaker.call(at, mark)
+        self.state.update(breaker.dump())
+        if breaker.state == "open" and breaker.since == at:
+            self.handle.registerTimer(_millis(at + breaker.recovery) + 1)
+        return [(event_id, *done)]
+
+    def due(self, now: float) -> list[tuple]:
+        breaker = self._breaker()
+        if breaker.state != "open" or now - breaker.since < breaker.recovery:
+            return []
+        breaker.state, breaker.good, breaker.tried = "half_open", 0, 0
+        self.state.update(breaker.dump())
+        return [(None, None, "half_open")]
+
+
+class TimedLimiter(InOrder):
+    """The rate limiter for each key; what it holds goes when nothing in it counts any more."""
+
+    columns = ("event_id", "accepted")
+
+    def __init__(self, most: int = RATE, seconds: float = RATE_SECONDS):
+        self.most, self.seconds = most, seconds
+
+    def prepare(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "times array<double>")
+
+    def event(self, at: float, event_id: int, mark: bool) -> list[tuple]:
+        held = [x for x in (self.held.get()[0] if self.held.exists() else []) if x > at - self.seconds]
+        ok = len(held) < self.most
+        if ok:
+            held.append(at)
+            self.handle.registerTimer(_millis(at + self.seconds) + 1)
+        self.held.update((held,))
+        return [(event_id, ok)]
+
+    def due(self, now: float) -> list[tuple]:
+        if self.held.exists() and all(x <= now - self.seconds for x in self.held.get()[0]):
+            self.held.clear()
+        return []
+
+
+def limited_in_order(events: DataFrame, most: int = RATE, seconds: float = RATE_SECONDS) -> DataFrame:
+    """(key, event_id, accepted) of a stream (key, event_id, at, ts with a watermark): as ``rate_limited``
+    decides, for events that arrive in any order within the watermark.  Idle keys keep no state."""
+    return events.groupBy("key").transformWithStateInPandas(TimedLimiter(most, seconds), "key long, event_id long, accepted boolean", "append", "eventTime")
+
+
+def broken_in_order(events: DataFrame, **limits) -> DataFrame:
+    """(key, event_id, allowed, state) of a stream (key, event_id, at, failed, ts with a watermark): as
+    ``breaker_states`` decides.  A row without an event says that a breaker became half open by its timer."""
+    return events.groupBy("key").transformWithStateInPandas(TimedBreakers(**limits), "key long, event_id long, allowed boolean, state string", "append", "eventTime")

@@ -78,6 +78,31 @@ def test_remembered_values(run, events):
     assert rows(got.select("key", "value")) == rows(last)
 
 
+def late(spark, events):
+    """Events in two files, each over the whole time, then two of another key that move the watermark."""
+    rows_ = timed(events).withColumn("ts", F.timestamp_seconds("at"))
+    end = spark.createDataFrame([(-1, -1, 2.0e9, False, 0.0), (-1, -2, 2.1e9, False, 0.0)], "key long, event_id long, at double, failed boolean, value double")
+    end = end.withColumn("ts", F.timestamp_seconds("at")).select(rows_.columns)
+    return rows_, [rows_.where("event_id % 2 = 1"), rows_.where("event_id % 2 = 0"), end.where("event_id = -1"), end.where("event_id = -2")]
+
+
+def test_limiter_with_timers_equals_batch(spark, run, events):
+    rows_, parts = late(spark, events)
+    day = 86400
+    got = run(rows_, lambda s: state.limited_in_order(s.withWatermark("ts", "90 days"), 2, day), "append", parts)
+    assert rows(got.where("key >= 0")) == rows(state.rate_limited(rows_, "key", 2, day))
+
+
+def test_breaker_with_timers_equals_batch(spark, run, events):
+    rows_, parts = late(spark, events)
+    limits = {"failures": 2, "recovery": 86400}
+    got = run(rows_, lambda s: state.broken_in_order(s.withWatermark("ts", "90 days"), **limits), "append", parts).where("key >= 0")
+    assert rows(got.where("event_id is not null")) == rows(state.breaker_states(rows_, "key", **limits))
+    turned = got.where("event_id is null")
+    opened = got.where("state = 'open' and allowed").count()
+    assert {r.state for r in turned.collect()} == {"half_open"} and 0 < turned.count() <= opened
+
+
 def test_breaker_rules():
     b = state.Breaker(failures=2, recovery=10, probes=2, successes=2)
     calls = [(0, True), (1, True), (2, False), (11, False), (12, False), (13, True), (14, False), (15, True), (16, True), (26, True), (27, False)]
