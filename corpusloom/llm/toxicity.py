@@ -45,10 +45,11 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,6 +203,13 @@ class Model:
     slope: float = 0.0
     base: float = -40.0
     mix: float = MIXES[0]
+    _sent: Broadcast | None = field(default=None, repr=False)
+
+    def sent(self) -> Broadcast:
+        """The arrays, broadcast once for fitting and scoring."""
+        if self._sent is None:
+            self._sent = self.nodes.sparkSession.sparkContext.broadcast(self.arrays)
+        return self._sent
 
     def odds(self, evidence: Column) -> Column:
         x = F.lit(self.base) + F.lit(self.slope) * F.ln(evidence + 2 * self.mix)
@@ -420,7 +428,7 @@ def _evidence(rows: DataFrame, model: Model, mixes: tuple[float, ...]) -> DataFr
     """The other columns of ``rows`` and ``e0`` and so on, the evidence of ``text`` for each of ``mixes``."""
     if model.arrays is None:
         return _evidence_by_joins(rows, model, mixes)
-    sent = rows.sparkSession.sparkContext.broadcast(model.arrays)
+    sent = model.sent()
     others, new = [c for c in rows.columns if c != "text"], [f"e{k}" for k in range(len(mixes))]
     kind = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in others], *[f"{c} double" for c in new]])
 
@@ -451,7 +459,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
         whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), column(text_col).alias("text"))
         rows = _evidence(whole, model, (model.mix,)).where(model.odds(F.col("e0")) < 0)
         return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
-    sent = docs.sparkSession.sparkContext.broadcast(model.arrays)
+    sent = model.sent()
     base, slope, mix = model.base, model.slope, model.mix
 
     def keep(batches):
