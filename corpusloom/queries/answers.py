@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.queries.corpus import _BM25, _WS, _bench, _docs
+from corpusloom.queries.corpus import _BM25, _DENSE, _WS, _bench, _docs, _vecs
 from corpusloom.queries.registry import query
 from corpusloom.queries.text import _BOUNDED, _EN, _HINT, _HOP
 
@@ -162,3 +162,10 @@ def _(t):
 
     index = inverted.Index.build(_docs(t))
     return index.search(_bench(t).select("query_id", "text")).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
+@query("dense_indexed", f"with {_DENSE} select query_id, id, round(score, 4) as score, rank::int as rank from dense")
+def _(t):
+    from corpusloom.operators import cells
+
+    return cells.Cells.build(_vecs(t)).search(_bench(t)).select("query_id", "id", F.round("score", 4).alias("score"), "rank")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import alignment, dedup, inverted, metrics, relational, retrieve, sketches
+from corpusloom.operators import alignment, cells, dedup, inverted, metrics, relational, retrieve, sketches
 from corpusloom.plans import orchestrate
 
 QUESTION = "query_id long, text string, vec array<double>, tenant_id long, session_id long, asked_at timestamp"
@@ -194,3 +194,43 @@ def test_kept_documents_with_copies(spark):
     rows = dedup.kept_documents(spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "doc_id long, fp long")).collect()
     assert {r.doc_id: (r.kept, r.of) for r in rows} == {0: (True, None), 1: (False, 0), 2: (False, 0), 3: (False, 0), 4: (True, None), 5: (False, 0), 6: (False, 0)}
     assert np.all([r.kept is not None for r in rows])
+
+
+def recall(index, queries, corpus, k, reach):
+    read = inverted.Read()
+    want = {(r.query_id, r.id) for r in retrieve.dense(queries, corpus, k).collect()}
+    got = {(r.query_id, r.id) for r in index.search(queries, k, reach, read).collect()}
+    return len(want & got) / len(want), read.read / read.possible
+
+
+def test_cells_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PART_ROWS", 70)
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] + 0.25 * rnd.normal(size=16)).tolist()) for i in range(2000)] + [(5000, [0.0] * 16), (5001, None)] + [(6000 + i, centres[0].tolist()) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, rows[i * 7][1]) for i in range(30)] + [(100, [0.0] * 16), (101, None)], "query_id long, vec array<double>")
+    index = cells.Cells.build(corpus, cells=30)
+    whole, share = recall(index, queries, corpus, 10, 1.0)
+    assert whole == 1.0 and share < 0.4
+    some, fewer = recall(index, queries, corpus, 10, 0.75)
+    assert some >= 0.95 and fewer <= share
+    same = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 6)) for r in df.collect())
+    assert same(index.search(queries, 10)) == same(retrieve.dense(queries, corpus, 10))
+    monkeypatch.setattr(cells, "QUERY_ROWS", 4)
+    assert same(cells.Cells(spark, index.folder).search(queries, 10)) == same(retrieve.dense(queries, corpus, 10))
+    index.drop()
+
+
+def test_cells_of_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    corpus = table.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    queries = table.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    index = cells.Cells.build(corpus, cells=200)
+    found, share = recall(index, queries, corpus, 50, 0.0)
+    assert found >= 0.95 and share <= 1.0
+
+
+def test_cells_of_nothing(spark):
+    index = cells.Cells.build(spark.createDataFrame([], "id long, vec array<double>"))
+    assert index.search(spark.createDataFrame([(1, [1.0])], "query_id long, vec array<double>"), 3).count() == 0
