@@ -126,7 +126,12 @@ def _(t):
     return _chunks(t).agg(F.count_distinct("doc_id").alias("n_docs"), F.sum(F.length("text")).alias("chars"), F.sum("token_count").alias("tokens"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"))
 
 
-@query("embed_hashing")
+@query("embed_hashing", """with w as (select doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+'), lambda x: x <> '')) as w from documents),
+c as (select w, xor(list_reduce(list_transform(range(1, length(hex(encode(w))), 2), lambda i: ('0x' || substr(hex(encode(w)), i::int, 2))::bigint), lambda crc, byte: list_reduce(range(8), lambda v, i:
+  case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(crc, byte)), 4294967295), 4294967295) as h from (select distinct w from w)),
+s as (select doc_id, h % 64 as d, sum(case when h >> 31 = 1 then 1 else -1 end)::double as v from w join c using (w) group by 1, 2),
+g as (select doc_id, map(list(d), list(v)) as m, sqrt(sum(v * v)) as n from s group by doc_id)
+select doc_id, list_transform(range(64), lambda d: (case when n > 0 then coalesce(m[d], 0) / n else 0 end)::float) as embedding from documents left join g using (doc_id)""")
 def _(t):
     return t.documents.select("doc_id", vectors.hashing_embedder("text").alias("embedding"))
 

@@ -89,6 +89,12 @@ def _(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("middle"))
 
 
+@query("agg_approx_bounds", "select l_returnflag, count(*) as n, true as parts_near, true as middle_near from lineitem group by 1")
+def _(t):
+    rows = t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("middle"), F.count_distinct("l_partkey").alias("exact"), F.percentile("l_quantity", F.array(F.lit(0.49), F.lit(0.51))).alias("p"))
+    return rows.select("l_returnflag", "n", (F.abs(F.col("parts") - F.col("exact")) <= 0.1 * F.col("exact")).alias("parts_near"), F.col("middle").between(F.floor(F.col("p")[0]), F.ceil(F.col("p")[1])).alias("middle_near"))
+
+
 @query("agg_salted", "select event_type as k, round(sum(value), 4) as total from events group by 1")
 def _(t):
     return relational.salted_sum(t.events, "event_type", "value").select(F.col("event_type").alias("k"), F.round("total", 4).alias("total"))

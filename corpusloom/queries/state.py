@@ -311,7 +311,15 @@ def _(t):
     return windows.deduplicated(t.events, ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
 
 
-@query("breaker_states")
+@query("breaker_states", """with recursive e as (select user_id, event_id, floor(epoch(ts)) as t0, event_type = 'error' as failed, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as rn from events),
+b as (select user_id, 0::bigint as rn, null::bigint as event_id, null::boolean as allowed, 'closed' as state, 0 as bad, 0 as good, 0 as tried, 0.0::double as since from (select distinct user_id from events) union all
+select user_id, rn, event_id, not blocked, case when blocked then s when s = 'half_open' then case when failed then 'open' when g + 1 >= 2 then 'closed' else s end when failed and bad + 1 >= 2 then 'open' else s end,
+  case when blocked then bad when s = 'half_open' then case when not failed and g + 1 >= 2 then 0 else bad end when failed and bad + 1 < 2 then bad + 1 else 0 end,
+  case when blocked or s <> 'half_open' or failed then g else g + 1 end, case when blocked or s <> 'half_open' then t else t + 1 end,
+  case when not blocked and failed and (s = 'half_open' or bad + 1 >= 2) then t0 else since end
+from (select *, s = 'open' or s = 'half_open' and t >= 3 as blocked from (select e.user_id, e.rn, e.event_id, e.t0, e.failed, b.bad, b.since, case when b.state = 'open' and e.t0 - b.since >= 86400 then 'half_open' else b.state end as s,
+  case when b.state = 'open' and e.t0 - b.since >= 86400 then 0 else b.good end as g, case when b.state = 'open' and e.t0 - b.since >= 86400 then 0 else b.tried end as t from b join e on e.user_id = b.user_id and e.rn = b.rn + 1)))
+select user_id, event_id, allowed, state from b where rn > 0""")
 def _(t):
     rows = t.events.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("event_type") == "error").alias("failed"))
     return state.breaker_states(rows, "user_id", failures=2, recovery=86400)
