@@ -207,10 +207,15 @@ def fused(lists: DataFrame, k: Column | None = None) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, corpus: DataFrame, k: int = POOL, pool: int = POOL) -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, corpus: DataFrame, k: int = POOL, pool: int = POOL, *, near=None, index=None) -> DataFrame:
     """Dense and BM25 candidates of each query (query_id, text, vec, complexity), fused.  The
-    pools are written once, however often the result is read."""
-    legs = [("dense", dense(queries.where("vec is not null").select("query_id", "vec"), corpus, k)), ("bm25", bm25(queries.select("query_id", "text"), docs, k))]
+    pools are written once, however often the result is read.
+
+    ``near`` (``cells.Cells``) and ``index`` (``inverted.Index``) are stored indexes that are read
+    instead of ``corpus`` and ``docs``.
+    """
+    vecs, texts = queries.where("vec is not null").select("query_id", "vec"), queries.select("query_id", "text")
+    legs = [("dense", dense(vecs, corpus, k) if near is None else near.search(vecs, k)), ("bm25", bm25(texts, docs, k) if index is None else index.search(texts, k))]
     lists = None
     for pos, (name, leg) in enumerate(legs):
         part = leg.select("query_id", "id", "rank", "score", F.lit(name).alias("source"), F.lit(pos).alias("pos"))

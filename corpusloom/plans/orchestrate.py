@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import signals
 from corpusloom.functions.text import words
-from corpusloom.operators import agent, prompt, registry, retrieve
+from corpusloom.operators import agent, cells, inverted, prompt, registry, retrieve
 from corpusloom.operators.tables import temporary, written
 from corpusloom.plans.answer import best_sentence
 
@@ -61,12 +61,15 @@ class Models:
     think: Callable[[DataFrame, int], DataFrame] = field(default=looking_further)
 
 
-def searching(docs: DataFrame, corpus: DataFrame, k: int = retrieve.TOP) -> Callable[[DataFrame], DataFrame]:
-    """A search over docs (id, text, source) and corpus (id, vec): hybrid, fused, reranked."""
+def searching(docs: DataFrame, corpus: DataFrame, k: int = retrieve.TOP, *, near: cells.Cells | None = None, index: inverted.Index | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A search over docs (id, text, source) and corpus (id, vec): hybrid, fused, reranked.
+
+    With stored indexes a search reads those, and of the documents only the candidates' rows.
+    """
 
     def search(asked: DataFrame) -> DataFrame:
         asked = written(asked.select("query_id", "text", "vec", "complexity"), "looked-for")
-        pool = retrieve.hybrid(asked, docs.select("id", "text"), corpus).select("query_id", "id", "rrf_score")
+        pool = retrieve.hybrid(asked, docs.select("id", "text"), corpus, near=near, index=index).select("query_id", "id", "rrf_score")
         found = written(pool.join(docs, "id"), "pool")
         scored = found.join(retrieve.coverage(asked.select("query_id", "text"), found), ["query_id", "id"])
         return retrieve.reranked(scored, k).select("query_id", "id", "rank", "final_score", "text", "source")

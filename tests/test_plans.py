@@ -55,6 +55,16 @@ def test_branches(spark, searched):
     assert got[7].was_rewritten and got[7].citations[0].doc_id == "2" and not got[1].was_rewritten
 
 
+def test_stored_indexes_find_the_same(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common text {'x' * (i % 3)}. Second part {i}.", "s") for i in range(80)], "id long, text string, source string")
+    corpus = spark.createDataFrame([(i, [math.cos(i), math.sin(i), 0.1 * (i % 4)]) for i in range(80)], "id long, vec array<double>")
+    rows = asked(spark, [(1, "word3 second", [1.0, 0.0, 0.0], 1, None), (2, "text word5 part 7", [0.0, 1.0, 0.2], 1, None), (3, "nothing known", None, 1, None)]).withColumn("complexity", F.lit("simple"))
+    near, index = cells.Cells.build(corpus, cells=6), inverted.Index.build(docs.select("id", "text"), block=8)
+    one, other = orchestrate.searching(docs, corpus, 10), orchestrate.searching(docs, corpus, 10, near=near, index=index)
+    same = lambda df: sorted((r.query_id, r.rank, r.id, round(r.final_score, 9)) for r in df.collect())
+    assert same(one(rows)) == same(other(rows)) and len(same(one(rows))) == 20
+
+
 def test_stream_fills_the_cache_and_reruns_agree(spark, searched, tmp_path):
     rows = [(1, "word3", [1.0, 0.0, 0.0], 1, 5), (2, "word5", [0.0, 1.0, 0.0], 1, None), (3, "word3 once more", [1.0, 0.01, 0.0], 1, 5), (4, "word3", [1.0, 0.0, 0.0], 2, None)]
     for k, some in enumerate((rows[:2], rows[2:])):
