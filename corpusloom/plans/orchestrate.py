@@ -201,15 +201,38 @@ class Store:
         """Replace what ``batch`` has written."""
         rows.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={batch}")
 
-    def before(self, kind: str, batch: int) -> DataFrame | None:
-        """All rows of earlier batches; None if there is none."""
+    def _folders(self, kind: str):
+        """The file system and the names of the kind's finished folders: (what, batch) -> path."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         path = hadoop.Path(f"{self.folder}/{kind}")
         system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        done = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
-        paths = [f"{self.folder}/{kind}/{d}" for d in done if d.startswith("batch=") and int(d[6:]) < batch]
+        names = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+        found = {(what, int(k)): hadoop.Path(path, n) for n in names for what, _, k in [n.partition("=")] if what in ("batch", "merged") and k.isdigit()}
+        return system, {k: p for k, p in found.items() if system.exists(hadoop.Path(p, "_SUCCESS"))}
+
+    def before(self, kind: str, batch: int) -> DataFrame | None:
+        """All rows of earlier batches; None if there is none."""
+        _, found = self._folders(kind)
+        merged = max((k for what, k in found if what == "merged" and k < batch), default=-1)
+        paths = [str(p) for (what, k), p in found.items() if (k == merged if what == "merged" else merged < k < batch)]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def compact(self, kind: str, batch: int) -> None:
+        """Put the rows of the batches before ``batch``, which won't run again, into one folder.
+
+        The folder counts from the moment it is whole, and what it holds counts no more in its old place,
+        so a compaction that breaks off loses and repeats nothing.
+        """
+        rows = self.before(kind, batch)
+        if rows is None:
+            return
+        system, found = self._folders(kind)
+        if ("merged", batch - 1) not in found:
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{kind}/merged={batch - 1}")
+        for (what, k), path in found.items():
+            if k < batch - 1 or (what, k) == ("batch", batch - 1):
+                system.delete(path, True)
+
 
 def answer_batch(questions: DataFrame, batch: int, search: Callable[[DataFrame], DataFrame], store: Store, out: str, **options) -> None:
     """Answer one batch with what earlier ones left, and write its answers, cache and session rows.

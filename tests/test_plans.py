@@ -87,6 +87,23 @@ def test_stream_fills_the_cache_and_reruns_agree(spark, searched, tmp_path):
     assert read() == got
 
 
+def test_compacted_store_keeps_its_rows(spark, tmp_path):
+    store = orchestrate.Store(spark, str(tmp_path))
+    for k in range(5):
+        store.put("cache", spark.createDataFrame([(k, "a"), (k, "b")], "batch_id int, x string"), k)
+    rows = lambda k: sorted(map(tuple, store.before("cache", k).collect()))
+    want = {k: rows(k) for k in (4, 5)}
+    store.compact("cache", 3)
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == ["batch=3", "batch=4", "merged=2"]
+    assert {k: rows(k) for k in (4, 5)} == want and len(want[5]) == 10
+    store.put("cache", spark.createDataFrame([(9, "left over")], "batch_id int, x string"), 1)  # of a compaction that broke off
+    (tmp_path / "cache" / "merged=3").mkdir()  # begun, not whole
+    assert {k: rows(k) for k in (4, 5)} == want
+    store.compact("cache", 5)
+    assert rows(5) == want[5] and [p.name for p in (tmp_path / "cache").iterdir() if p.name.startswith("b")] == []
+    store.compact("other", 5)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
