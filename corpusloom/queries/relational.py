@@ -145,11 +145,18 @@ def _(t):
 def _(t):
     from corpusloom.operators import sketches
 
-    days = sketches.states(t.events, [F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type"], "user_id", "value")
-    exact = t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(F.lit(0.45), F.lit(0.55))).alias("p"))
-    both = sketches.read(days, (0.5,)).join(exact, ["day", "event_type"])
-    near = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(1.0), 0.05 * F.col("users"))
-    return both.select("day", "event_type", "n", near.alias("users_near"), F.col("quantiles")[0].between(F.col("p")[0], F.col("p")[1]).alias("value_near"))
+    rows = t.events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "user_id", "value")
+    read = sketches.read(sketches.states(rows, ["day", "event_type"], "user_id", "value"), (0.5,))
+    # the ranks of the sketch's median among the day's values
+    middle = F.first(F.col("quantiles")[0])
+    both = rows.join(read, ["day", "event_type"]).groupBy("day", "event_type").agg(
+        F.first("n").alias("n"),
+        (F.abs(F.first("distinct") - F.count_distinct("user_id")) <= F.greatest(F.lit(1.0), 0.05 * F.count_distinct("user_id"))).alias("users_near"),
+        F.avg((F.col("value") <= F.col("quantiles")[0]).cast("double")).alias("upto"),
+        F.avg((F.col("value") < F.col("quantiles")[0]).cast("double")).alias("under"),
+        middle.alias("middle"),
+    )
+    return both.select("day", "event_type", "n", "users_near", ((F.col("upto") >= 0.45) & (F.col("under") <= 0.55) & F.col("middle").isNotNull()).alias("value_near"))
 
 
 @query("sketch_rollup", "select event_type, count(*) as n, true as users_near, true as median_near, true as same_as_whole from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20' group by rollup (event_type)")
