@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import simhash
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, temporary, text_bytes
+from corpusloom.llm.shared import broadcast_if_small, column, materialize, sliced, spread, temporary, text_bytes
 
 SHINGLE = 5
 #: The least similarity, NEAR / OF.
@@ -284,7 +284,8 @@ def _meetings(sets: DataFrame, count: int, rooted: bool, prefix_rows: int) -> Da
     more = ["root", *[f"fp{i}" for i in range(BESIDE)]] if rooted else []
     names = ["bucket", "fp", "node", "sized", *more]  # sized: twice the set's size, and whether a bit was flipped
     kind = ", ".join(f"{c} long" for c in names)
-    sent = sets.mapInArrow(send, kind).repartition(min(TABLES << bits, 1 + count * TABLES * (1 + bits) // _ROWS), "bucket").sortWithinPartitions("bucket")
+    sent = spread(sets, count, TABLES * (1 + bits), len(names), "node").mapInArrow(send, kind)
+    sent = sent.repartition(min(TABLES << bits, 1 + count * TABLES * (1 + bits) // _ROWS), "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(meet, "a long, b long").distinct()
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from corpusloom.llm import similar, simhash
+from corpusloom.llm import shared, similar, simhash
 
 DOC = "doc_id long, text string"
 
@@ -91,3 +91,15 @@ def test_pipeline_drops_near_copies_beyond_four_bits(spark, small):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC + ", lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, small)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_few_large_parts_are_spread_before_they_are_sent(spark, monkeypatch):
+    """A task that makes 192 rows of each set of a thin table would hold them all for the shuffle."""
+    rng = np.random.default_rng(9)
+    rows = [(i, 100, rng.bytes(8 * similar.TABLES), None) for i in range(300)]
+    sets = spark.createDataFrame(rows, "node long, n int, sketch binary, root long").coalesce(1)
+    monkeypatch.setattr(shared, "SENT_BYTES", 1 << 16)
+    assert shared.spread(sets, 300, similar.TABLES * 6, 4, "node").rdd.getNumPartitions() == 1 + 300 * 192 * 48 // (1 << 16)
+    for rooted in (False, True):
+        plan = similar._meetings(sets, 300, rooted, 200_000)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [node" in plan
