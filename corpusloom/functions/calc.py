@@ -1,9 +1,10 @@
-"""A calculator for arithmetic: a whitelist of syntax, turned into a Spark expression."""
+"""A calculator for arithmetic: a whitelist of syntax, turned into a Spark expression; numbers as text."""
 
 from __future__ import annotations
 
 import ast
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +44,13 @@ def compiled(expression: str, **columns: Column) -> Column:
         raise ValueError(f"not allowed: {ast.unparse(node)}")
 
     return walk(ast.parse(expression.strip(), mode="eval"))
+
+
+def _shown(numbers: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else repr(x) for x in numbers.to_pylist()], pa.string())
+
+
+def shown(number: Column) -> Column:
+    """A double as text, as Python and SQL write it: the fewest digits that tell it from others, with an
+    exponent only from 1e16 upwards and below 1e-4.  (Java's text has one from 1e7, and often a digit too many.)"""
+    return F.arrow_udf(_shown, "string")(number)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions import calc
+
 #: Fixed value: what an unknown tool answers, before its name.
 UNKNOWN = "未找到工具: "
 
@@ -48,8 +50,8 @@ def standard(retrieve: Callable[[Column], Column] | None = None) -> Tools:
 
 def _calculated(argument: Column) -> Column:
     part = lambda k: F.regexp_extract(argument, r"^\s*(-?\d+(?:\.\d+)?)\s*([-+*/])\s*(-?\d+(?:\.\d+)?)\s*$", k)
-    a, op, b = F.try_to_number(part(1), F.lit("S9999999999.9999")).cast("double"), part(2), F.try_to_number(part(3), F.lit("S9999999999.9999")).cast("double")
-    return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", F.try_divide(a, b))
+    a, op, b = part(1).try_cast("double"), part(2), part(3).try_cast("double")
+    return calc.shown(F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", F.try_divide(a, b)))
 
 
 def _dated(argument: Column) -> Column:

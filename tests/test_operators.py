@@ -216,6 +216,19 @@ def test_tools(spark):
     assert [r.v for r in rows.select(own.call(F.col("name"), F.col("argument")).alias("v")).collect()] == ["found x", "42", tools.UNKNOWN + "odd", tools.UNKNOWN]
 
 
+def test_calculator_writes_numbers_as_sql_does(spark):
+    import duckdb
+
+    from corpusloom.operators import tools
+
+    asked = [("6000000", "+", "6000000"), ("9999999", "*", "1"), ("1", "/", "3"), ("1", "/", "8000"), ("1", "/", "80000"), ("9999999999", "*", "9999999999"), ("1234567890123456", "*", "10"), ("0", "-", "20000000"), ("0.1", "+", "30318594544552592")]
+    rows = spark.createDataFrame([(" ".join(x),) for x in asked] + [("1e7 + 1",), ("1 / 0",)], "a string")
+    got = {r.a: r.v for r in rows.select("a", tools.standard().call(F.lit("calculator"), F.col("a")).alias("v")).collect()}
+    want = {" ".join(x): duckdb.connect().sql(f"select ({x[0]}::double {x[1]} {x[2]}::double)::varchar").fetchall()[0][0] for x in asked}
+    assert got == want | {"1e7 + 1": None, "1 / 0": None}
+
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     from corpusloom.operators import tables
 
