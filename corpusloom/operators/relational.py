@@ -40,20 +40,24 @@ def _reaching(least: Column):
     return lambda level: level >= least
 
 
-def overlapping(left: DataFrame, right: DataFrame, low: str, high: str, keys: tuple[str, ...] = (), unit: float = 1.0) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, low: str, high: str, keys: tuple[str, ...] = (), unit: float = 1.0, empty: bool = False) -> DataFrame:
     """Pairs of intervals [low, high) that overlap, as an equi-join: (keys…, a, b), the rows as structs.
 
     Each interval belongs to the level whose cells, ``unit`` times a power of two wide, are the
     narrowest that are at least as long as it, and so touches two cells at most.  It looks into
     the cells of its own level and, for the partners that are longer, into those of all wider levels that occur; so a
     long interval is not spread over many cells.  A pair that meets in two cells counts in the one that
-    holds the later beginning.  Empty intervals and nulls overlap nothing.  ``unit`` only sets the narrowest cell.
+    holds the later beginning.  Empty intervals and nulls overlap nothing; with ``empty`` the comparisons a.low < b.high
+    and b.low < a.high alone decide, so an interval without length, or one that ends before it begins, overlaps
+    those that hold both its ends inside.  ``unit`` only sets the narrowest cell.
     """
 
     def marked(rows: DataFrame, name: str) -> DataFrame:
         whole = rows.select(*keys, F.struct(*rows.columns).alias(name), F.col(low).cast("double").alias(f"__{name}l"), F.col(high).cast("double").alias(f"__{name}h"))
-        whole = whole.where(F.col(f"__{name}l") < F.col(f"__{name}h"))
-        length = F.col(f"__{name}h") - F.col(f"__{name}l")
+        # of a pair that overlaps one at most ends before it begins: the longer one begins first and ends last
+        some = F.col(f"__{name}l").isNotNull() & F.col(f"__{name}h").isNotNull()
+        whole = whole.where(some if empty else F.col(f"__{name}l") < F.col(f"__{name}h"))
+        length = F.abs(F.col(f"__{name}h") - F.col(f"__{name}l"))
         return whole.withColumn(f"__{name}level", F.greatest(F.lit(0), F.ceil(F.log2(length / unit))).cast("int"))
 
     def cells(rows: DataFrame, name: str, levels: Column) -> DataFrame:

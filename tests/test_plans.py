@@ -200,6 +200,17 @@ def test_overlapping_intervals(spark):
     assert relational.overlapping(a, b, "low", "high", unit=8.0).count() > len(want)
 
 
+def test_overlapping_by_the_comparisons_alone(spark):
+    rnd = random.Random(9)
+    length = lambda: rnd.choice([0, 0, -2, -300, 0.5, 3, 17, 400])
+    sides = [[(i, s, s + length()) for i in range(150) for s in [rnd.choice([rnd.uniform(-50, 50), float(rnd.randint(-20, 20))])]] + [(500, None, 3.0), (501, 1.0, None)] for _ in range(2)]
+    a, b = (spark.createDataFrame(s, "id int, low double, high double") for s in sides)
+    got = [(r.a.id, r.b.id) for r in relational.overlapping(a, b, "low", "high", unit=2.0, empty=True).collect()]
+    want = [(p[0], q[0]) for p in sides[0] for q in sides[1] if None not in p and None not in q and p[1] < q[2] and q[1] < p[2]]
+    assert sorted(got) == sorted(want)
+    assert any(sides[0][x][1] >= sides[0][x][2] for x, _ in want) and len(want) > 3000
+
+
 def test_kept_first_equals_a_pass_in_order(spark):
     rnd = random.Random(3)
     pairs = {tuple(sorted(rnd.sample(range(120), 2))) for _ in range(150)} | {(i, i + 1) for i in range(200, 215)}
