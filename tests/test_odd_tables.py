@@ -26,3 +26,12 @@ def test_overlaps_of_events_without_length(agrees):
     """A purchase of value 0 has no length and lies within a view."""
     agrees("j_overlap", """select i as event_id, timestamp '2024-01-01 00:00:00' + to_seconds(i * 30) as ts, i % 3 as user_id,
         case when i % 2 = 0 then 'purchase' when i % 5 = 0 then 'signup' else 'view' end as event_type, case when i % 4 < 2 then 0.0::double else i % 7 end as value from range(200) r(i)""")
+
+
+#: Events every 0.4 s around midnight: the last half second counts for the next day.
+MIDNIGHT = """select i as event_id, timestamp '2024-01-01 23:59:50.05' + to_milliseconds((i * 400)::bigint) as ts, i % 23 as user_id,
+    case i % 3 when 0 then 'click' when 1 then 'view' else 'error' end as event_type, (i * 7 % 50)::double as value, '' as props from range(60) r(i)"""
+
+
+def test_candidates_around_midnight(agrees):
+    agrees("dedup_candidates", MIDNIGHT)
