@@ -35,3 +35,7 @@ MIDNIGHT = """select i as event_id, timestamp '2024-01-01 23:59:50.05' + to_mill
 
 def test_candidates_around_midnight(agrees):
     agrees("dedup_candidates", MIDNIGHT)
+
+
+def test_fusion_around_midnight(agrees):
+    agrees("rrf_fusion", MIDNIGHT)
