@@ -26,15 +26,20 @@ def states(rows: DataFrame, by: Sequence[str | Column], distinct: str, value: st
 
 
 def merged(states_: DataFrame, by: Sequence[str], *, rollup: bool = False) -> DataFrame:
-    """The states of coarser groups; with ``rollup`` also of their subtotals."""
+    """The states of coarser groups; with ``rollup`` also of their subtotals, and ``level``, which tells these from groups by null."""
     groups = states_.rollup(*by) if rollup else states_.groupBy(*by)
-    return groups.agg(F.sum("n").alias("n"), F.hll_union_agg("distinct_state").alias("distinct_state"), F.kll_merge_agg_double("value_state").alias("value_state"))
+    level = [F.grouping_id().alias("level")] if rollup else []
+    return groups.agg(F.sum("n").alias("n"), F.hll_union_agg("distinct_state").alias("distinct_state"), F.kll_merge_agg_double("value_state").alias("value_state"), *level)
 
 
 def read(states_: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    """The groups with n, ``distinct`` and ``quantiles``, an array."""
+    """The groups with n, ``distinct`` and ``quantiles``, an array.
+
+    A sketch that never was merged estimates by the order in which its values came.  Each is merged with itself first, so
+    that equal registers give equal numbers, however the rows were parted.
+    """
     found = F.array(*[F.kll_sketch_get_quantile_double("value_state", F.lit(q)) for q in quantiles])
-    return states_.withColumns({"distinct": F.hll_sketch_estimate("distinct_state"), "quantiles": found}).drop("distinct_state", "value_state")
+    return states_.withColumns({"distinct": F.hll_sketch_estimate(F.hll_union("distinct_state", "distinct_state")), "quantiles": found}).drop("distinct_state", "value_state")
 
 
 def rank(states_: DataFrame, value: float) -> Column:

@@ -39,3 +39,8 @@ def test_candidates_around_midnight(agrees):
 
 def test_fusion_around_midnight(agrees):
     agrees("rrf_fusion", MIDNIGHT)
+
+
+def test_rollup_with_events_of_no_type(agrees):
+    agrees("sketch_rollup", """select i as event_id, timestamp '2024-01-09 12:00:00' + to_minutes((i * 9)::bigint) as ts, i % 40 as user_id,
+        case i % 3 when 0 then 'click' when 1 then 'view' end as event_type, (i * 7 % 50)::double as value from range(1800) r(i)""")

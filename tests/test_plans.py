@@ -187,6 +187,13 @@ def test_sketches_merge(spark):
     assert sketches.read(sketches.merged(days, ["day"], rollup=True), (0.5,)).count() == 8
 
 
+def test_merged_sketches_count_as_the_whole(spark):
+    """In one part the whole's sketch is never merged; it estimates what the days' merged ones do."""
+    rows = spark.range(60000, numPartitions=1).select((F.col("id") % 10).alias("day"), F.lit(1).alias("all"), (F.col("id") * 7919 % 8999).alias("user"), F.lit(0.0).alias("v"))
+    days = sketches.read(sketches.merged(sketches.states(rows, ["day", "all"], "user", "v"), ["all"]), (0.5,)).first()
+    assert days.distinct == sketches.read(sketches.states(rows, ["all"], "user", "v"), (0.5,)).first().distinct
+
+
 def test_overlapping_intervals(spark):
     rnd = random.Random(8)
     length = lambda: rnd.choice([0, 0.5, 1, 3, 17, 400, 100000])
