@@ -54,3 +54,12 @@ def shown(number: Column) -> Column:
     """A double as text, as Python and SQL write it: the fewest digits that tell it from others, with an
     exponent only from 1e16 upwards and below 1e-4.  (Java's text has one from 1e7, and often a digit too many.)"""
     return F.arrow_udf(_shown, "string")(number)
+
+
+def rounded(number: Column, digits: int) -> Column:
+    """A double rounded as in C and SQL: the multiple of its power of ten half away from zero.  (Spark rounds the number's
+    text, which differs where the number lies next to the middle of two.)"""
+    scaled = number * F.lit(10.0**digits)
+    whole = F.floor(F.abs(scaled)).cast("double")
+    near = F.signum(scaled) * (whole + F.when(F.abs(scaled) - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < float(1 << 52), near).otherwise(number)

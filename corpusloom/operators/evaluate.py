@@ -78,11 +78,15 @@ def stored_runs(runs: DataFrame, new: DataFrame, extra: tuple[str, ...] = ("prom
 def case_report(scores: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """(case_id, passed, mean, weakest) from (case_id, metric, score); null scores are absent.
 
-    A case passes if all its scores reach their thresholds; one without scores fails.
+    A case passes if all its scores reach their thresholds; one without scores fails.  Its scores are added in the order of
+    the thresholds, other metrics after them by name, so that the mean's last bit does not depend on the order of the rows.
     """
+    places = F.create_map(*[F.lit(x) for k, m in enumerate(thresholds or THRESHOLDS) for x in (m, k)])
+    parts = F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct(F.coalesce(F.try_element_at(places, "metric"), F.lit(len(thresholds or THRESHOLDS))).alias("place"), "metric", "score"))))
+    mean = F.try_divide(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x["score"]), F.size(parts))
     limits = F.create_map(*[F.lit(x) for kv in (thresholds or THRESHOLDS).items() for x in kv])
     ok = F.col("score") >= F.coalesce(F.try_element_at(limits, "metric"), F.lit(0.0))
-    out = scores.groupBy("case_id").agg(F.bool_and(F.when(F.col("score").isNotNull(), ok)).alias("p"), F.avg("score").alias("mean"), F.min(F.when(F.col("score").isNotNull(), F.struct("score", "metric"))).alias("w"))
+    out = scores.groupBy("case_id").agg(F.bool_and(F.when(F.col("score").isNotNull(), ok)).alias("p"), mean.alias("mean"), F.min(F.when(F.col("score").isNotNull(), F.struct("score", "metric"))).alias("w"))
     return out.select("case_id", F.coalesce("p", F.lit(False)).alias("passed"), "mean", F.col("w.metric").alias("weakest"))
 
 

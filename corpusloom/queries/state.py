@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import calc
 from corpusloom.operators import evaluate, metrics, registry
 from corpusloom.queries.corpus import _BM25, _bench, _docs
 from corpusloom.queries.registry import query
@@ -145,15 +147,20 @@ m as (select metric, any_value(threshold) as threshold, avg(score) as mean from
 
 
 def _scores(t):
-    parts = F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lit(m).alias("metric")) for k, m in enumerate(_NAMES)])
-    rows = t.events.select("user_id", "event_id", F.explode(parts).alias("m")).select(F.col("user_id").alias("case_id"), "event_id", "m.*")
-    out = rows.groupBy("case_id", "k", "metric").agg(F.round(F.avg((F.col("event_id") * F.col("k") % 37 + 63) / F.lit(100.0)), 6).alias("s"))
-    return out.select("case_id", "metric", F.when(~((F.col("k") >= 4) & (F.col("case_id") % 3 == 0)), F.col("s")).alias("score"))
+    # sums in the order of the events, so that they don't depend on the partitions; the last row has the whole sum
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.sum((F.col("event_id") * k % 37 + 63) / F.lit(100.0)).over(upto).alias(f"s{k}") for k in range(1, len(_NAMES) + 1)]
+    rows = t.events.select("user_id", *sums, F.count("event_id").over(upto).alias("n"), F.lead(F.lit(1)).over(order).isNull().alias("last"))
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("metric"), F.col(f"s{k}").alias("s")) for k, m in enumerate(_NAMES, 1)])
+    out = rows.where("last").select(F.col("user_id").alias("case_id"), "n", F.explode(parts).alias("m")).select("case_id", "n", "m.*")
+    score = calc.rounded(F.try_divide("s", "n"), 6)
+    return out.select("case_id", "metric", F.when((F.col("k") >= 4) & (F.col("case_id") % 3 == 0), F.lit(None)).otherwise(score).alias("score"))
 
 
 @query("eval_case_report", f"with {_SCORES} select case_id, passed, round(mean, 4) as mean, w.m as weakest from c")
 def _(t):
-    return evaluate.case_report(_scores(t)).withColumn("mean", F.round("mean", 4))
+    return evaluate.case_report(_scores(t)).withColumn("mean", calc.rounded(F.col("mean"), 4))
 
 
 _REPORT = "select (select count(*) from c) as total, (select count(*) from c where passed) as passed, (select count(*) filter (passed) / count(*) from c) as pass_rate, round((select avg(mean) from c), 5) as mean, (select bool_or(mean < threshold) from m) as regression, (select arg_min(metric, mean) from m) as weakest"
@@ -207,8 +214,6 @@ def _(t):
 
 @query("run_delta", f"with {_RUNS} select run_id, round(pass_rate - lag(pass_rate) over (partition by prompt_hash order by started_at), 5) as delta, first_value(run_id) over (partition by prompt_hash order by started_at) as first_run from r")
 def _(t):
-    from pyspark.sql import Window
-
     by = Window.partitionBy("prompt_hash").orderBy("started_at")
     return _runs(t).select("run_id", F.round(F.col("pass_rate") - F.lag("pass_rate").over(by), 5).alias("delta"), F.first("run_id").over(by).alias("first_run"))
 

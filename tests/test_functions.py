@@ -171,3 +171,13 @@ def test_exposition(spark):
     df = spark.createDataFrame([("a", 0.05), ("a", 3.0), ("a", 99.0)], "kind string, v double")
     lines = [r.line for r in metrics.exposition(metrics.histogram(df, "v", ["kind"], (0.1, 5.0)), "latency", "kind").collect()]
     assert lines == ['latency_bucket{kind="a",le="0.1"} 1', 'latency_bucket{kind="a",le="5.0"} 2', 'latency_bucket{kind="a",le="+Inf"} 3']
+
+
+def test_rounding_as_in_sql(spark):
+    import duckdb
+
+    xs = [0.80125, 0.7917500000000001, 1.005, 2.5, -2.5, 0.285, 1e300, -0.5, 0.0, 8.0875, 1234567.891234565]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select(*[calc.rounded(F.col("x"), d).alias(f"d{d}") for d in (0, 2, 4, 6)])
+    con = duckdb.connect()
+    want = [tuple(con.execute("select round(x, 0), round(x, 2), round(x, 4), round(x, 6) from (select ?::double as x)", [x]).fetchall()[0]) for x in xs]
+    assert [tuple(r) for r in rows.collect()] == want

@@ -44,3 +44,8 @@ def test_fusion_around_midnight(agrees):
 def test_rollup_with_events_of_no_type(agrees):
     agrees("sketch_rollup", """select i as event_id, timestamp '2024-01-09 12:00:00' + to_minutes((i * 9)::bigint) as ts, i % 40 as user_id,
         case i % 3 when 0 then 'click' when 1 then 'view' end as event_type, (i * 7 % 50)::double as value from range(1800) r(i)""")
+
+
+def test_case_means_between_two_roundings(agrees):
+    """Sums in the order of the events and metrics, rounded in binary; and the events of no user."""
+    agrees("eval_case_report", """select i as event_id, timestamp '2024-01-01' as ts, case when i % 401 > 0 then (i * 7919 % 400)::bigint end as user_id, 'view' as event_type, 1.0::double as value from range(26000) r(i)""")
