@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tables import written
+
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """Each left row with the last ``value`` of the right side at or before its ``at``.
@@ -30,6 +32,29 @@ def in_range(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str,
     return both.where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
 
 
+def counts_in_range(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
+    """The ranges that hold a point, low <= at < high, with the number ``n`` of these, without any pairs.
+
+    ``n`` is the number of points below ``high`` less that below ``low``.  Those are running sums over the different points
+    and ends in their order, which is parted by ranges of them: within a part by a window, over the parts by their totals, a
+    row each.  So the work grows with points and ranges, not with their product.
+    """
+    ends = ranges.select(low, high).where(F.col(low) < F.col(high)).distinct()
+    marks = ends.select(F.col(low).alias("__x")).unionByName(ends.select(F.col(high).alias("__x"))).select("__x", F.lit(0).alias("__n"))
+    all_ = points.select(F.col(at).alias("__x"), F.lit(1).alias("__n")).where("__x is not null").unionByName(marks)
+    # written, since the bounds of the parts come from a sample
+    sums = all_.groupBy("__x").agg(F.sum("__n").alias("__n")).repartitionByRange("__x").withColumn("__part", F.spark_partition_id())
+    sums = written(sums, "running-sums")
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.groupBy("__part").agg(F.sum("__n").alias("__n")).select(F.col("__part").alias("__p"), before(Window.orderBy("__part")).alias("__earlier"))
+    own = sums.withColumn("__below", before(Window.partitionBy("__part").orderBy("__x")))
+    below = own.join(F.broadcast(parts), F.col("__part") == F.col("__p")).select("__x", (F.col("__below") + F.col("__earlier")).alias("__below"))
+    for c, name in ((low, "__l"), (high, "__h")):
+        ends = ends.join(below.withColumnsRenamed({"__x": f"{name}x", "__below": name}), F.col(c) == F.col(f"{name}x"))
+    counted = ends.select(F.col(low).alias("__low"), F.col(high).alias("__high"), (F.col("__h") - F.col("__l")).alias("n")).where("n > 0")
+    return ranges.join(counted, (F.col(low) == F.col("__low")) & (F.col(high) == F.col("__high"))).drop("__low", "__high")
+
+
 def salted_sum(rows: DataFrame, key: str, value: str, salts: int = 16) -> DataFrame:
     """(key, total) for a skewed key: partial sums by a salt, then their sum."""
     part = rows.groupBy(key, F.pmod(F.xxhash64(value), F.lit(salts)).alias("__salt")).agg(F.sum(value).alias("__part"))

@@ -318,3 +318,15 @@ def test_as_of_and_range(spark):
     points = spark.createDataFrame([(x / 2,) for x in range(20)], "x double")
     ranges = spark.createDataFrame([(1, 1.0, 3.5), (2, 9.0, 9.5)], "r int, a double, b double")
     assert sorted((r.r, r.x) for r in relational.in_range(points, ranges, "x", "a", "b", 1.0).collect()) == [(1, 1.0), (1, 1.5), (1, 2.0), (1, 2.5), (1, 3.0), (2, 9.0)]
+
+
+def test_counts_in_range_make_no_pairs(spark):
+    points = spark.createDataFrame([(0.0,), (1.0,), (1.0,), (1.5,), (2.5,), (None,), (-7.0,), (30.0,)], "x double")
+    ranges = spark.createDataFrame([(1, 1.0, 2.5), (2, 9.0, 40.0), (3, 5.0, 6.0), (4, 2.5, 1.0), (5, 1.0, 2.5), (6, None, 3.0), (7, -8.0, 1.0), (8, 1.0, 1.0)], "r int, a double, b double")
+    got = relational.counts_in_range(points, ranges, "x", "a", "b").collect()
+    assert sorted((r.r, r.a, r.b, r.n) for r in got) == [(1, 1.0, 2.5, 3), (2, 9.0, 40.0, 1), (5, 1.0, 2.5, 3), (7, -8.0, 1.0, 2)]
+    assert relational.counts_in_range(points.limit(0), ranges, "x", "a", "b").count() == 0
+    # 9 * 10^10 pairs
+    many = spark.range(300_000).select((F.col("id") / 1e6).alias("x"))
+    wide = spark.range(300_000).select((-1 - F.col("id")).alias("a"), (1 + F.col("id")).alias("b"))
+    assert relational.counts_in_range(many, wide, "x", "a", "b").agg(F.count("*"), F.sum("n")).first() == (300_000, 300_000**2)
