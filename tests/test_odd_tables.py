@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import catalog
+from corpusloom.operators import dedup
 from tests import compare
 
 
@@ -60,3 +62,9 @@ def test_bounds_keep_no_states_for_each_part(spark, small):
     df = catalog.queries()["agg_approx_bounds"](spark, small)
     own = [line for line in plan(df).splitlines() if "Aggregate" in line and "l_partkey" in line.split("functions=")[0]]
     assert own and not any("percentile" in line or "approx" in line for line in own)
+
+
+def test_near_pairs_are_not_sent_to_the_driver(spark):
+    """Before, 20 rows of each fingerprint were broadcast."""
+    rows = plan(dedup.near_pairs(spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") * 3).alias("fp"))))
+    assert "SortMergeJoin" in rows and "Broadcast" not in rows
