@@ -105,9 +105,13 @@ def _scored(batch: pa.RecordBatch):
 
 
 def _pairs(queries: DataFrame, candidates: DataFrame, blocks: int) -> DataFrame:
-    """Each block of queries beside each block of candidates of the same length."""
+    """Each block of queries beside each block of candidates of the same length.
+
+    Both sides are shuffled: the blocks of queries are so many times a small table, which Spark would take to be small enough
+    for the driver.
+    """
     spread = queries.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("dim", "qdim")
-    return spread.join(candidates, (F.col("qdim") == F.col("dim")) & (F.col("to") == F.col("block"))).drop("qdim", "to")
+    return spread.join(candidates.hint("merge"), (F.col("qdim") == F.col("dim")) & (F.col("to") == F.col("block"))).drop("qdim", "to")
 
 
 def _histogram(pairs: DataFrame, k: int) -> DataFrame:

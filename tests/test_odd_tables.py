@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import catalog
-from corpusloom.operators import dedup
+from corpusloom.llm import topk
+from corpusloom.operators import dedup, tables
 from tests import compare
 
 
@@ -68,3 +69,11 @@ def test_near_pairs_are_not_sent_to_the_driver(spark):
     """Before, 20 rows of each fingerprint were broadcast."""
     rows = plan(dedup.near_pairs(spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") * 3).alias("fp"))))
     assert "SortMergeJoin" in rows and "Broadcast" not in rows
+
+
+def test_blocks_of_queries_are_not_sent_to_the_driver(spark):
+    """Before, the blocks of queries were broadcast once for each block of candidates."""
+    rows = spark.range(400).select(F.col("id").alias("key"), "id", F.array(*[F.sin(F.col("id") * k) * 1000 for k in range(1, 5)]).alias("vec")).withColumn("vec", topk.quantized(F.col("vec"), 1))
+    queries = topk._blocked(rows.where("id % 10 = 0"), 2, "qblock").withColumnsRenamed({"ids": "qids", "keys": "qkeys", "mat": "qmat"})
+    found = plan(topk._pairs(tables.written(queries, "q"), tables.written(topk._blocked(rows, 7, "block"), "c"), 7))
+    assert "SortMergeJoin" in found and "Broadcast" not in found
