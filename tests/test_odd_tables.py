@@ -77,3 +77,8 @@ def test_blocks_of_queries_are_not_sent_to_the_driver(spark):
     queries = topk._blocked(rows.where("id % 10 = 0"), 2, "qblock").withColumnsRenamed({"ids": "qids", "keys": "qkeys", "mat": "qmat"})
     found = plan(topk._pairs(tables.written(queries, "q"), tables.written(topk._blocked(rows, 7, "block"), "c"), 7))
     assert "SortMergeJoin" in found and "Broadcast" not in found
+
+
+def test_fingerprints_of_kept_documents_are_made_once(spark, small):
+    """Before, the pairs were broadcast as above and the texts hashed four times."""
+    assert "EvalPython" not in plan(dedup.kept_documents(dedup.fingerprints(spark.read.parquet(f"{small}/documents.parquet"))))
